@@ -11,10 +11,9 @@ A T-occurrence search, dealt out:
    10000 prefix lengths, whatever the corpus), and are not merged but probed in step 5.
 3. The short lists, shingle -> nodes, are dealt by shingle and merged: members of one list are
    compared by size and by the Hamming distance of their parity bitmaps, a lower bound of the
-   sets' symmetric difference, so nothing that links is lost. What passes is marked as a node
-   of the list's block (its least node). Marks, not pairs, leave the task: at most one row per
-   list entry, however large a group.
-4. The marked nodes' sets meet in their blocks; a block above ``block`` nodes is dealt as pairs
+   sets' symmetric difference, so nothing that links is lost. Of the pairs that pass, a spanning forest
+   leaves the task: at most one row per list entry, however large a group. What it connects is a block.
+4. The sets of a block's nodes meet; a block above ``block`` nodes is dealt as pairs
    of chunks.
 5. Each block is searched by DivideSkip: the lists that are longest are set aside, the short ones
    merged with their counts, the set-aside ones probed by binary search for those documents that
@@ -51,8 +50,8 @@ def node_of(s: np.ndarray) -> int:
 
 
 def bitmap_bits(n: int) -> int:
-    """Bits of the parity bitmap of a set of n members: a power of two near n, at least 64."""
-    return 1 << max(6, int(n).bit_length() - 1)
+    """Bits of the parity bitmap of a set of n members: the power of two above n, at least 64."""
+    return 1 << max(6, int(n).bit_length())
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
@@ -151,7 +150,7 @@ def _runs(batches, columns: int):
 
 
 def _shared(batches):
-    """Of rows sorted by key, node: the distinct ones whose key has two nodes or more, with the list's least node."""
+    """Of rows sorted by key, node: the distinct ones whose key has two nodes or more."""
     import pyarrow as pa
 
     for key, node in _runs(batches, 2):
@@ -160,7 +159,7 @@ def _shared(batches):
         begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[begin, len(key)])
         many = np.repeat(size > 1, size)
-        yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(node[many]), pa.array(np.repeat(node[begin], size)[many])], names=["key", "node", "block"])
+        yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(node[many])], names=["key", "node"])
 
 
 def _folded(bits: bytes, size: int) -> np.ndarray:
@@ -173,28 +172,50 @@ def _folded(bits: bytes, size: int) -> np.ndarray:
 _ONES = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
 
+def _roots(up: np.ndarray) -> np.ndarray:
+    while True:
+        next_up = up[up]
+        if (next_up == up).all():
+            return up
+        up = next_up
+
+
+def _unite(up: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Join the trees of each pair; only pairs of different trees are looked at one by one."""
+    if not len(i):
+        return
+    up[:] = _roots(up)
+    a, b = up[i], up[j]
+    apart = a != b
+    for x, y in set(zip(a[apart].tolist(), b[apart].tolist())):
+        while up[x] != x:
+            x = int(up[x])
+        while up[y] != y:
+            y = int(up[y])
+        if x != y:
+            up[max(x, y)] = min(x, y)
+
+
 def _marked(batches, percent: int):
-    """Of rows key, n, node, block, bits sorted by key, n: those that may link with another of their list, as block, node.
+    """Of rows key, n, node, bits sorted by key, n: pairs of a list that may link, as a spanning forest block, node.
 
     Rows of a list stand by size, so partners lie within a run; comparison goes by shifts, all lists at once.
     """
     import pyarrow as pa
 
     seen: set[tuple[int, int]] = set()
-    for key, n, node, block, bits in _runs(batches, 5):
+    for key, n, node, bits in _runs(batches, 4):
         words = np.array([max(1, bitmap_bits(x) // 64) for x in n])
         # bitmaps of the two or three sizes within a list's reach: its own and the two halves of it
         own = [_folded(b, w) for b, w in zip(bits, words)]
-        keep = np.zeros(len(key), bool)
+        up = np.arange(len(key))
         begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         reach = np.repeat(np.r_[begin[1:], len(key)], np.diff(np.r_[begin, len(key)]))
-        order: dict[int, np.ndarray] = {}
         for w in np.unique(words):
             rows = np.flatnonzero((words == w) | (words == 2 * w))
             place = np.full(len(key), -1, np.int64)
             place[rows] = np.arange(len(rows))
             matrix = np.stack([_folded(own[r].tobytes(), w) for r in rows]) if len(rows) else np.zeros((0, w), np.uint64)
-            order[int(w)] = place
             live = np.flatnonzero((words == w) & (np.arange(len(key)) + 1 < reach))
             shift = 1
             while len(live):
@@ -212,10 +233,11 @@ def _marked(batches, percent: int):
                     total = n[i] + n[j]
                     # |A & B| (100 + p) >= p (n + m)  <=>  |A ^ B| (100 + p) <= (100 - p) (n + m)
                     good = apart * (100 + percent) <= (100 - percent) * total
-                    keep[i[good]] = True
-                    keep[j[good]] = True
+                    _unite(up, i[good], j[good])
                 shift += 1
-        out = [(int(b), int(v)) for b, v in zip(block[keep], node[keep])]
+        root = _roots(up)
+        keep = root != np.arange(len(up))
+        out = [(int(b), int(v)) for b, v in zip(node[root[keep]], node[keep])]
         out = [x for x in dict.fromkeys(out) if x not in seen]
         if len(seen) > 1_000_000:
             seen.clear()
@@ -223,28 +245,58 @@ def _marked(batches, percent: int):
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["block", "node"])
 
 
-def t_occurrence(lists: dict[int, np.ndarray], query: np.ndarray, need: int, docs: int, longest: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """DivideSkip: the documents on at least ``need`` of the query's inverted lists, and on how many.
-
-    ``lists``: member -> ascending documents. The ``L`` longest lists are set aside
-    (``L = need / (mu log2(longest) + 1)``, mu = 0.01); the short ones are merged, and
-    what they hold ``need - L`` times or more is looked up in the long ones by binary search.
+class Lists:
+    """Inverted lists of a block in flat arrays: list l is ``owner[begin[l]:begin[l + 1]]``, ascending; lists of one document are left out."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        sizes = np.array([len(s) for s in sets], np.int64)
+        flat = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        by = np.argsort(flat, kind="stable")
+        flat, owner = flat[by], owner[by]
+        new = np.r_[True, flat[1:] != flat[:-1]]
+        first = np.flatnonzero(new)
+        many = np.diff(np.r_[first, len(flat)]) > 1
+        keep = np.repeat(many, np.diff(np.r_[first, len(flat)]))
+        self.owner = owner[keep]
+        code = (np.cumsum(many) - 1)[(np.cumsum(new) - 1)[keep]]
+        self.begin = np.r_[np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, np.int64), len(code)]
+        self.docs = len(sets)
+        self.places = code * self.docs + self.owner  # ascending: what the binary search goes through
+        by = np.argsort(self.owner, kind="stable")
+        self.of = code[by]  # the lists of each document
+        self.of_begin = np.searchsorted(self.owner[by], np.arange(self.docs + 1))
+
+
+def t_occurrence(lists: Lists, query: int, need: int, longest: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """DivideSkip: the documents on at least ``need`` of a document's inverted lists, and on how many.
+
+    The ``L`` longest lists are set aside (``L = need / (mu log2(longest) + 1)``, mu = 0.01); the short ones are
+    merged, and what they hold ``need - L`` times or more is looked up in the long ones by binary search.
     """
-    mine = sorted((lists[x] for x in query.tolist() if x in lists), key=len)
+    none = np.zeros(0, np.int64)
+    mine = lists.of[lists.of_begin[query] : lists.of_begin[query + 1]]
     if len(mine) < need or need < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return none, none
+    size = lists.begin[mine + 1] - lists.begin[mine]
+    by = np.argsort(size, kind="stable")
+    mine, size = mine[by], size[by]
     if longest is None:
-        longest = int(need / (0.01 * math.log2(max(2, len(mine[-1]))) + 1))
-    longest = min(longest, need - 1, len(mine) - 1)
-    short, long = mine[: len(mine) - longest], mine[len(mine) - longest :]
-    count = np.bincount(np.concatenate(short), minlength=docs)
+        longest = int(need / (0.01 * math.log2(max(2, int(size[-1]))) + 1))
+    longest = max(0, min(longest, need - 1, len(mine) - 1))
+    short, length = mine[: len(mine) - longest], size[: len(mine) - longest]
+    at = np.repeat(lists.begin[short] - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(int(length.sum()))
+    count = np.bincount(lists.owner[at], minlength=lists.docs)
     found = np.flatnonzero(count >= need - longest)
     count = count[found]
-    for k, held in enumerate(long):
-        at = np.searchsorted(held, found)
-        at[at == len(held)] = 0
-        count = count + (held[at] == found)
-        alive = count + (longest - 1 - k) >= need
+    long = mine[len(mine) - longest :]
+    for a in range(0, len(long), 64):  # a document that can no longer reach ``need`` is not looked up again
+        some = long[a : a + 64]
+        places = (some[:, None] * lists.docs + found[None, :]).ravel()
+        at = np.searchsorted(lists.places, places)
+        at[at == len(lists.places)] = 0
+        count = count + (lists.places[at] == places).reshape(len(some), -1).sum(axis=0)
+        alive = count + max(0, len(long) - a - 64) >= need
         found, count = found[alive], count[alive]
         if not len(found):
             break
@@ -257,32 +309,24 @@ def search(nodes: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, percent
     sizes = np.array([len(sets[i]) for i in order], np.int64)
     side = sides[order]
     across = bool((side == 0).any() and (side == 1).any())
-    up = list(range(len(order)))
+    up = np.arange(len(order))
 
     def top(x: int) -> int:
         while up[x] != x:
             up[x] = up[up[x]]
-            x = up[x]
+            x = int(up[x])
         return x
 
-    flat = np.concatenate([sets[i] for i in order])
-    owner = np.repeat(np.arange(len(order)), sizes)
-    by = np.argsort(flat, kind="stable")
-    flat, owner = flat[by], owner[by]
-    begin = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-    end = np.r_[begin[1:], len(flat)]
-    lists = {int(flat[a]): owner[a:z] for a, z in zip(begin.tolist(), end.tolist()) if z - a > 1}
+    lists = Lists([sets[i] for i in order])
     for q in range(len(order) - 1, -1, -1):
         n = int(sizes[q])
         least = (percent * n + 99) // 100  # the smallest partner
         need = -(-percent * (n + least) // (100 + percent))
-        found, count = t_occurrence(lists, sets[order[q]], need, len(order))
-        below = found < q
-        found, count = found[below], count[below]
-        good = count * (100 + percent) >= percent * (n + sizes[found])
+        found, count = t_occurrence(lists, q, need)
+        good = (found < q) & (count * (100 + percent) >= percent * (n + sizes[found]))
+        if across:
+            good &= side[found] != side[q]
         for d in found[good].tolist():
-            if across and side[d] == side[q]:
-                continue
             a, b = top(q), top(d)
             if a != b:
                 up[a] = b
@@ -338,13 +382,14 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, block
     long_lists = spark.sparkContext.broadcast(held)
 
     short = docs.select("text").where("text is not null").mapInArrow(lambda it: _short_lists(it, width, percent, long_lists), schema(key="bigint", node="bigint"))
-    shared = cut(short.repartition(p, "key").sortWithinPartitions("key", "node").mapInArrow(_shared, schema(key="bigint", node="bigint", block="bigint")))
+    shared = cut(short.repartition(p, "key").sortWithinPartitions("key", "node").mapInArrow(_shared, schema(key="bigint", node="bigint")))
     compared = (
-        shared.join(nodes.select("node", "n", "bits"), "node").select("key", "n", "node", "block", "bits")
+        shared.join(nodes.select("node", "n", "bits"), "node").select("key", "n", "node", "bits")
         .repartition(p, "key").sortWithinPartitions("key", "n", "node")
         .mapInArrow(lambda it: _marked(it, percent), schema(block="bigint", node="bigint"))
     )
-    marked = cut(compared.distinct())
+    marked = compared.distinct()
+    marked = cut(components(marked.select(F.col("block").alias("a"), F.col("node").alias("b"))).select(F.col("component").alias("block"), "node"))
     # blocks of more nodes than one task takes go out as pairs of chunks
     sizes = marked.groupBy("block").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("k"))
     dealt = marked.join(sizes, "block").withColumn("c", F.pmod(F.xxhash64("node", F.lit(7)), F.col("k")).cast("int"))
