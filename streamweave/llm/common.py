@@ -18,16 +18,19 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder of ``spark.checkpoint.dir`` and go on from there.
-
-    A reliable checkpoint: an executor that is lost takes nothing with it. The folder
-    is set here only where the session has none, as in tests on one machine.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share; a temporary one only where that is unset, as in tests on one machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        shared = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoints-")
     if not spark.sparkContext.getCheckpointDir():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
+        spark.sparkContext.setCheckpointDir(shared)
+    return shared
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write the rows to the shared folder and go on from there: a reliable checkpoint, so an executor that is lost takes nothing with it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -156,13 +159,17 @@ def chunks(off: np.ndarray):
         i = min(j, n)
 
 
-def hashed_words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the texts between the offsets: a hash of every word ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, and the n + 1 places where each text's words begin."""
+def hashed_words(buf: np.ndarray, off: np.ndarray, spans: bool = False):
+    """Of the texts between the offsets: a hash of every word ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, and the n + 1 places where each text's words begin.
+
+    With ``spans`` also the bytes, counted from the first offset, at which each word begins and ends.
+    """
     low, high = int(off[0]), int(off[-1])
     b = buf[low:high]
     n = len(b)
+    none = np.zeros(0, np.int64)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
+        return (np.zeros(0, np.uint64), np.zeros(len(off), np.int64), *[none] * (2 * spans))
     _powers(n + 1)
     word = ~_BLANK[b]
     edge = np.zeros(n + 1, bool)  # a text begins here
@@ -179,7 +186,8 @@ def hashed_words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
         run = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[b] * _POW[:n], out=run[1:])
         h = mix((run[ends] - run[starts]) * _INV[starts])
-    return h, np.searchsorted(starts, np.asarray(off) - low)
+    at = np.searchsorted(starts, np.asarray(off) - low)
+    return (h, at, starts, ends) if spans else (h, at)
 
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
