@@ -69,7 +69,7 @@ def parse(words: list[str]) -> tuple[Verb, dict]:
                 options[key] = _KINDS[kind](words[i])
         i += 1
     rest = words[i:]
-    if v.positional:
+    if v.positional and not (v.positional == "text" and ("text" in options or "path" in options)):
         if not rest:
             raise ValueError(f"{v.name} needs {v.positional}")
         if v.positional == "args":
