@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import md5_key, narrowed, partitions, unit, with_offsets
+from .common import cut, md5_key, narrowed, partitions, unit, with_offsets
 
 #: A run of anything but ASCII white space is a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -53,10 +53,16 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float =
 
 
 def _counted(rows: DataFrame, seed: str, weights, share: float, most: float) -> DataFrame:
-    """``rows`` with _doc_id, _source, _size, _text_hash; adds _source_size, _target and _taken."""
+    """``rows`` with _doc_id, _source, _size, _text_hash; adds _source_size, _target and _taken.
+
+    What is summed is cut first, without texts: sizes, targets and bucket sums all go over those narrow rows.
+    """
     p = partitions(rows.sparkSession)
     rows = rows.withColumn("_key", md5_key(F.col("_doc_id"), F.lit(seed)))
-    narrow = rows.select("_source", "_size", "_key")
+    if "_row" in rows.columns:
+        narrow = cut(rows.select("_source", "_size", "_key"))
+    else:
+        narrow = rows = cut(rows)
     sizes = narrow.groupBy("_source").agg(F.sum("_size").alias("source_size"), F.count("*").alias("rows"))
     goal = targets(sizes.select(F.col("_source").alias("source"), "source_size"), weights, share, most)
     every = Window.partitionBy()

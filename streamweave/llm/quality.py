@@ -35,7 +35,7 @@ LABELLERS = (
     ("recent", 0.25, 0.4, 8),  # words that are one of the three before
     ("unstopped", 0.98, 0.999, 30),  # words that do not end a sentence
     ("single", 0.15, 0.2, 5),  # words of one byte
-    ("letterless", 0.03, 0.08, 1),  # words without a letter
+    ("wordless", 0.03, 0.08, 1),  # words without a letter or digit
 )
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#$%&*|{}<>=~^_\\+@[]/`"]] = True
@@ -46,6 +46,7 @@ _UPPER[65:91] = True
 _LOWER = np.zeros(256, bool)
 _LOWER[97:123] = True
 _LETTER = _UPPER | _LOWER
+_LETTER[48:58] = True
 _LETTER[128:] = True
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
