@@ -25,11 +25,11 @@ from itertools import chain
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import narrowed, schema
+from .common import claim, holds, narrowed, schema
 from .token_counts import Memo, _by_size
 
 #: Token pairs that a worker remembers; beyond, it begins anew.
-SEAMS = 400_000
+SEAMS = 250_000
 
 
 class Prefixes:
@@ -89,7 +89,7 @@ class Bpe:
         self.text_of = {r: str(r) for r in self.bytes_of}
         self.longest = max(map(len, self.ranks))
         self.pattern = regex.compile(pattern)
-        self.memo = Memo()
+        self.memo = Memo(120_000)
         self.seams: dict[int, bool] = {}  # before << 32 | token: whether they may stand so
         self.suffixes = {b[k:] for b in self.ranks for k in range(len(b))}
         self.pair: dict[tuple[int, int], int] = {}
@@ -223,9 +223,13 @@ def bpe(path: str, pattern: str) -> Bpe:
     return Bpe(path, pattern)
 
 
+holds("bpe", bpe.cache_clear)
+
+
 def _digests(batches, path: str, pattern: str):
     import pyarrow as pa
 
+    claim("bpe")
     b = bpe(path, pattern)
     for batch in batches:
         n, ids_hash, back_hash = [], [], []
@@ -247,6 +251,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 def _with_ids(batches, path: str, pattern: str, column: str, name: str):
     import pyarrow as pa
 
+    claim("bpe")
     b = bpe(path, pattern)
     for batch in batches:
         rows = batch.column(batch.schema.get_field_index(column)).to_pylist()
@@ -269,6 +274,7 @@ def decode_rows(rows: DataFrame, path: str, pattern: str, column: str = "token_i
     def back(batches):
         import pyarrow as pa
 
+        claim("bpe")
         b = bpe(path, pattern)
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index(column)).to_pylist()

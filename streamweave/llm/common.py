@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -103,10 +104,45 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(tops)
 
 
+# ---------------------------------------------------------------- the memory of Python workers
+
+_HELD: dict[str, Callable[[], None]] = {}
+_OWNER: list[str] = []
+
+
+def holds(owner: str, drop: Callable[[], None]) -> None:
+    """Say how the caches that an operator keeps in a worker are dropped."""
+    _HELD[owner] = drop
+
+
+def claim(owner: str) -> None:
+    """At the start of a task: a worker keeps the caches of the operator that it works for now, and gives the rest back.
+
+    Workers outlive tasks and stages; without this, each would keep what every stage of a pipeline has cached.
+    """
+    if _OWNER == [owner]:
+        return
+    _OWNER[:] = [owner]
+    for name, drop in _HELD.items():
+        if name != owner:
+            drop()
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 # ---------------------------------------------------------------- words and shingles in flat arrays
 
 #: Bytes of text that are hashed at once; a longer text is a chunk of its own.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _POW = np.ones(1, np.uint64)
 _INV = np.ones(1, np.uint64)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import chunks, hashed_words, mix, narrowed, partitions, schema
+from .common import chunks, claim, hashed_words, mix, narrowed, partitions, schema
 
 SAMPLES = 64
 _32 = np.uint64(32)
@@ -115,6 +115,7 @@ def _in_order(batches, k: int):
     """Rows bucket, last, doc_id, text in order: each row of a bucket with the next one; the bucket's last row (``last`` = 1) only follows."""
     import pyarrow as pa
 
+    claim("fingerprints")
     held = None  # bucket, last, doc_id, text, fingerprint
     done: list[tuple] = []
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import narrowed, schema
+from .common import claim, narrowed, schema
 
 SIZE = 300
 PER_LANGUAGE = 5000
@@ -132,6 +132,7 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, size: int = SIZE) -
 def _predictions(batches, profiles: Profiles, at: int):
     import pyarrow as pa
 
+    claim("language_id")
     for batch in batches:
         lang, score = [], []
         for t in batch.column(at).to_pylist():

@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, hashed_words, mix, narrowed, partitions, schema, shingle_sets, texts  # noqa: F401
+from .common import claim, components, cut, mix, narrowed, partitions, schema, shingle_sets, texts
 
 #: Nodes of a block that are searched together.
 BLOCK = 8192
@@ -68,6 +68,7 @@ def prefix_length(n: int, percent: int) -> int:
 def _signatures(batches, width: int, percent: int):
     import pyarrow as pa
 
+    claim("ngram_join")
     seen: set[int] = set()  # equal sets count once a task
     for batch in batches:
         buf, off = texts(batch.column(1))
@@ -90,6 +91,7 @@ def _signatures(batches, width: int, percent: int):
 def _short_lists(batches, width: int, percent: int, long_lists):
     import pyarrow as pa
 
+    claim("ngram_join")
     long = long_lists.value
     seen: set[int] = set()  # equal sets of one task go out once
     for batch in batches:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, hashed_words, narrowed, schema, texts
+from .common import chunks, claim, hashed_words, narrowed, schema, texts
 
 SAMPLE = 4000
 #: Buckets of the hashed features: a power of two.
@@ -189,6 +189,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     def seen(batches):
         import pyarrow as pa
 
+        claim("quality")
         for batch in batches:
             buf, off = texts(batch.column(0))
             for i, j in chunks(off):
@@ -207,6 +208,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     def features(batches):
         import pyarrow as pa
 
+        claim("quality")
         for batch in batches:
             buf, off = texts(batch.column(0))
             for i, j in chunks(off):
@@ -260,6 +262,7 @@ def classify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        claim("quality")
         for batch in batches:
             buf, off = texts(batch.column(1))
             s, weak = scores(buf, off, model)
@@ -276,6 +279,7 @@ def keep_good(docs: DataFrame, model: Model | None = None) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        claim("quality")
         for batch in batches:
             buf, off = texts(batch.column(at))
             s, _ = scores(buf, off, model)

@@ -22,7 +22,7 @@ import json
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import narrowed, schema
+from .common import claim, holds, narrowed, schema
 
 #: Pre-tokens of one generation of a worker's memo.
 MEMO = 250_000
@@ -145,6 +145,9 @@ def merger(path: str, pattern: str) -> Merger:
     return Merger(path, pattern)
 
 
+holds("token_counts", merger.cache_clear)
+
+
 def _by_size(texts: list, most: int = 1_500_000):
     """Slices of about ``most`` characters."""
     a = size = 0
@@ -161,6 +164,7 @@ def _count(batches, path: str, pattern: str, limit: int):
     import pyarrow as pa
     import pyarrow.compute as pc
 
+    claim("token_counts")
     m = merger(path, pattern)
     for batch in batches:
         column = batch.column(1)
