@@ -313,17 +313,17 @@ def _same_kind(ints: Callable, floats: Callable) -> Callable:
     return lambda a: I(ints(a.c)) if a.kind == "int" else D(floats(dbl(a)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _erf(x: pd.Series) -> pd.Series:
     return x.map(math.erf, na_action="ignore")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _erfc(x: pd.Series) -> pd.Series:
     return x.map(math.erfc, na_action="ignore")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _invqnorm(x: pd.Series) -> pd.Series:
     from statistics import NormalDist
 
@@ -331,7 +331,7 @@ def _invqnorm(x: pd.Series) -> pd.Series:
     return x.map(lambda p: inv(p) if 0 < p < 1 else 0.0, na_action="ignore")
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def _mexp(a: pd.Series, b: pd.Series, m: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(x) or pd.isna(y) or pd.isna(z) or z == 0 else pow(int(x), int(y), int(z)) for x, y, z in zip(a, b, m)], dtype="Int64")
 
@@ -1126,6 +1126,17 @@ _add("flatten", 2, 3, lambda a, b, c=None: _flat(c, a.literal, b.literal) if c i
 _add("unflatten", 2, 2, lambda m, s: m)
 
 
+def stat(path: Val) -> Val:
+    """What the driver's file system tells of a path."""
+    st = os.stat(path.literal)
+    pairs = {"name": path.literal, "size": str(st.st_size), "mode": oct(st.st_mode & 0o7777), "modtime": str(int(st.st_mtime)), "isdir": str(os.path.isdir(path.literal)).lower()}
+    return Val(F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv]), "map", TEXT_MAP)
+
+
+_add("stat", 1, 1, stat)
+_add("next", 0, 0, lambda: _refuse("next steps through records one after the other: a script's loop is the stream itself"))
+
+
 def _refuse(why: str):
     raise ValueError(why)
 

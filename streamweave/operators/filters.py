@@ -32,10 +32,9 @@ def tail(s: Stream, n=10, g=()) -> Stream:
         back = s.with_df(s.df.orderBy(*s.by(reverse=True)).limit(n))
         return back
     if g:
-        s = s.where(all_present(s, g))
+        s = regrouped(s.where(all_present(s, g)), g)
     rank = F.row_number().over(s.window(*g, reverse=not onward))
-    out = s.with_df(s.df.withColumn("_rank", rank).where(F.col("_rank") >= n if onward else F.col("_rank") <= n).drop("_rank"))
-    return regrouped(out, g) if g else out
+    return s.with_df(s.df.withColumn("_rank", rank).where(F.col("_rank") >= n if onward else F.col("_rank") <= n).drop("_rank"))
 
 
 @verb("decimate", "-n=n:int -b=b:true -e=e:true -g=g:list")

@@ -57,8 +57,19 @@ def _steps(program):
 
 
 def accumulates(program) -> bool:
-    """Whether the program carries variables from record to record."""
-    return any(isinstance(x, tuple) and len(x) == 5 and isinstance(x[1], list) and isinstance(x[2], str) for x in _steps(program))
+    """Whether the program carries variables from record to record; one that is only set and used within a record does not count."""
+    ends = [st for st in program if st[0] == "end"]
+    return any(_is_step(x) and (x[2] != "last" or _names(ends, x[0]) or x[1]) for x in _steps(program))
+
+
+def _is_step(x) -> bool:
+    return isinstance(x, tuple) and len(x) == 5 and isinstance(x[1], list) and isinstance(x[2], str)
+
+
+def _names(e, name: str) -> bool:
+    if isinstance(e, tuple) and e[:1] in (("oos",), ("allvars",)):
+        return e[0] == "allvars" or e[1] == name
+    return isinstance(e, (list, tuple)) and any(_names(x, name) for x in e)
 
 
 def accumulated(s: Stream, program, presets=None) -> Stream:

@@ -449,6 +449,8 @@ class Compiler:
         self.keep: Column | None = None
         self.bare: Column | None = None
         self.captures: tuple[Column, str] | None = None
+        #: Variables that were read before they were set: they hold what an earlier record left.
+        self.early: set[str] = set()
         self.depth = 0
         self.emitted: list[tuple[Column | None, Record]] = []
 
@@ -478,6 +480,8 @@ class Compiler:
             name = names[at - 1 if at > 0 else at]
             return lit(name) if k == "posname" else self.fields[name]
         if k == "oos":
+            if e[1] not in self.vars:
+                self.early.add(e[1])
             return self.vars.get(e[1], lit(None))
         if k == "name":
             return self._name(e[1], scope)
@@ -939,7 +943,7 @@ class Compiler:
         elif k == "oos":
             old = self.vars.get(target[1], lit(None))
             new = self._assigned(old, op, e, scope)
-            if not (isinstance(new, Val) and new.literal is not None) and not isinstance(new, Record):
+            if guard is not None or target[1] in self.early:
                 raise ValueError(f"@{target[1]} is carried from record to record")
             self.vars[target[1]] = new
         else:
