@@ -25,8 +25,8 @@ from itertools import chain
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import claim, holds, narrowed, schema
-from .token_counts import Memo, _by_size
+from .common import holds, narrowed, schema, task
+from .token_counts import Memo, slices
 
 #: Token pairs that a worker remembers; beyond, it begins anew.
 SEAMS = 250_000
@@ -226,16 +226,15 @@ def bpe(path: str, pattern: str) -> Bpe:
 holds("bpe", bpe.cache_clear)
 
 
+@task("bpe")
 def _digests(batches, path: str, pattern: str):
     import pyarrow as pa
 
-    claim("bpe")
     b = bpe(path, pattern)
     for batch in batches:
         n, ids_hash, back_hash = [], [], []
-        texts = batch.column(1).to_pylist()
-        for a, z in _by_size(texts):
-            for ids in b.encode_all(texts[a:z]):
+        for _, _, texts in slices(batch.column(1)):
+            for ids in b.encode_all(texts):
                 n.append(len(ids))
                 ids_hash.append(hashlib.sha256(",".join(map(b.text_of.__getitem__, ids)).encode()).hexdigest())
                 back_hash.append(hashlib.sha256(b.decode(ids)).hexdigest())
@@ -248,15 +247,14 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return docs.mapInArrow(lambda it: _digests(it, path, pattern), schema(doc_id="bigint", n_tokens="bigint", ids_sha256="string", decoded_sha256="string"))
 
 
+@task("bpe")
 def _with_ids(batches, path: str, pattern: str, column: str, name: str):
     import pyarrow as pa
 
-    claim("bpe")
     b = bpe(path, pattern)
     for batch in batches:
-        rows = batch.column(batch.schema.get_field_index(column)).to_pylist()
-        for a, z in _by_size(rows):
-            ids = pa.array(b.encode_all(rows[a:z]), pa.list_(pa.int32()))
+        for a, z, texts in slices(batch.column(batch.schema.get_field_index(column))):
+            ids = pa.array(b.encode_all(texts), pa.list_(pa.int32()))
             part = batch.slice(a, z - a)
             yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, name])
 
@@ -271,10 +269,10 @@ def encode_rows(docs: DataFrame, path: str, pattern: str, column: str = "text",
 def decode_rows(rows: DataFrame, path: str, pattern: str, column: str = "token_ids", name: str = "decoded") -> DataFrame:
     """``rows`` with the bytes of the ids in ``column`` as a binary column ``name``; null ids give null."""
 
+    @task("bpe")
     def back(batches):
         import pyarrow as pa
 
-        claim("bpe")
         b = bpe(path, pattern)
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index(column)).to_pylist()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 from collections.abc import Callable
 
@@ -115,17 +116,8 @@ def holds(owner: str, drop: Callable[[], None]) -> None:
     _HELD[owner] = drop
 
 
-def claim(owner: str) -> None:
-    """At the start of a task: a worker keeps the caches of the operator that it works for now, and gives the rest back.
-
-    Workers outlive tasks and stages; without this, each would keep what every stage of a pipeline has cached.
-    """
-    if _OWNER == [owner]:
-        return
-    _OWNER[:] = [owner]
-    for name, drop in _HELD.items():
-        if name != owner:
-            drop()
+def settle() -> None:
+    """Give free memory back to the system: at the end of a task a worker may lie idle for long."""
     import ctypes
     import gc
 
@@ -139,6 +131,32 @@ def claim(owner: str) -> None:
         pass
 
 
+def task(owner: str):
+    """A function over the batches of a task, of the operator ``owner``.
+
+    Workers outlive tasks and stages. At its start, a task drops what other operators have cached in its worker; at its end,
+    it gives free memory back.
+    """
+
+    def wrap(f):
+        @functools.wraps(f)
+        def run(batches, *args, **named):
+            if _OWNER != [owner]:
+                _OWNER[:] = [owner]
+                for name, drop in _HELD.items():
+                    if name != owner:
+                        drop()
+                settle()
+            try:
+                yield from f(batches, *args, **named)
+            finally:
+                settle()
+
+        return run
+
+    return wrap
+
+
 # ---------------------------------------------------------------- words and shingles in flat arrays
 
 #: Bytes of text that are hashed at once; a longer text is a chunk of its own.

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, narrowed, partitions, schema
+from .common import components, cut, narrowed, partitions, schema, task
 
 SHARD = 8192
 #: Links of a node on the lowest level and on the others; beam while building.
@@ -258,6 +258,7 @@ def _shard(units: np.ndarray, copies: np.ndarray, own: np.ndarray, vectors: np.n
     return units[said], links[said], units[up[said]]
 
 
+@task("embedding_dedup")
 def _shards(batches, least: float):
     import pyarrow as pa
 

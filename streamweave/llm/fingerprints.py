@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import chunks, claim, hashed_words, mix, narrowed, partitions, schema
+from .common import chunks, hashed_words, mix, narrowed, partitions, schema, task
 
 SAMPLES = 64
 _32 = np.uint64(32)
@@ -95,6 +95,7 @@ def likeness(a: np.ndarray | None, b: np.ndarray | None) -> float:
 def fingerprint_rows(docs: DataFrame, k: int = SAMPLES) -> DataFrame:
     """The general interface: ``doc_id, fingerprint`` per row of ``docs`` (doc_id, text)."""
 
+    @task("fingerprints")
     def run(batches):
         import pyarrow as pa
 
@@ -111,11 +112,11 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+@task("fingerprints")
 def _in_order(batches, k: int):
     """Rows bucket, last, doc_id, text in order: each row of a bucket with the next one; the bucket's last row (``last`` = 1) only follows."""
     import pyarrow as pa
 
-    claim("fingerprints")
     held = None  # bucket, last, doc_id, text, fingerprint
     done: list[tuple] = []
 

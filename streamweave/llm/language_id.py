@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import claim, narrowed, schema
+from .common import narrowed, schema, task
 
 SIZE = 300
 PER_LANGUAGE = 5000
@@ -109,6 +109,7 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, size: int = SIZE) -
         share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, r["share"]))).otherwise(share)
     train = train.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < share * float(1 << 30))
 
+    @task("language_id")
     def count(batches):
         import pyarrow as pa
 
@@ -129,10 +130,10 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, size: int = SIZE) -
     return Profiles({k: v for k, v in out.items() if v}, size)
 
 
+@task("language_id")
 def _predictions(batches, profiles: Profiles, at: int):
     import pyarrow as pa
 
-    claim("language_id")
     for batch in batches:
         lang, score = [], []
         for t in batch.column(at).to_pylist():
@@ -147,6 +148,7 @@ def identify(docs: DataFrame, profiles: Profiles | None = None) -> DataFrame:
     profiles = profiles or learn(docs)
     rows = narrowed(docs, doc_id="bigint", text="string")
 
+    @task("language_id")
     def run(batches):
         for batch in _predictions(batches, profiles, 1):
             yield batch.select(["doc_id", "lang_pred", "score"])
@@ -163,6 +165,7 @@ def keep_known(docs: DataFrame, least: float = 0.2) -> DataFrame:
     at = docs.columns.index("text")
     kinds = T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_lang_score", T.DoubleType())])
 
+    @task("language_id")
     def run(batches):
         for batch in _predictions(batches, profiles, at):
             yield batch.rename_columns([*batch.schema.names[:-2], "_lang_pred", "_lang_score"])

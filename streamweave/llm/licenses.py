@@ -20,7 +20,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrowed, schema
+from .common import narrowed, schema, task
 
 # The wording of public licenses and of the usual notices.
 TEMPLATES = {
@@ -162,6 +162,7 @@ def scan(docs: DataFrame, agree: float = 0.9, gain: float = 0.15) -> DataFrame:
     """Findings in ``docs`` (doc_id, text): ``doc_id, license, begin, end`` (characters), ``wording, agreement, reduction, differences``."""
     docs = narrowed(docs, doc_id="bigint", text="string").where(F.col("text").rlike(TRIGGER))
 
+    @task("licenses")
     def run(batches):
         import pyarrow as pa
 

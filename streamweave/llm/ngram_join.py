@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, components, cut, mix, narrowed, partitions, schema, shingle_sets, texts
+from .common import components, cut, mix, narrowed, partitions, schema, shingle_sets, task, texts
 
 #: Nodes of a block that are searched together.
 BLOCK = 8192
@@ -65,10 +65,10 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
+@task("ngram_join")
 def _signatures(batches, width: int, percent: int):
     import pyarrow as pa
 
-    claim("ngram_join")
     seen: set[int] = set()  # equal sets count once a task
     for batch in batches:
         buf, off = texts(batch.column(1))
@@ -88,10 +88,10 @@ def _signatures(batches, width: int, percent: int):
         )
 
 
+@task("ngram_join")
 def _short_lists(batches, width: int, percent: int, long_lists):
     import pyarrow as pa
 
-    claim("ngram_join")
     long = long_lists.value
     seen: set[int] = set()  # equal sets of one task go out once
     for batch in batches:
@@ -151,6 +151,7 @@ def _runs(batches, columns: int):
         yield [np.concatenate(h) for h in held]
 
 
+@task("ngram_join")
 def _shared(batches):
     """Of rows sorted by key, node: the distinct ones whose key has two nodes or more."""
     import pyarrow as pa
@@ -198,6 +199,7 @@ def _unite(up: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             up[max(x, y)] = min(x, y)
 
 
+@task("ngram_join")
 def _marked(batches, percent: int):
     """Of rows key, n, node, bits sorted by key, n: pairs of a list that may link, as a spanning forest block, node.
 
@@ -335,6 +337,7 @@ def search(nodes: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, percent
                 yield int(nodes[order[q]]), int(nodes[order[d]])
 
 
+@task("ngram_join")
 def _links(batches, width: int, percent: int):
     """Of rows task, node, side, text sorted by task: links."""
     import pyarrow as pa

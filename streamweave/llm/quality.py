@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, claim, hashed_words, narrowed, schema, texts
+from .common import chunks, hashed_words, narrowed, schema, task, texts
 
 SAMPLE = 4000
 #: Buckets of the hashed features: a power of two.
@@ -186,10 +186,10 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of the rows of ``docs`` (doc_id, text). ``sample`` bounds the documents that the scorer is fitted on."""
     rows = narrowed(docs, doc_id="bigint", text="string")
 
+    @task("quality")
     def seen(batches):
         import pyarrow as pa
 
-        claim("quality")
         for batch in batches:
             buf, off = texts(batch.column(0))
             for i, j in chunks(off):
@@ -205,10 +205,10 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     p, accuracy = estimate(patterns, counts)
     known = dict(zip(patterns.tolist(), p.tolist()))
 
+    @task("quality")
     def features(batches):
         import pyarrow as pa
 
-        claim("quality")
         for batch in batches:
             buf, off = texts(batch.column(0))
             for i, j in chunks(off):
@@ -259,10 +259,10 @@ def classify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): ``doc_id, weak_label, score, kept`` (score of 0.5 or more)."""
     model = model or learn(docs)
 
+    @task("quality")
     def run(batches):
         import pyarrow as pa
 
-        claim("quality")
         for batch in batches:
             buf, off = texts(batch.column(1))
             s, weak = scores(buf, off, model)
@@ -276,10 +276,10 @@ def keep_good(docs: DataFrame, model: Model | None = None) -> DataFrame:
     model = model or learn(docs)
     at = docs.columns.index("text")
 
+    @task("quality")
     def run(batches):
         import pyarrow as pa
 
-        claim("quality")
         for batch in batches:
             buf, off = texts(batch.column(at))
             s, _ = scores(buf, off, model)

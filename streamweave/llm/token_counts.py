@@ -22,7 +22,7 @@ import json
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import claim, holds, narrowed, schema
+from .common import holds, narrowed, schema, task
 
 #: Pre-tokens of one generation of a worker's memo.
 MEMO = 250_000
@@ -148,30 +148,30 @@ def merger(path: str, pattern: str) -> Merger:
 holds("token_counts", merger.cache_clear)
 
 
-def _by_size(texts: list, most: int = 1_500_000):
-    """Slices of about ``most`` characters."""
-    a = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most:
-            yield a, i + 1
-            a, size = i + 1, 0
-    if a < len(texts):
-        yield a, len(texts)
+def slices(column, most: int = 500_000):
+    """An Arrow text column as lists of about ``most`` bytes each, with the rows that they are."""
+    import pyarrow.compute as pc
+
+    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(column):
+        before = size[a - 1] if a else 0
+        z = max(a + 1, int(np.searchsorted(size, before + most, side="right")))
+        yield a, z, column.slice(a, z - a).to_pylist()
+        a = z
 
 
+@task("token_counts")
 def _count(batches, path: str, pattern: str, limit: int):
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    claim("token_counts")
     m = merger(path, pattern)
     for batch in batches:
         column = batch.column(1)
-        texts = column.to_pylist()
         n: list[int] = []
-        for a, z in _by_size(texts):
-            n += m.counts(texts[a:z])
+        for _, _, texts in slices(column):
+            n += m.counts(texts)
         size = pc.fill_null(pc.binary_length(column), 0).cast(pa.int64())
         tokens = pa.array(n, pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0), size, tokens, pc.greater(tokens, limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
