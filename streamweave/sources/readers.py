@@ -77,6 +77,8 @@ def _csv(spark, path, fields=None, header=True, fs=None, ragged=False, quote='"'
     df = reader.csv(path)
     if not header:
         df = df.toDF(*(fields or [str(i + 1) for i in range(len(df.columns))]))
+    # every row has every field: what stands empty in the file is empty, not absent
+    df = df.select(*[F.coalesce(col(c), F.lit("")).alias(c) for c in df.columns])
     return _stream(df.withColumn("_ord", F.monotonically_increasing_id()))
 
 
@@ -171,7 +173,7 @@ def _recutils(spark, path, fields=None, **_):
 
 def _stanzas(spark, path, cells, fields=None, skip: str | None = None) -> Stream:
     """Whole files: stanzas apart by blank lines, each with its header line. ``cells``: of a line, its cells."""
-    files = spark.read.option("wholetext", True).text(path).withColumn("_ord", F.monotonically_increasing_id())
+    files = spark.read.text(path, wholetext=True).withColumn("_ord", F.monotonically_increasing_id())
     stanza = files.select("_ord", F.posexplode(F.split("value", "\n[ \t]*\n")).alias("_s", "text"))
     lines = F.filter(F.split("text", "\r?\n"), lambda p: (p != "") & (~p.rlike(skip) if skip else F.lit(True)))
     rows = stanza.select("_ord", "_s", F.transform(lines, cells).alias("l")).where(F.size("l") > 1)
@@ -202,7 +204,7 @@ def _markdown(spark, path, fields=None, **_):
 
 def _yaml(spark, path, fields=None, **_):
     """Documents or a list of flat maps: ``key: value`` lines, apart by ``---`` or a dash."""
-    files = spark.read.option("wholetext", True).text(path).withColumn("_ord", F.monotonically_increasing_id())
+    files = spark.read.text(path, wholetext=True).withColumn("_ord", F.monotonically_increasing_id())
     docs = files.select("_ord", F.posexplode(F.split(F.regexp_replace("value", r"(?m)^- ", "---\n"), r"(?m)^---\s*$")).alias("_pos", "text"))
     lines = F.filter(F.split("text", "\n"), lambda p: p.rlike(r"^\s*[^#\s][^:]*:(\s|$)"))
     unquote = lambda c: F.regexp_replace(c, r"""^(["'])(.*)\1$""", "$2")
