@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.stream import Stream, all_present, col, java_regex, nonempty
+from ..plans.ordered import running
 from .registry import verb
 
 
@@ -33,6 +34,8 @@ def tail(s: Stream, n=10, g=()) -> Stream:
         return back
     if g:
         s = regrouped(s.where(all_present(s, g)), g)
+    elif onward:
+        return s.with_df(running(s, {}, number="_rank").df.where(F.col("_rank") >= n).drop("_rank"))
     rank = F.row_number().over(s.window(*g, reverse=not onward))
     return s.with_df(s.df.withColumn("_rank", rank).where(F.col("_rank") >= n if onward else F.col("_rank") <= n).drop("_rank"))
 
@@ -42,8 +45,10 @@ def decimate(s: Stream, n=10, b=False, e=False, g=()) -> Stream:
     """One of each n records of a group: the last, or (``b``) the first."""
     if g:
         s = s.where(all_present(s, g))
-    out = s.df.withColumn("_rank", (F.row_number().over(s.window(*g)) - 1) % n)
-    return s.with_df(out.where(F.col("_rank") == (0 if b else n - 1)).drop("_rank"))
+        out = s.df.withColumn("_rank", F.row_number().over(s.window(*g)))
+    else:
+        out = running(s, {}, number="_rank").df
+    return s.with_df(out.where((F.col("_rank") - 1) % n == (0 if b else n - 1)).drop("_rank"))
 
 
 @verb("grep", "-i=i:true -v=v:true -a=a:true", "pattern")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.stream import HIDDEN, Stream, col, matcher, nonempty
+from ..plans.ordered import running
 from .registry import verb
 
 
@@ -27,10 +28,14 @@ def cat(s: Stream, n=False, name=None, g=(), filename=False, filenum=False) -> S
     if g:
         s = s.where(_all(s, g))
     if n or name:
-        front[name or "n"] = F.row_number().over(s.window(*g)).cast("bigint")
+        if g:
+            front[name or "n"] = F.row_number().over(s.window(*g)).cast("bigint")
+        else:
+            s = running(s, {}, number="_number")
+            front[name or "n"] = col("_number")
     if not front:
         return s
-    return s.select([*[c.alias(k) for k, c in front.items()], *[c for c in s.columns if c not in front]])
+    return s.select([*[c.alias(k) for k, c in front.items()], *[c for c in s.columns if c not in front and c != "_number"]])
 
 
 def _all(s: Stream, names):

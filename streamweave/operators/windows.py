@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.stream import HIDDEN, Stream, all_present, col, is_text, nonempty, number, present
+from ..plans.ordered import running
 from .registry import verb
 
 
@@ -97,30 +98,34 @@ def fraction(s: Stream, f=(), g=(), p=False, c=False) -> Stream:
     """Each value over its group's sum; times 100 (``p``); running (``c``)."""
     new = {}
     groups = [col(x) for x in g]
+    own = s.columns
+    if c and not g:
+        s = running(s, {f"_run:{x}": number(s, x) for x in f})
     for x in f:
         v = number(s, x)
         ok = all_present(s, [x, *g]) & v.isNotNull()
         total = F.sum(F.when(ok, v)).over(Window.partitionBy(*groups))
-        top = F.sum(F.when(ok, v)).over(s.window(*g).rowsBetween(Window.unboundedPreceding, 0)) if c else v
+        top = v if not c else F.sum(F.when(ok, v)).over(s.window(*g).rowsBetween(Window.unboundedPreceding, 0)) if g else col(f"_run:{x}")
         name = f"{x}_{'cumulative_' * c}{'percent' if p else 'fraction'}"
         new[name] = F.when(ok, F.try_divide(top.cast("double") * (100 if p else 1), total.cast("double")))
-    return s.with_columns(new)
+    return s.with_columns(new).select([*own, *new])
 
 
 @verb("fill-down", "-f=f:list -a|--only-if-absent=absent:true --all=every:true --only-if-blank=blank:true")
 def fill_down(s: Stream, f=None, every=False, absent=False, blank=False) -> Stream:
     """The last value for a missing one: absent or empty, or (``absent``) only absent, or (``blank``) only empty."""
     names = s.columns if every else [x for x in f if x in s.columns]
-    w = s.window().rowsBetween(Window.unboundedPreceding, 0)
-    new = {}
+    new, lasts = {}, {}
     for x in names:
         ok = present(s, x) if absent else (col(x).isNull() | nonempty(s, x)) & (col(x).isNotNull()) if blank else nonempty(s, x)
-        last = F.last(F.when(ok, col(x)), ignorenulls=True).over(w)
+        lasts[f"_last:{x}"] = F.when(ok, col(x))
+        last = col(f"_last:{x}")
         if blank:
             new[x] = F.when(col(x).isNull(), col(x)).otherwise(F.coalesce(last, col(x)))
         else:
             new[x] = F.coalesce(last, col(x))
-    return s.with_columns(new)
+    out = running(s, {}, lasts).with_columns(new)
+    return out.select(s.columns)
 
 
 def _blend(a: float):
@@ -182,6 +187,11 @@ def step(s: Stream, a=("shift", "delta", "rsum", "counter"), f=(), g=(), d=("0.5
     for x in f:
         if x in s.columns:
             for how in a:
+                if not g and how in ("rsum", "counter"):
+                    name = f"{x}_{how}"
+                    s = running(s, {name: number(s, x) if how == "rsum" else F.when(nonempty(s, x), 1).otherwise(0)})
+                    new[name] = F.when(nonempty(s, x), col(name))
+                    continue
                 for name, c in _stepped(s, x, how, g, d, o).items():
                     new[name] = F.when(ok, c) if g else c
     return s.with_columns(new)

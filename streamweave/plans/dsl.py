@@ -1045,7 +1045,9 @@ def _with_context(s: Stream, program) -> Stream:
     """Hidden columns for what the program asks of a record's place."""
     new = {}
     if _uses(program, "NR"):
-        new[f"{HIDDEN}NR"] = F.row_number().over(s.window()).cast("bigint")
+        from .ordered import running
+
+        s = s.with_df(running(s, {}, number=f"{HIDDEN}NR").df)
     if _uses(program, "FILENAME"):
         new[f"{HIDDEN}FILENAME"] = F.input_file_name()
     if _uses(program, "FNR"):
