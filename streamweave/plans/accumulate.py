@@ -62,6 +62,11 @@ def accumulates(program) -> bool:
     return any(_is_step(x) and (x[2] != "last" or _names(ends, x[0]) or x[1]) for x in _steps(program))
 
 
+def _assigned_in(body) -> list[str]:
+    """Variables that a block assigns."""
+    return [t[0] for st in body if st[0] == "assign" and (t := _target(st[1]))]
+
+
 def _is_step(x) -> bool:
     return isinstance(x, tuple) and len(x) == 5 and isinstance(x[1], list) and isinstance(x[2], str)
 
@@ -74,7 +79,7 @@ def _names(e, name: str) -> bool:
 
 def accumulated(s: Stream, program, presets=None) -> Stream:
     """The records that the end block emits."""
-    from .dsl import Compiler, _val, _with_context
+    from .dsl import Compiler, NotPlanned, _val, _with_context
 
     s = _with_context(s, program)
     c = Compiler(s, presets)
@@ -91,24 +96,24 @@ def accumulated(s: Stream, program, presets=None) -> Stream:
         if len(x) == 5 and isinstance(x[1], list):
             name, keys, how, e, guards = x
             if _mentions_vars(e) or any(_mentions_vars(k) for k in keys):
-                raise ValueError(f"@{name} depends on other variables: it takes one record after the other")
+                raise NotPlanned(f"@{name} depends on other variables: it takes one record after the other")
             if name in steps:
-                raise ValueError(f"@{name} is assigned twice")
+                raise NotPlanned(f"@{name} is assigned twice")
             guard = None
             for g in guards:
                 p = F.coalesce(fn.boolean(_val(c.eval(g, {}))), F.lit(False))
                 guard = p if guard is None else guard & p
             steps[name] = ([_val(c.eval(k, {})) for k in keys], how, _val(c.eval(e, {})), guard)
-        elif x[0] == "assign" and x[1][0] == "field":
-            c.statement(x, {}, None)
         elif _mentions_vars(x):
-            raise ValueError("a record uses a variable that earlier ones have changed: it takes one record after the other")
+            raise NotPlanned("a record uses a variable that earlier ones have changed: it takes one record after the other")
         elif x[0] in ("assign", "local"):
             c.statement(x, {}, None)
     outs = []
     for st in program:
         if st[0] == "end":
             for x in st[1]:
+                if x[0] == "emit" and any(_names(x[2], n) for n in _assigned_in(st[1])):
+                    raise NotPlanned("the end block computes with variables")
                 if x[0] == "emit":
                     things = []
                     for thing in x[2]:
@@ -119,14 +124,14 @@ def accumulated(s: Stream, program, presets=None) -> Stream:
                         else:
                             t = _target(thing)
                             if t is None or t[1]:
-                                raise ValueError("the end block emits whole variables only")
+                                raise NotPlanned("the end block emits whole variables only")
                             things.append(t)
                     if things:
                         outs.append(_emit(s, [n for n, _ in things], [str(_val(c.eval(k, {})).literal) for k in x[3]], steps, begin, x[1] == "emitp"))
                 elif x[0] == "emitf":
                     outs.append(_emit(s, [_target(e)[0] for e in x[1]], [], steps, begin, False))
                 else:
-                    raise ValueError(f"{x[0]} in an end block takes one record after the other")
+                    raise NotPlanned(f"{x[0]} in an end block takes one record after the other")
     if not outs:
         return s.where(F.lit(False))
     from ..operators.joins import concat
@@ -158,6 +163,7 @@ def _aggregate(s: Stream, how: str, v, guard, start):
 def _emit(s: Stream, names, by, steps, begin, prefixed: bool) -> Stream:
     """Variables side by side (lashed), grouped by the named levels of their keys; further levels are spread over fields."""
     from ..operators.aggregates import grouped
+    from .dsl import NotPlanned
 
     known = [n for n in names if n in steps]
     fixed = {n: begin[n].c for n in names if n not in steps and n in begin}
@@ -166,7 +172,7 @@ def _emit(s: Stream, names, by, steps, begin, prefixed: bool) -> Stream:
     depth = len(steps[known[0]][0])
     if any(len(steps[n][0]) != depth for n in known):
         if by:
-            raise ValueError("variables that are emitted together need keys of one depth")
+            raise NotPlanned("variables that are emitted together need keys of one depth")
         from ..operators.joins import concat
 
         return concat(*[_emit(s, [n], by, steps, begin, prefixed) for n in known])
@@ -206,11 +212,13 @@ def _emit(s: Stream, names, by, steps, begin, prefixed: bool) -> Stream:
 
 def _mapped(s: Stream, thing, steps, begin) -> Stream:
     """``emit {"name": @var, ...}`` of variables without keys."""
+    from .dsl import NotPlanned
+
     aggs = {}
     for key, e in thing[1]:
         t = _target(e)
         if t is None or t[0] not in steps or steps[t[0]][0]:
-            raise ValueError("the end block computes with variables: it takes one record after the other")
+            raise NotPlanned("the end block computes with variables: it takes one record after the other")
         _, how, v, guard = steps[t[0]]
         aggs[key[1]] = _aggregate(s, how, v, guard, begin.get(t[0]))
     return Stream(s.df.agg(*[a.alias(k) for k, a in aggs.items()]))

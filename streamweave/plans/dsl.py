@@ -9,6 +9,7 @@ grouped aggregation.
 from __future__ import annotations
 
 import dataclasses
+import logging
 import math
 import os
 import re
@@ -398,6 +399,10 @@ class Parser:
 # ---------------------------------------------------------------- compiler
 
 
+class NotPlanned(ValueError):
+    """A program that no plan can express: it takes one record after the other."""
+
+
 @dataclasses.dataclass
 class Record:
     """A map whose keys are known when the plan is made."""
@@ -572,7 +577,7 @@ class Compiler:
         v = _val(self.eval(e, scope))
         if v.literal is None:
             if default is ...:
-                raise ValueError("a field's name must be known when the plan is made")
+                raise NotPlanned("a field's name must be known when the plan is made")
             return default
         return str(v.literal)
 
@@ -643,7 +648,7 @@ class Compiler:
             raise ValueError(f"a function of {len(f.params)} arguments is called with {len(args)}")
         self.depth += 1
         if self.depth > 40:
-            raise ValueError("functions that call themselves cannot be worked out when the plan is made")
+            raise NotPlanned("functions that call themselves cannot be worked out when the plan is made")
         try:
             return self.returned(f.body, {**f.scope, **dict(zip(f.params, args))})
         finally:
@@ -670,7 +675,7 @@ class Compiler:
                     out = fn.ternary(p, _val(self.returned([*b, *rest], scope)), _val(out))
                 return out
             else:
-                raise ValueError(f"{st[0]} within a function cannot be worked out when the plan is made")
+                raise NotPlanned(f"{st[0]} within a function cannot be worked out when the plan is made")
         return lit(None)
 
     def _branch(self, st, scope: dict) -> None:
@@ -686,7 +691,7 @@ class Compiler:
                     new = self._assigned(old, x[2], x[3], scope)
                     scope[x[1][1]] = fn.ternary(fn.B(guard), _val(new), _val(old))
                 elif x[0] != "local":
-                    raise ValueError(f"{x[0]} within a function cannot be worked out when the plan is made")
+                    raise NotPlanned(f"{x[0]} within a function cannot be worked out when the plan is made")
             done = c if done is None else done | c
 
     def _higher(self, name: str, vals: list):
@@ -697,7 +702,7 @@ class Compiler:
             v = _val(v)
             f = vals[1]
             if v.kind != "array":
-                raise ValueError("sort: maps sort by flags")
+                raise NotPlanned("sort: maps sort by flags")
             t = v.type.elementType
             order = F.array_sort(v.c, lambda a, b: fn.lng(_val(self.apply(f, [self._typed(a, t), self._typed(b, t)]))).cast("int"))
             return Val(order, "array", v.type)
@@ -733,7 +738,7 @@ class Compiler:
             return fn.B(g(F.map_entries(m), lambda e: fn.boolean(_val(self.apply(f, [key(e["key"]), self._typed(e["value"], t)])))))
         if name == "apply":
             return Val(F.map_from_entries(F.transform(F.map_entries(m), lambda e: self._entry(f, [key(e["key"]), self._typed(e["value"], t)]))), "map", T.MapType(T.StringType(), t))
-        raise ValueError(f"{name} over a map whose keys only the data tell")
+        raise NotPlanned(f"{name} over a map whose keys only the data tell")
 
     def _entry(self, f: Lambda, args: list) -> Column:
         got = self.apply(f, args)
@@ -749,7 +754,7 @@ class Compiler:
             for k, v in pairs:
                 got = self.apply(f, [k, v])
                 if not isinstance(got, Record):
-                    raise ValueError("apply over a map must return a map of one pair")
+                    raise NotPlanned("apply over a map must return a map of one pair")
                 out |= got.items
             return Record(out)
         if name == "select":
@@ -856,7 +861,7 @@ class Compiler:
                     inner = {**scope, st[1]: lit(x)} if k == "for1" else {**scope, st[1]: lit(i + 1), st[2]: lit(x)}
                     self._inner(body, scope, inner, guard, {st[1], st[2] if k == "for2" else st[1]})
             else:
-                raise ValueError("a loop over a collection that only the data tell: use apply, select, fold")
+                raise NotPlanned("a loop over a collection that only the data tell: use apply, select, fold")
         elif k == "forc":
             self._counted(st, scope, guard)
         elif k == "call":
@@ -868,10 +873,10 @@ class Compiler:
             for thing in st[2]:
                 r = self.eval(thing, scope)
                 if not isinstance(r, Record):
-                    raise ValueError("emit of a map that only the data tell")
+                    raise NotPlanned("emit of a map that only the data tell")
                 self.emitted.append((guard, r))
         else:
-            raise ValueError(f"{k} cannot be worked out when the plan is made")
+            raise NotPlanned(f"{k} cannot be worked out when the plan is made")
 
     def _scoped(self, body, scope: dict, guard) -> None:
         """A block: its locals are its own, but it may assign those outside."""
@@ -891,11 +896,11 @@ class Compiler:
         for turn in range(1001):
             ok = _literal_test(st[2], inner) if st[2] else True
             if ok is None:
-                raise ValueError("a loop whose end only the data tell")
+                raise NotPlanned("a loop whose end only the data tell")
             if not ok:
                 break
             if turn == 1000:
-                raise ValueError("a loop of more than 1000 turns")
+                raise NotPlanned("a loop of more than 1000 turns")
             self._inner(st[4], scope, inner, guard, set(inner) - set(scope))
             for step in st[3]:
                 _literal_step(step, inner)
@@ -926,7 +931,7 @@ class Compiler:
         elif k == "record":
             r = self.eval(e, scope)
             if not isinstance(r, Record):
-                raise ValueError("$* takes a map whose keys are known when the plan is made")
+                raise NotPlanned("$* takes a map whose keys are known when the plan is made")
             if guard is None:
                 self.fields = dict(r.items)
             else:
@@ -944,7 +949,7 @@ class Compiler:
             old = self.vars.get(target[1], lit(None))
             new = self._assigned(old, op, e, scope)
             if guard is not None or target[1] in self.early:
-                raise ValueError(f"@{target[1]} is carried from record to record")
+                raise NotPlanned(f"@{target[1]} is carried from record to record")
             self.vars[target[1]] = new
         else:
             raise SyntaxError(f"nothing can be assigned to {k}")
@@ -988,7 +993,7 @@ class Compiler:
             self.vars.pop(target[1], None)
             return
         else:
-            raise ValueError("unset of a part of a map")
+            raise NotPlanned("unset of a part of a map")
         for n in names:
             if n in self.fields:
                 if guard is None:
@@ -1026,12 +1031,12 @@ def _literal_test(body, scope: dict):
 
 def _literal_step(st, scope: dict) -> None:
     if st[0] != "assign" or st[1][0] != "name":
-        raise ValueError("a loop whose step only the data tell")
+        raise NotPlanned("a loop whose step only the data tell")
     name = st[1][1]
     e = st[3] if st[2] == "=" else ("call", st[2][:-1], [("name", name), st[3]])
     v = _number(e, scope)
     if v is None:
-        raise ValueError("a loop whose step only the data tell")
+        raise NotPlanned("a loop whose step only the data tell")
     scope[name] = lit(v)
 
 
@@ -1067,8 +1072,18 @@ def _shown(v) -> Column:
 
 
 def put(s: Stream, text: str, quiet: bool = False, inverted: bool = False, presets: dict | None = None) -> Stream:
-    """Run a program on every record."""
+    """Run a program on every record: as a plan where one can express it, else by the interpreter, in one task."""
     program = Parser(text).program()
+    try:
+        return _planned(s, program, quiet, inverted, presets)
+    except NotPlanned as why:
+        from .interpreter import interpreted
+
+        logging.getLogger(__name__).warning("this program runs in one task: %s", why)
+        return interpreted(s, program, quiet, inverted, presets)
+
+
+def _planned(s: Stream, program, quiet, inverted, presets) -> Stream:
     from .accumulate import accumulates, accumulated
 
     if accumulates(program):
@@ -1080,6 +1095,8 @@ def put(s: Stream, text: str, quiet: bool = False, inverted: bool = False, prese
         main = [st for st in program if not accumulates([st]) and st[0] not in ("begin", "end")]
         first = _put(s, main, False, inverted, presets) if main else s
         return concat(first, out)
+    if any(st[0] == "end" for st in program):
+        raise NotPlanned("an end block without accumulated variables")
     return _put(s, program, quiet, inverted, presets)
 
 

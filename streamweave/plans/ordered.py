@@ -29,15 +29,21 @@ def is_large(s: Stream) -> bool:
     return bool(s.order) and size_of(s.df) >= LARGE
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows, cut into the session's checkpoint folder (a temporary one where it has none, as in tests)."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint(eager=True)
+
+
 def placed(s: Stream) -> Stream:
     """The stream with the number of its range and its place in it as columns."""
     spark = s.df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     df = s.df.repartitionByRange(n, *s.by()).sortWithinPartitions(*s.by())
     df = df.withColumn(_P, F.spark_partition_id()).withColumn(_I, F.monotonically_increasing_id())
-    return Stream(df.checkpoint(eager=True), s.order)
+    return Stream(checkpointed(df), s.order)
 
 
 def running(s: Stream, sums: dict[str, Column], lasts: dict[str, Column] | None = None, number: str | None = None) -> Stream:

@@ -148,7 +148,7 @@ def test_filters(s):
 
 
 def test_programs_that_cannot_be(s):
-    for bad in ("$x = ", "$x = 1 $y = 2", "frob($x)", "strlen()", "func f(n) { return f(n) } $z = f(1)", "$z = @k; @k = $i"):
+    for bad in ("$x = ", "$x = 1 $y = 2", "frob($x)", "strlen()"):
         with pytest.raises((SyntaxError, ValueError)):
             chain(s, ["put", bad])
 
@@ -166,3 +166,30 @@ def test_the_table_holds_every_function():
     mapselect mapsum hostname os system exec stat version next""".split()
     missing = [w for w in wanted if w not in FUNCTIONS]
     assert not missing, missing
+
+
+SEQUENTIAL = {
+    "$z = @k; @k = $i": ["", "z=1", "z=2", "z=3"],
+    "func f(n) { if (n <= 1) { return 1 } return n * f(n - 1) } $z = f($i)": ["z=1", "z=2", "z=6", "z=24"],
+    "var n = $i; var c = 0; while (n != 1) { if (n % 2 == 0) { n = n // 2 } else { n = 3 * n + 1 } c += 1 } $z = c": ["z=0", "z=1", "z=7", "z=2"],
+    "@seen[$a] = 1; $z = length(@seen)": ["z=1", "z=2", "z=3", "z=3"],
+    "@s += $i; $z = @s": ["z=1", "z=3", "z=6", "z=10"],
+    "m = {}; for (k, v in $*) { m[k . v] = 1 } $z = length(m)": ["z=5", "z=5", "z=4", "z=5"],
+    'for (i = 0; i < $i; i += 1) { if (i == 2) { break } $z = i }': ["z=0", "z=1", "z=1", "z=1"],
+    "$[$a] = 1; $z = haskey($*, \"eks\")": ["z=false", "z=true", "z=false", "z=true"],
+}
+
+
+@pytest.mark.parametrize("text", list(SEQUENTIAL))
+def test_programs_that_take_one_record_after_the_other(s, text):
+    got = text_of(chain(s, ["put", text, "then", "cut", "-f", "z"]), "dkvp").splitlines()
+    assert got == SEQUENTIAL[text]
+
+
+def test_retained_records_and_computed_ends(s):
+    out = put(s, "@r[NR] = $*; end { for (k, v in @r) { emit mapsum({\"k\": k}, mapselect(v, \"i\")) } }", "-q")
+    assert out == ["k=1,i=1", "k=2,i=2", "k=3,i=3", "k=4,i=4"]
+    out = put(s, "@s += $i; @n += 1; end { @mean = @s / @n; emit @mean }", "-q")
+    assert out == ["mean=2.5"]
+    out = put(s, "@c[$a] += 1; end { for (k, v in @c) { if (v > 1) { emit {\"x\": k, \"n\": v} } } }", "-q")
+    assert out == ["x=eks,n=2"]
