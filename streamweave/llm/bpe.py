@@ -25,11 +25,11 @@ from itertools import chain
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import holds, narrowed, schema, task
+from .common import holds, narrowed, schema, small_batches, task
 from .token_counts import Memo, slices
 
 #: Token pairs that a worker remembers; beyond, it begins anew.
-SEAMS = 250_000
+SEAMS = 150_000
 
 
 class Prefixes:
@@ -89,7 +89,7 @@ class Bpe:
         self.text_of = {r: str(r) for r in self.bytes_of}
         self.longest = max(map(len, self.ranks))
         self.pattern = regex.compile(pattern)
-        self.memo = Memo(120_000)
+        self.memo = Memo(80_000)
         self.seams: dict[int, bool] = {}  # before << 32 | token: whether they may stand so
         self.suffixes = {b[k:] for b in self.ranks for k in range(len(b))}
         self.pair: dict[tuple[int, int], int] = {}
@@ -261,6 +261,7 @@ def _with_ids(batches, path: str, pattern: str, column: str, name: str):
 
 def encode_rows(docs: DataFrame, path: str, pattern: str, column: str = "text", name: str = "token_ids") -> DataFrame:
     """``docs`` with the ids of ``column`` as an array<int> column ``name``; a column of that name is replaced."""
+    small_batches(docs.sparkSession)
     docs = docs.drop(name)
     kinds = T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))])
     return docs.mapInArrow(lambda it: _with_ids(it, path, pattern, column, name), kinds)
@@ -279,5 +280,6 @@ def decode_rows(rows: DataFrame, path: str, pattern: str, column: str = "token_i
             out = pa.array([None if x is None else b.decode(x) for x in ids], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, name])
 
+    small_batches(rows.sparkSession)
     rows = rows.drop(name)
     return rows.mapInArrow(back, T.StructType([*rows.schema.fields, T.StructField(name, T.BinaryType())]))

@@ -30,6 +30,17 @@ def shared_folder(spark: SparkSession) -> str:
     return shared
 
 
+#: Rows of an Arrow batch at most, where texts go through Python: 10000 of them would be held several times over by JVM and worker.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have Spark hand rows to Python in batches of BATCH_ROWS at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and go on from there: a reliable checkpoint, so an executor that is lost takes nothing with it."""
     shared_folder(df.sparkSession)
@@ -38,6 +49,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def narrowed(df: DataFrame, **kinds: str) -> DataFrame:
     """Only the named columns, cast; further columns, whatever their names, do not reach the operator."""
+    small_batches(df.sparkSession)
     return df.select(*[F.col(f"`{c}`").cast(kind).alias(c) for c, kind in kinds.items()])
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import narrowed, schema, task
+from .common import narrowed, schema, small_batches, task
 
 SIZE = 300
 PER_LANGUAGE = 5000
@@ -161,6 +161,7 @@ def keep_known(docs: DataFrame, least: float = 0.2) -> DataFrame:
     """``docs`` without the rows in no known language: those with no letter, and those whose nearest profile is farther than ``1 - least`` of the greatest distance."""
     from pyspark.sql import types as T
 
+    small_batches(docs.sparkSession)
     profiles = learn(docs)
     at = docs.columns.index("text")
     kinds = T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_lang_score", T.DoubleType())])

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, hashed_words, narrowed, schema, task, texts
+from .common import chunks, hashed_words, narrowed, schema, small_batches, task, texts
 
 SAMPLE = 4000
 #: Buckets of the hashed features: a power of two.
@@ -273,6 +273,7 @@ def classify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The rows of ``docs`` that the scorer keeps, with all their columns."""
+    small_batches(docs.sparkSession)
     model = model or learn(docs)
     at = docs.columns.index("text")
 
