@@ -193,12 +193,9 @@ def _emit(s: Stream, names, by, steps, begin, prefixed: bool) -> Stream:
         for n in known:
             some = some | col(f"_v:{n}").isNotNull()
         return (out.where(some) if depth else out).select(cols)
-    # the levels that are not named become fields
-    rest = [f"_k{i}" for i in range(len(by), depth)]
-    label = F.concat_ws(".", *[F.col(k).cast("string") for k in rest])
-    if not by and not prefixed and depth > 1:
-        # unnamed: the first level gives the records' split
-        label = F.concat_ws(".", *[F.col(k).cast("string") for k in rest])
+    # the levels that are not named become fields; without any name, a record is split off for all levels but the last
+    split = depth - 1 if not by and not prefixed and len(known) == 1 and depth > 1 else len(by)
+    label = F.concat_ws(".", *[F.col(f"_k{i}").cast("string") for i in range(split, depth)])
     spread = out.with_df(out.df.withColumn("_f", label))
     first = spread.least() if spread.order and spread.uniform else F.min("_f")
     fields = [r[0] for r in spread.df.groupBy("_f").agg(first.alias("_o")).orderBy("_o").collect()]  # the field names
@@ -206,7 +203,7 @@ def _emit(s: Stream, names, by, steps, begin, prefixed: bool) -> Stream:
     for n in known:
         for f in fields:
             cells[f"{n}.{f}" if prefixed or len(known) > 1 else f] = F.max(F.when(F.col("_f") == f, col(f"_v:{n}")))
-    wide = grouped(spread, [f"_k{i}" for i in range(len(by))], cells)
+    wide = grouped(spread, [f"_k{i}" for i in range(split)], cells)
     return wide.select([*[F.col(f"_k{i}").alias(b) for i, b in enumerate(by)], *cells])
 
 

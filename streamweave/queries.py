@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .operators.joins import concat
 from .plans.chain import chain
 from .plans.stream import Stream, col
+from .sources.writers import render
 
 #: The row order of each table.
 KEYS = {
@@ -251,6 +252,26 @@ query("emit_spread", "lineitem", "put -q '@n[$l_returnflag][$l_linestatus] += 1;
 query("emitf_totals", "orders", "put -q '@n += 1; @top = max(@top, $o_totalprice); @low = min(@low, $o_totalprice); end { emitf @n, @top, @low }'", "SELECT count(*) AS n, round(max(o_totalprice), 6) AS top, round(min(o_totalprice), 6) AS low FROM orders")
 query("put_absent_rules", "orders", "put '$a = $st ?? \"absent\"; $b = $st ??? \"none\"; $c = is_present($st); $d = is_empty($st); $e = $nosuch + 1' then cut -f o_orderkey,a,b,c,d,e", f"""SELECT o_orderkey, coalesce(st, 'absent') AS a, CASE WHEN st IS NULL OR st = '' THEN 'none' ELSE st END AS b, st IS NOT NULL AS c, coalesce(st = '', false) AS d, 1::BIGINT AS e FROM {_GAPS}""", gaps)
 
+query("put_sequential", "nation", "put '@s += $n_regionkey; $running = @s; $last = @prev ?? \"none\"; @prev = $n_name' then cut -f n_nationkey,running,last", "SELECT n_nationkey::BIGINT AS n_nationkey, sum(n_regionkey) OVER (ORDER BY n_nationkey)::BIGINT AS running, coalesce(lag(n_name) OVER (ORDER BY n_nationkey), 'none') AS last FROM nation")
+
+
+# ---- formats: the lines that the writers give
+def lines(name: str, source: str, links: str, fmt: str, sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return render(chain(table(spark, sf_dir, source), links), fmt)
+
+    QUERIES[name] = run
+    SQL[name] = " ".join(sql.split())
+
+
+lines("write_csv", "part", "cut -f p_partkey,p_name,p_size", "csv", "SELECT 'p_partkey,p_name,p_size' AS value UNION ALL SELECT p_partkey || ',' || p_name || ',' || p_size FROM part")
+lines("write_tsv", "part", "cut -f p_partkey,p_name", "tsv", "SELECT 'p_partkey' || chr(9) || 'p_name' AS value UNION ALL SELECT p_partkey || chr(9) || p_name FROM part")
+lines("write_dkvp", "part", "cut -f p_partkey,p_brand", "dkvp", "SELECT 'p_partkey=' || p_partkey || ',p_brand=' || p_brand AS value FROM part")
+lines("write_nidx", "part", "cut -f p_partkey,p_brand", "nidx", "SELECT p_partkey || ' ' || p_brand AS value FROM part")
+lines("write_jsonl", "part", "cut -f p_partkey,p_brand", "jsonl", """SELECT '{"p_partkey":' || p_partkey || ',"p_brand":"' || p_brand || '"}' AS value FROM part""")
+lines("write_markdown", "region", "cat", "markdown", "SELECT '| r_regionkey | r_name |' || chr(10) || '| --- | --- |' AS value UNION ALL SELECT '| ' || r_regionkey || ' | ' || r_name || ' |' FROM region")
+lines("write_xtab", "region", "cat", "xtab", "SELECT 'r_regionkey ' || r_regionkey || chr(10) || rpad('r_name', 12, ' ') || r_name || chr(10) AS value FROM region")
+
 
 # ---- functions, by class
 def functions(name: str, source: str, key: str, cells: dict[str, tuple[str, str | None]]) -> None:

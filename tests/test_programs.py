@@ -117,6 +117,8 @@ EMITS = {
     "@sum[$a][$b] += $i; end { emit @sum, \"a\", \"b\" }": ["a=pan,b=pan,sum=1", "a=eks,b=pan,sum=2", "a=wye,b=wye,sum=3", "a=eks,b=wye,sum=4"],
     "@sum[$a][$b] += $i; @n[$a][$b] += 1; end { emit (@sum, @n), \"a\", \"b\" }": ["a=pan,b=pan,sum=1,n=1", "a=eks,b=pan,sum=2,n=1", "a=wye,b=wye,sum=3,n=1", "a=eks,b=wye,sum=4,n=1"],
     "@sum[$a][$b] += $i; end { emit @sum, \"a\" }": ["a=pan,pan=1", "a=eks,pan=2,wye=4", "a=wye,wye=3"],
+    "@sum[$a][$b] += $i; end { emit @sum }": ["pan=1", "pan=2,wye=4", "wye=3"],
+    "@sum[$a][$b] += $i; end { emitp @sum, \"a\" }": ["a=pan,sum.pan=1", "a=eks,sum.pan=2,sum.wye=4", "a=wye,sum.wye=3"],
     "@sum[$a] += $i; end { emitp @sum }": ["sum.pan=1,sum.eks=6,sum.wye=3"],
     "@c += 1; @m = max(@m, $i); end { emitf @c, @m }": ["c=4,m=4"],
     "begin { @c = 10 } @c += $i; end { emit @c }": ["c=20"],
