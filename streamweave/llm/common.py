@@ -284,11 +284,5 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, width: int):
                     yield np.zeros(0, np.uint64)
 
 
-def binary_column(rows: list[bytes]):
-    import pyarrow as pa
-
-    return pa.array(rows, pa.binary())
-
-
 def schema(**kinds: str) -> T.StructType:
     return T._parse_datatype_string(", ".join(f"`{k}` {v}" for k, v in kinds.items()))

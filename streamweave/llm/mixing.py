@@ -59,10 +59,7 @@ def _counted(rows: DataFrame, seed: str, weights, share: float, most: float) ->
     """
     p = partitions(rows.sparkSession)
     rows = rows.withColumn("_key", md5_key(F.col("_doc_id"), F.lit(seed)))
-    if "_row" in rows.columns:
-        narrow = cut(rows.select("_source", "_size", "_key"))
-    else:
-        narrow = rows = cut(rows)
+    narrow = rows = cut(rows)
     sizes = narrow.groupBy("_source").agg(F.sum("_size").alias("source_size"), F.count("*").alias("rows"))
     goal = targets(sizes.select(F.col("_source").alias("source"), "source_size"), weights, share, most)
     every = Window.partitionBy()
@@ -105,27 +102,33 @@ def take(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, share: float = 1.5
 def mix(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """The mixed rows themselves, with the columns of ``docs``: each row once per whole epoch, and the
     first words of the row on which a source's budget ends (with n_chars, if there, to match).
+
+    What is taken is worked out on narrow rows, without texts. Rows that are alike in every column are named by a hash of 128
+    bits and taken together, so texts are dealt once, by that name, to meet what is taken of them.
     """
-    named = docs.select(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = named.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("bigint").alias("_doc_id"), F.col("source").cast("string").alias("_source"),
-        words(F.col("text")).alias("_size"), F.xxhash64("text").alias("_text_hash"),
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    named = docs.select(F.struct(*columns).alias("_row"), F.xxhash64(*columns).alias("_h"), F.xxhash64(F.lit(1), *columns).alias("_g"))
+    text, source = F.col("_row").getField("text"), F.col("_row").getField("source")
+    narrow = named.select("_h", "_g", F.col("_row").getField("doc_id").cast("bigint").alias("_doc_id"), source.cast("string").alias("_source"), words(text).alias("_size"), F.xxhash64(text).alias("_text_hash"))
+    part = (F.col("_last") > 0) & (F.col("_last") < F.col("_size"))
+    taken = _counted(narrow, seed, weights, share, most).where("_taken > 0").groupBy("_h", "_g").agg(
+        F.sum(F.col("_epochs") + (~part & (F.col("_last") > 0)).cast("bigint")).alias("_copies"), F.max(F.when(part, F.col("_last"))).alias("_part")  # a source has one row in part at most
     )
-    out = _counted(rows, seed, weights, share, most).where("_taken > 0")
-    copies = F.col("_epochs") + (F.col("_last") > 0).cast("bigint")
-    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), copies)))
-    part = (F.col("_copy") > F.col("_epochs")) & (F.col("_last") < F.col("_size"))
-    head = F.array_join(F.slice(F.regexp_extract_all(F.col("_row.text"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, F.col("_last").cast("int")), "")
-    out = out.withColumn("_text", F.when(part, head).otherwise(F.col("_row.text")))
+    rows = named.dropDuplicates(["_h", "_g"]).join(taken, ["_h", "_g"])
+    # 0 stands for the row in part
+    copies = F.concat(F.when(F.col("_copies") > 0, F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))).otherwise(F.array().cast("array<bigint>")), F.when(F.col("_part").isNotNull(), F.array(F.lit(0).cast("bigint"))).otherwise(F.array().cast("array<bigint>")))
+    rows = rows.withColumn("_copy", F.explode(copies))
+    head = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), F.col("_part").cast("int")), "")
+    rows = rows.withColumn("_text", F.when(F.col("_copy") == 0, head).otherwise(text))
     cols = []
-    for c in docs.columns:
+    for c, kind in docs.dtypes:
+        own = F.col("_row").getField(c)
         if c == "text":
-            cols.append(F.col("_text").alias(c))
+            own = F.col("_text")
         elif c == "n_chars":
-            cols.append(F.when(part, F.length("_text")).otherwise(F.col(f"_row.`{c}`")).cast(dict(docs.dtypes)[c]).alias(c))
-        else:
-            cols.append(F.col(f"_row.`{c}`").alias(c))
-    return out.select(*cols)
+            own = F.when(F.col("_copy") == 0, F.length("_text")).otherwise(own).cast(kind)
+        cols.append(own.alias(c))
+    return rows.select(*cols)
 
 
 def oracle() -> str:

@@ -419,9 +419,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, block
 def dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each component: the one of the least doc_id; all its columns as they were.
 
-    Rows of one doc_id are one document; one of them stays.
+    Rows of one doc_id are one document; one of them stays. Rows without doc_id have no name to be joined by: all of them stay.
     """
     groups = jaccard_components(docs, width, percent)
-    stays = groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_stays")).distinct()
-    one = docs.dropDuplicates(["doc_id"])
-    return one.join(stays, one["doc_id"].eqNullSafe(F.col("_stays")), "left_semi")
+    stays = groups.where(F.col("component_id") == F.col("doc_id")).select(F.col("doc_id").alias("_stays")).distinct()
+    one = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    one = one.join(stays, one["doc_id"] == F.col("_stays"), "left_semi")
+    return one.unionAll(docs.where("doc_id IS NULL"))
