@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import re
 
 from pyspark.sql import Column, Window
@@ -379,11 +378,10 @@ def _field(name: str):
     return lambda r: r[name].cast("double")
 
 
-@functools.lru_cache(1)
-def _summaries() -> tuple[str, ...]:
-    return (
-        "field_type", "count", "null_count", "distinct_count", "mode", "sum", "mean", "stddev", "var", "skewness", "minlen", "maxlen", "min", "p25", "median", "p75", "max", "iqr", "lof", "lif", "uif", "uof",
-    )
+#: The summaries in their order, and those that are shown unasked.
+SUMMARIES = (
+    "field_type", "count", "null_count", "distinct_count", "mode", "sum", "mean", "stddev", "var", "skewness", "minlen", "maxlen", "min", "p25", "median", "p75", "max", "iqr", "lof", "lif", "uif", "uof",
+)
 
 
 DEFAULT_SUMMARY = ("field_type", "count", "mean", "min", "max", "null_count", "distinct_count")
@@ -407,7 +405,7 @@ def summary(s: Stream, a=None, x=None, every=False, transpose=False) -> Stream:
 
     One aggregation over all fields at once, then one row a field.
     """
-    names = [n for n in _summaries() if (n in a if a else n not in x if x else every or n in DEFAULT_SUMMARY)]
+    names = [n for n in SUMMARIES if (n in a if a else n not in x if x else every or n in DEFAULT_SUMMARY)]
     cols = s.columns
     order = s.first_key() if s.order and s.uniform else None
     p = s.with_columns({f"_n:{c}": number(s, c) for c in cols})
@@ -475,5 +473,3 @@ def describe(s: Stream, n=20) -> Stream:
     out = few.join(kinds, "i").select("i", "field_name", "types", "count", "null_count", "distinct_count", "min", "max", F.when(F.col("distinct_count") <= n, F.transform("seen", lambda r: r["v"])).alias("values"))
     return Stream.of(out, "i").select(["field_name", "types", "count", "null_count", "distinct_count", "min", "max", "values"])
 
-
-__all__ = ["grouped", "accumulators", "over_array", "percentile_of"]

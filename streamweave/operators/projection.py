@@ -39,6 +39,7 @@ def cat(s: Stream, n=False, name=None, g=(), filename=False, filenum=False) -> S
 
 
 def _all(s: Stream, names):
+    """All the named fields present; a field that no record has is not."""
     out = F.lit(True)
     for x in names:
         out = out & (col(x).isNotNull() if x in s.columns else F.lit(False))

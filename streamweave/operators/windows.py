@@ -6,7 +6,6 @@ import re
 
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..plans.stream import HIDDEN, Stream, all_present, col, is_text, nonempty, number, present
 from ..plans.ordered import running
@@ -219,14 +218,10 @@ def top(s: Stream, f=(), n=1, g=(), whole=False, max=True, min=False, o=None, fl
         parts = ranked if parts is None else parts.join(ranked, [*g, "top_idx"], "full")
     frame = s.df.select(*groups).distinct() if g else s.df.sparkSession.range(1).select()
     frame = frame.withColumn("top_idx", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    out = frame.join(parts, [*map(_name, g), "top_idx"], "left")
+    out = frame.join(parts, [*g, "top_idx"], "left")
     return Stream(out.select(*map(col, g), F.col("top_idx").cast("bigint").alias("top_idx"), *[col(o or f"{x}_top") for x in f])).ordered_by([*[(col(x), True) for x in g], (F.col("top_idx"), True)], "top")
 
 
-def _name(x: str) -> str:
-    return x
-
-
 @verb("gap", "-n=n:int -g=g:list")
 def gap(s: Stream, n=None, g=None) -> Stream:
     """A record without values before every nth one, or where the group's fields change: here a row of NULLs in that place."""
@@ -239,5 +234,3 @@ def gap(s: Stream, n=None, g=None) -> Stream:
     blank = blank.withColumns({c: F.lit(None).cast(s.dtype(c)) for c in s.columns})
     return Stream(s.df.unionByName(blank), ((f"{HIDDEN}at", True),))
 
-
-__all__ = ["regrouped", "natural_key", "type_rank", "T"]

@@ -222,6 +222,13 @@ def _fixed(spark, path, fields=None, widths=None, **_):
     return _stream(lines.select(*out, "_ord"))
 
 
+def _gen(spark, path, field="i", start=1, stop=100, step=1, **_):
+    """Numbers instead of a file."""
+    from ..operators.reshape import seqgen
+
+    return seqgen(spark, field, start, stop, step)
+
+
 def _columnar(kind):
     def read_it(spark, path, **_):
         return _stream(getattr(spark.read, kind)(path).withColumn("_ord", F.monotonically_increasing_id()))
@@ -231,7 +238,7 @@ def _columnar(kind):
 
 READERS = {
     "csv": _csv, "csvlite": _csvlite, "tsv": _tsv, "json": _json, "jsonl": lambda spark, path, **k: _json(spark, path, multiline=False, **k), "dkvp": _dkvp, "dkvpx": _quoted, "nidx": _nidx, "xtab": _xtab,
-    "pprint": _pprint, "markdown": _markdown, "dcf": _dcf, "recutils": _recutils, "yaml": _yaml, "fixed": _fixed, "parquet": _columnar("parquet"), "orc": _columnar("orc"),
+    "pprint": _pprint, "markdown": _markdown, "dcf": _dcf, "recutils": _recutils, "yaml": _yaml, "fixed": _fixed, "gen": _gen, "parquet": _columnar("parquet"), "orc": _columnar("orc"),
     "asv": lambda spark, path, **k: _records(spark, path, "\x1f", "\x1e"), "usv": lambda spark, path, **k: _records(spark, path, "␟", "␞"),
 }
 

@@ -7,12 +7,13 @@ across part files, whose names follow it.
 from __future__ import annotations
 
 import functools
+import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.stream import Stream, col
+from ..plans.stream import Stream, col, text_double
 from .readers import SUFFIXES, separator
 
 
@@ -41,8 +42,23 @@ def _tsv_cell(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("\t"), F.lit("\\t")), F.lit("\n"), F.lit("\\n"))
 
 
-def lines(s: Stream, fmt: str, fs=None, ps=None, ofmt=None, header=True, quote_all=False, barred=False, right=False) -> tuple[str | None, Column]:
-    """The header (if the format has one) and each record's text."""
+def _json_text(s: Stream) -> Column:
+    """A record as JSON, with numbers for texts that write them."""
+
+    def bare(c: Column) -> Column:
+        one = F.to_json(F.array(c))
+        return F.substring(one, F.lit(2), F.char_length(one) - 2)
+
+    cells = []
+    for n in s.columns:
+        c, t = col(n), s.dtype(n)
+        shown = F.when(text_double(c).isNotNull() & ~F.lower(c).rlike("inf|nan"), c).otherwise(bare(c)) if isinstance(t, T.StringType) else bare(c)
+        cells.append(F.when(c.isNotNull(), F.concat(F.lit(json.dumps(n, ensure_ascii=False) + ":"), shown)))
+    return F.concat(F.lit("{"), F.concat_ws(",", *cells), F.lit("}"))
+
+
+def lines(s: Stream, fmt: str, fs=None, ps=None, ofmt=None, header=True, quote_all=False, barred=False, right=False, infer=False) -> tuple[str | None, Column]:
+    """The header (if the format has one) and each record's text. ``infer``: texts that write numbers are numbers in JSON."""
     texts = _texts(s, ofmt)
     names = [n for n, _ in texts]
     none = F.lit("")
@@ -55,7 +71,7 @@ def lines(s: Stream, fmt: str, fs=None, ps=None, ofmt=None, header=True, quote_a
         cell = _tsv_cell if fmt == "tsv" else (lambda c: c)
         return sep.join(names) if header else None, F.concat_ws(sep, *[F.coalesce(cell(c), none) for _, c in texts])
     if fmt in ("json", "jsonl"):
-        return None, F.to_json(F.struct(*map(col, names)))
+        return None, F.to_json(F.struct(*map(col, names))) if not infer else _json_text(s)
     if fmt in ("dkvp", "dkvpx"):
         sep, eq = separator(fs, ","), separator(ps, "=")
         cell = (lambda c: _csv_cell(c, sep)) if fmt == "dkvpx" else (lambda c: c)
