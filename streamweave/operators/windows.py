@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.stream import HIDDEN, Stream, all_present, col, is_text, nonempty, number, present
 from ..plans.ordered import running
@@ -127,11 +128,7 @@ def fill_down(s: Stream, f=None, every=False, absent=False, blank=False) -> Stre
     return out.select(s.columns)
 
 
-def _blend(a: float):
-    return lambda acc, y: F.lit(a) * y + F.lit(1 - a) * acc
-
-
-def _stepped(s: Stream, x: str, how: str, g, alphas, names) -> dict[str, Column]:
+def _stepped(s: Stream, x: str, how: str, g) -> dict[str, Column]:
     m = re.fullmatch(r"(delta|ratio|shift|shift_lag|shift_lead)(?:_(\d+))?|slwin_(\d+)_(\d+)|(counter|ewma|from-first|rprod|rsum|count)", how)
     if not m:
         raise ValueError(f"step: no stepper {how}")
@@ -167,33 +164,68 @@ def _stepped(s: Stream, x: str, how: str, g, alphas, names) -> dict[str, Column]
         return {out: shown(F.product(v).over(run))}
     if kind == "slwin":
         return {out: shown(F.avg(v).over(w.rowsBetween(-int(m[3]), int(m[4]))))}
-    res = {}
-    if kind == "ewma":
-        # a x + (1 - a) before, as a fold over what has been seen: no closed form keeps its digits
-        seen = F.collect_list(v.cast("double")).over(run)
-        for a, name in zip(alphas, names or alphas):
-            a = float(a)
-            fold = F.aggregate(F.slice(seen, F.lit(2), F.greatest(F.size(seen), F.lit(1))), F.try_element_at(seen, F.lit(1)), _blend(a))
-            res[f"{x}_ewma_{name}"] = shown(F.when(F.size(seen) > 0, fold))
-    return res
+    raise ValueError(f"step: no stepper {how}")
+
+
+def _ewma(s: Stream, x: str, g, alphas, names) -> Stream:
+    """Exponentially weighted averages: each needs the one before, so a group's records go by in order, a batch at a time, with what they carry.
+
+    The other columns pass through Arrow as they are.
+    """
+    keys = [k for k in g]
+    shares = [float(a) for a in alphas]
+    new = [f"{x}_ewma_{n}" for n in (names or alphas)]
+    df = s.df.withColumn("_v", number(s, x).cast("double"))
+    df = df.repartition(*map(col, keys)) if keys else df.repartition(1)
+    df = df.sortWithinPartitions(*map(col, keys), *s.by())
+    kinds = T.StructType([*s.df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in new]])
+
+    def run(batches):
+        import pyarrow as pa
+
+        last, held = None, [None] * len(shares)
+        for batch in batches:
+            values = batch.column(batch.schema.get_field_index("_v")).to_pylist()
+            groups = list(zip(*[batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys])) if keys else [()] * len(values)
+            out: list[list] = [[] for _ in shares]
+            for v, k in zip(values, groups):
+                if last is None or k != last:
+                    last, held = k, [None] * len(shares)
+                for i, a in enumerate(shares):
+                    if v is not None:
+                        held[i] = v if held[i] is None else a * v + (1 - a) * held[i]
+                    out[i].append(None if v is None else held[i])
+            rest = [i for i, n in enumerate(batch.schema.names) if n != "_v"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in rest], *[pa.array(o, pa.float64()) for o in out]], names=[*[batch.schema.names[i] for i in rest], *new])
+
+    out = s.with_df(df.mapInArrow(run, kinds))
+    if keys:
+        out = out.with_columns({n: F.when(all_present(s, keys), col(n)) for n in new})
+    return out.select([*s.columns, *new])
 
 
 @verb("step", "-a=a:list -f=f:list -g=g:list -d=d:list -o=o:list -F=float:true")
 def step(s: Stream, a=("shift", "delta", "rsum", "counter"), f=(), g=(), d=("0.5",), o=None, float=False) -> Stream:
     """Steppers over the records of a group in order; records that lack a group field pass unchanged."""
-    new = {}
+    new, names, own = {}, [], s.columns
     ok = all_present(s, g)
     for x in f:
-        if x in s.columns:
+        if x in own:
             for how in a:
+                if how == "ewma":
+                    s = _ewma(s, x, g, d, o)
+                    names += [f"{x}_ewma_{n}" for n in (o or d)]
+                    continue
                 if not g and how in ("rsum", "counter"):
                     name = f"{x}_{how}"
                     s = running(s, {name: number(s, x) if how == "rsum" else F.when(nonempty(s, x), 1).otherwise(0)})
                     new[name] = F.when(nonempty(s, x), col(name))
+                    names.append(name)
                     continue
-                for name, c in _stepped(s, x, how, g, d, o).items():
+                for name, c in _stepped(s, x, how, g).items():
                     new[name] = F.when(ok, c) if g else c
-    return s.with_columns(new)
+                    names.append(name)
+    return s.with_columns(new).select([*own, *[n for n in names if n not in own]])
 
 
 @verb("top", "-n=n:int -f=f:list -g=g:list -a=whole:true --max=max:true --min=min:true -F=float:true -o=o:str")
