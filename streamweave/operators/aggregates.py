@@ -286,12 +286,12 @@ def merge_fields(s: Stream, a=(), f=None, r=None, c=None, o="name", i=False, k=F
         ints = all(not is_text(s, x) and s.dtype(x).simpleString() in ("int", "bigint", "smallint", "tinyint") for x in fields)
         nums = F.filter(F.array(*[F.when(nonempty(s, x), number(s, x)).cast("bigint" if ints else "double") for x in fields]), lambda y: y.isNotNull()) if fields else F.array().cast("array<double>")
         for acc in a:
-            new[f"{name}_{acc}"] = over_array(acc, nums, texts, i)
+            new[f"{name}_{acc}"] = over_array(acc, nums, texts, i, ints and bool(fields))
     out = s.with_columns(new)
     return out if k else out.select([x for x in out.columns if x not in used or x in new])
 
 
-def over_array(acc: str, nums: Column, texts: Column, interpolated: bool = False) -> Column:
+def over_array(acc: str, nums: Column, texts: Column, interpolated: bool = False, integral: bool = False) -> Column:
     """An accumulator over an array of numbers (and their texts)."""
     n = F.size(nums).cast("bigint")
     d = nums.cast("array<double>")
@@ -304,7 +304,7 @@ def over_array(acc: str, nums: Column, texts: Column, interpolated: bool = False
     if acc == "count":
         return F.size(texts).cast("bigint")
     if acc == "sum":
-        return total(lambda y: y)
+        return F.aggregate(nums, F.lit(0).cast("bigint"), lambda s_, y: s_ + y) if integral else total(lambda y: y)
     if acc == "mean":
         return F.when(n > 0, mean)
     if acc == "var":

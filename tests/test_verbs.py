@@ -193,6 +193,12 @@ def test_stats2(spark):
     assert r["x_y_logistic_m"] > 0 > r["x_y_logistic_b"]
 
 
+def test_sums_of_integers_stay_integers(spark):
+    s = Stream.of(spark.createDataFrame([(1, 2, 3)], "a int, b int, c int"), "a")
+    r = chain(s, "merge-fields -a sum,max,mean -f a,b,c -o o").rows()
+    assert dict(r.dtypes)["o_sum"] == "bigint" and r.first()["o_sum"] == 6 and r.first()["o_max"] == 3 and r.first()["o_mean"] == 2.0
+
+
 def test_flatten_and_unflatten(spark):
     df = spark.sql("SELECT 1 AS k, named_struct('x', 5, 'y', array(7, 8)) AS m, map('p', 1, 'q', 2) AS h")
     s = Stream.of(df, "k")
