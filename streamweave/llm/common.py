@@ -216,11 +216,11 @@ def texts(column) -> tuple[np.ndarray, np.ndarray]:
     return buf, off
 
 
-def chunks(off: np.ndarray):
-    """Row ranges of about CHUNK bytes."""
+def chunks(off: np.ndarray, size: int = 0):
+    """Row ranges of about ``size`` (or CHUNK) bytes."""
     n, i = len(off) - 1, 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + CHUNK, side="right")) - 1)
+        j = max(i + 1, int(np.searchsorted(off, off[i] + (size or CHUNK), side="right")) - 1)
         yield i, min(j, n)
         i = min(j, n)
 

@@ -26,6 +26,8 @@ from pyspark.sql.window import Window
 from .common import chunks, hashed_words, mix, narrowed, partitions, schema, task
 
 SAMPLES = 64
+#: Bytes of text whose words are worked out together: what they share is worked out once.
+TOGETHER = 1 << 21
 _32 = np.uint64(32)
 
 
@@ -66,7 +68,7 @@ def fingerprints(texts: list[bytes], k: int = SAMPLES) -> list[np.ndarray | None
     off = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     buf = np.frombuffer(b"".join(texts), np.uint8)
     out: list[np.ndarray | None] = []
-    for i, j in chunks(off):
+    for i, j in chunks(off, TOGETHER):
         h, at = hashed_words(buf, off[i : j + 1])
         doc = np.repeat(np.arange(j - i), np.diff(at))
         word, code = np.unique(h, return_inverse=True)
