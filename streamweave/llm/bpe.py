@@ -29,7 +29,7 @@ from .common import holds, narrowed, schema, small_batches, task
 from .token_counts import Memo, slices
 
 #: Token pairs that a worker remembers; beyond, it begins anew.
-SEAMS = 150_000
+SEAMS = 300_000
 
 
 class Prefixes:
@@ -89,7 +89,7 @@ class Bpe:
         self.text_of = {r: str(r) for r in self.bytes_of}
         self.longest = max(map(len, self.ranks))
         self.pattern = regex.compile(pattern)
-        self.memo = Memo(80_000)
+        self.memo = Memo(160_000)
         self.seams: dict[int, bool] = {}  # before << 32 | token: whether they may stand so
         self.suffixes = {b[k:] for b in self.ranks for k in range(len(b))}
         self.pair: dict[tuple[int, int], int] = {}
