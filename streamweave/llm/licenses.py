@@ -4,7 +4,8 @@ Texts in which a trigger word occurs (found by one pattern on the JVM side) are
 trigger, each with as many further lines as a template is long. Every block is compressed by zstandard alone and with each
 template as a raw-content dictionary; the share by which the template shortens it ranks the templates. The best ones are confirmed
 by their exact wording: block and template are aligned word by word, and the words that were left out, put in or
-replaced are the result's differences. A finding needs ``agree`` of the template's words.
+replaced are the result's differences. A finding needs ``agree`` of the template's words; those of a template of less than four
+words have to follow each other.
 
 Defined results: texts that are null or hold no trigger give no row; overlapping findings of one text keep the longest
 agreement (ties: the earlier, then the first template); repeated rows each give their rows; an empty table gives an
@@ -31,6 +32,12 @@ TEMPLATES = {
     "CC-BY-4.0 notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0 notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "BSD notice": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "Reserved-rights notice": "All rights reserved.",
+    "Reserved-rights notice (are)": "All rights are reserved.",
+    "Some-rights notice": "Some rights reserved.",
+    "No-rights notice": "No rights reserved.",
+    "Copyright notice (c)": "Copyright (c)",
+    "Copyright notice ©": "Copyright ©",
     "MIT": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software "
         "without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
@@ -62,7 +69,7 @@ TEMPLATES = {
         "http://mozilla.org/MPL/2.0/."
     ),
 }
-TRIGGER = r"(?i)licen[cs]e|copyright|permission (?:is|to)|redistribution|warranty|creative commons|spdx"
+TRIGGER = r"(?i)licen[cs]e|copyright|permission[\s\xa0]+(?:is|to)|redistribution|warranty|creative[\s\xa0]+commons|spdx|rights[\s\xa0]+(?:are[\s\xa0]+)?reserved"
 _WORD = re.compile(r"\S+")
 
 
@@ -127,6 +134,8 @@ class Scanner:
         core = max(got, key=lambda m: m.size)
         low, high = core.a - core.b - 5, core.a + len(self.folded[k]) - core.b + 5
         got = [m for m in got if m.a >= low and m.a + m.size <= high]
+        if len(self.folded[k]) < 4 and len(got) > 1:  # so few words are a notice only where they follow each other
+            return None
         first, last = got[0].a, got[-1].a + got[-1].size
         agree = sum(m.size for m in got) / len(self.folded[k])
         inner = difflib.SequenceMatcher(None, mine[first:last], self.folded[k], autojunk=False)

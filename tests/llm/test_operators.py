@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -474,6 +475,32 @@ def test_license_scan(spark, nothing):
     assert licenses.scan(nothing).count() == 0
 
 
+LICENSE_LINES = {
+    "Reserved-rights notice": "All rights reserved.", "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.", "MIT notice": "Released under the MIT License.",
+    "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3.", "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
+}
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_license_recall_of_a_plain_search(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    got = Counter((r.doc_id, r.license, r.begin) for r in licenses.scan(docs).collect())
+    want = Counter((i, name, m.start()) for i, t in text.items() for name, line in LICENSE_LINES.items() for m in re.finditer(re.escape(line), t or ""))
+    assert {name for _, name, _ in want} == set(LICENSE_LINES) and got == want
+
+
+def test_license_scan_of_rights_and_copyright(spark):
+    rows = [
+        (1, "A tale.\nCopyright (c) 2024 Jane Doe.", "en", "s"), (2, "ends here\nAll rights reserved.", "en", "s"), (3, "Copyright © 2020\nSome rights reserved.", "en", "s"),
+        (4, "All of these rights were given, none was reserved; the copyright of part (c) is mine.", "en", "s"), (5, "No rights reserved.", "en", "s"), (6, "All rights are reserved.", "en", "s"),
+    ]
+    got = Counter((r.doc_id, r.license) for r in licenses.scan(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == Counter([
+        (1, "Copyright notice (c)"), (2, "Reserved-rights notice"), (3, "Copyright notice ©"), (3, "Some-rights notice"), (5, "No-rights notice"), (6, "Reserved-rights notice (are)"),
+    ])
+
+
 def _vectors():
     r = np.random.default_rng(6)
     rows = []
