@@ -1,9 +1,10 @@
 """License scans by conditional compression.
 
-Texts in which a trigger word occurs (found by one pattern on the JVM side) are cut into candidate blocks: the lines that hold a
-trigger, each with as many further lines as a template is long. Every block is compressed by zstandard alone and with each
-template as a raw-content dictionary; the share by which the template shortens it ranks the templates. The best ones are confirmed
-by their exact wording: block and template are aligned word by word, and the words that were left out, put in or
+Texts in which a trigger word occurs (found by one pattern on the JVM side) are cut into candidate blocks: for each trigger, each
+template and each place of a trigger in that template, the words of the text where the template would stand, alone and with a few
+more on either side; line ends are blanks. Every block is compressed by zstandard alone and with the template as a raw-content dictionary, in lower case;
+the bytes saved, as a share of the template's own compressed size, tell the candidates. Each one that reaches ``gain`` is confirmed
+by its exact wording: block and template are aligned word by word, and the words that were left out, put in or
 replaced are the result's differences. A finding needs ``agree`` of the template's words; those of a template of less than four
 words have to follow each other.
 
@@ -14,6 +15,7 @@ empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import functools
 import re
@@ -73,59 +75,49 @@ TRIGGER = r"(?i)licen[cs]e|copyright|permission[\s\xa0]+(?:is|to)|redistribution
 _WORD = re.compile(r"\S+")
 
 
+def _fold(word: str) -> str:
+    """A word as it is compared: lower-case, without the punctuation around it."""
+    return word.lower().strip(".,;:()\"'!?*/#<>[]{}_|“”‘’`-–—")
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str]):
         import zstandard as z
 
         self.names = list(templates)
         self.words = [t.split() for t in templates.values()]
-        self.folded = [[w.lower().strip(".,;:()\"'") for w in t] for t in self.words]
+        self.folded = [[_fold(w) for w in t] for t in self.words]
         self.plain = z.ZstdCompressor(level=3)
-        raw = [z.ZstdCompressionDict(t.encode(), dict_type=z.DICT_TYPE_RAWCONTENT) for t in templates.values()]
-        self.given = [z.ZstdCompressor(level=3, dict_data=d) for d in raw]
+        raw = [" ".join(t.lower().split()).encode() for t in templates.values()]
+        self.own = [len(self.plain.compress(t)) for t in raw]
+        self.given = [z.ZstdCompressor(level=3, dict_data=z.ZstdCompressionDict(t, dict_type=z.DICT_TYPE_RAWCONTENT)) for t in raw]
         self.trigger = re.compile(TRIGGER)
-
-    def blocks(self, text: str):
-        """Spans of candidate blocks: from each line with a trigger, or the one before, on for as long as each template length asks."""
-        lines = [(m.start(), m.end()) for m in re.finditer(r"[^\n]+", text)]
-        words_before = [0]
-        for a, z in lines:
-            words_before.append(words_before[-1] + len(text[a:z].split()))
-        lengths = sorted({len(w) for w in self.words})
-        seen = set()
-        for i, (a, z) in enumerate(lines):
-            for hit in self.trigger.finditer(text, a, z):
-                for n in lengths:
-                    # within the line: words around the trigger; beyond it: whole lines
-                    j = i
-                    while j + 1 < len(lines) and words_before[j + 1] - words_before[i] < n * 1.1:
-                        j += 1
-                    begin, end = a, lines[j][1]
-                    if end - begin > 4000:  # a long line: a window of words about the trigger
-                        begin, end = self._around(text, a, end, hit.start(), n)
-                    if (begin, end) not in seen:
-                        seen.add((begin, end))
-                        yield begin, end
-
-    @staticmethod
-    def _around(text: str, low: int, high: int, at: int, n: int) -> tuple[int, int]:
-        reach = 12 * n + 40
-        a, z = max(low, at - reach), min(high, at + reach)
-        while a > low and not text[a - 1].isspace():
-            a -= 1
-        while z < high and not text[z].isspace():
-            z += 1
-        return a, z
-
-    def rank(self, block: str) -> list[tuple[float, int]]:
-        raw = block.encode()
-        alone = len(self.plain.compress(raw))
-        return sorted(((1 - len(c.compress(raw)) / alone, -k) for k, c in enumerate(self.given)), reverse=True)
+        # the words of each template at which a trigger begins
+        self.anchors = [self.hits(t, [m.start() for m in _WORD.finditer(t)]) for t in templates.values()]
+
+    def hits(self, text: str, starts: list[int]) -> list[int]:
+        """The words in which triggers begin."""
+        return sorted({bisect.bisect_right(starts, m.start()) - 1 for m in self.trigger.finditer(text)})
+
+    def windows(self, at: int, n_words: int):
+        """Candidate blocks about a trigger in word ``at``: for each template and each place of a trigger in it, the words where it would stand, alone and with some on either side."""
+        for k, t in enumerate(self.words):
+            more = 10 + len(t) // 5
+            for p in self.anchors[k]:
+                for m in (0, more):
+                    low, high = max(0, at - p - m), min(n_words, at - p + len(t) + m)
+                    if high > low:
+                        yield k, low, high
+
+    def reduction(self, block: str, k: int) -> float:
+        """Bytes that the template saves on the block, as a share of the template's own compressed size: what else stands in the block does not dilute it."""
+        raw = " ".join(block.lower().split()).encode()
+        return (len(self.plain.compress(raw)) - len(self.given[k].compress(raw))) / self.own[k]
 
     def confirm(self, block: str, k: int):
         """Best aligned span of the block: begin, end, share of the template's words, differences."""
         spans = [(m.start(), m.end()) for m in _WORD.finditer(block)]
-        mine = [block[a:z].lower().strip(".,;:()\"'") for a, z in spans]
+        mine = [_fold(block[a:z]) for a, z in spans]
         matcher = difflib.SequenceMatcher(None, mine, self.folded[k], autojunk=False)
         got = [m for m in matcher.get_matching_blocks() if m.size]
         if not got:
@@ -146,17 +138,19 @@ class Scanner:
         return spans[first][0], spans[last - 1][1], agree, told
 
     def scan(self, text: str, agree: float, gain: float):
+        spans = [(m.start(), m.end()) for m in _WORD.finditer(text)]
         found = []
-        for a, z in self.blocks(text):
-            block = text[a:z]
-            for size, k in self.rank(block)[:3]:
+        for at in self.hits(text, [a for a, _ in spans]):
+            for k, low, high in self.windows(at, len(spans)):
+                a, z = spans[low][0], spans[high - 1][1]
+                size = self.reduction(text[a:z], k)
                 if size < gain:
-                    break
-                got = self.confirm(block, -k)
+                    continue
+                got = self.confirm(text[a:z], k)
                 if got and got[2] >= agree:
-                    found.append((got[2] * len(self.folded[-k]) - len(got[3]), -(a + got[0]), k, a + got[0], a + got[1], got[2], size, got[3]))
+                    found.append((got[2] * len(self.folded[k]) - len(got[3]), -(a + got[0]), -k, a + got[0], a + got[1], got[2], size, got[3]))
         taken: list[tuple[int, int]] = []
-        for _, _, k, a, z, share, size, told in sorted(found, key=lambda f: f[:3], reverse=True):
+        for _, _, k, a, z, share, size, told in sorted(found, key=lambda f: (*f[:3], f[6]), reverse=True):
             if all(z <= b or a >= e for b, e in taken):
                 taken.append((a, z))
                 yield self.names[-k], a, z, text[a:z], share, size, told

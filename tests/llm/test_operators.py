@@ -490,9 +490,24 @@ def test_license_recall_of_a_plain_search(spark, sf):
     assert {name for _, name, _ in want} == set(LICENSE_LINES) and got == want
 
 
+@pytest.mark.parametrize("sep", [" ", "\n"])
+def test_license_notices_beside_prose(sep):
+    scanner, r = licenses.Scanner(licenses.TEMPLATES), random.Random(3)
+    for name, line in LICENSE_LINES.items():
+        for size in (50, 100, 200, 500, 1000, 2000, 3900, 4100, 5000):
+            words = _prose(r, size // 3).split()
+            while len(" ".join(words)) > size:
+                words.pop()
+            for at in (0, len(words) // 2, len(words)):
+                for wording in (line, line.upper()):
+                    text = sep.join(x for x in (" ".join(words[:at]), wording, " ".join(words[at:])) if x)
+                    got = [(f[0], f[3]) for f in scanner.scan(text, 0.9, 0.15)]
+                    assert got == [(name, wording)], (size, at)
+
+
 def test_license_scan_of_rights_and_copyright(spark):
     rows = [
-        (1, "A tale.\nCopyright (c) 2024 Jane Doe.", "en", "s"), (2, "ends here\nAll rights reserved.", "en", "s"), (3, "Copyright © 2020\nSome rights reserved.", "en", "s"),
+        (1, "A tale.\nCopyright (c) 2024 Jane Doe.", "en", "s"), (2, "ends here\nAll rights\nreserved.", "en", "s"), (3, "Copyright © 2020\nSome rights reserved.", "en", "s"),
         (4, "All of these rights were given, none was reserved; the copyright of part (c) is mine.", "en", "s"), (5, "No rights reserved.", "en", "s"), (6, "All rights are reserved.", "en", "s"),
     ]
     got = Counter((r.doc_id, r.license) for r in licenses.scan(spark.createDataFrame(rows, SCHEMA)).collect())
