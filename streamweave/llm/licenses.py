@@ -6,7 +6,7 @@ more on either side; line ends are blanks. Every block is compressed by zstandar
 the bytes saved, as a share of the template's own compressed size, tell the candidates. Each one that reaches ``gain`` is confirmed
 by its exact wording: block and template are aligned word by word, and the words that were left out, put in or
 replaced are the result's differences. A finding needs ``agree`` of the template's words; those of a template of less than four
-words have to follow each other.
+words have to follow each other. What a finding leaves of its block on either side is searched again.
 
 Defined results: texts that are null or hold no trigger give no row; overlapping findings of one text keep the longest
 agreement (ties: the earlier, then the first template); repeated rows each give their rows; an empty table gives an
@@ -18,6 +18,7 @@ from __future__ import annotations
 import bisect
 import difflib
 import functools
+import heapq
 import re
 
 from pyspark.sql import DataFrame
@@ -115,7 +116,7 @@ class Scanner:
         return (len(self.plain.compress(raw)) - len(self.given[k].compress(raw))) / self.own[k]
 
     def confirm(self, block: str, k: int):
-        """Best aligned span of the block: begin, end, share of the template's words, differences."""
+        """Best aligned span of the block: begin, end, share of the template's words, differences, and the words of its longest run."""
         spans = [(m.start(), m.end()) for m in _WORD.finditer(block)]
         mine = [_fold(block[a:z]) for a, z in spans]
         matcher = difflib.SequenceMatcher(None, mine, self.folded[k], autojunk=False)
@@ -126,8 +127,8 @@ class Scanner:
         core = max(got, key=lambda m: m.size)
         low, high = core.a - core.b - 5, core.a + len(self.folded[k]) - core.b + 5
         got = [m for m in got if m.a >= low and m.a + m.size <= high]
-        if len(self.folded[k]) < 4 and len(got) > 1:  # so few words are a notice only where they follow each other
-            return None
+        if len(self.folded[k]) < 4:  # so few words are a notice only where they follow each other
+            got = [core]
         first, last = got[0].a, got[-1].a + got[-1].size
         agree = sum(m.size for m in got) / len(self.folded[k])
         inner = difflib.SequenceMatcher(None, mine[first:last], self.folded[k], autojunk=False)
@@ -135,25 +136,50 @@ class Scanner:
             f"{op} '{' '.join(self.words[k][b1:b2])}' -> '{block[spans[first + a1][0] : spans[first + a2 - 1][1]] if a2 > a1 else ''}'"
             for op, a1, a2, b1, b2 in inner.get_opcodes() if op != "equal"
         ]
-        return spans[first][0], spans[last - 1][1], agree, told
+        return spans[first][0], spans[last - 1][1], agree, told, core.a, core.a + core.size
 
     def scan(self, text: str, agree: float, gain: float):
         spans = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-        found = []
-        for at in self.hits(text, [a for a, _ in spans]):
+        starts = [a for a, _ in spans]
+        found: list[tuple] = []
+        seen = set()
+
+        def offer(k: int, low: int, high: int, size: float):
+            """Confirm the template in the words from ``low`` to ``high``."""
+            if (k, low, high) in seen or high - low < agree * len(self.folded[k]) - 1e-9:
+                return
+            seen.add((k, low, high))
+            begin = starts[low]
+            got = self.confirm(text[begin : spans[high - 1][1]], k)
+            if got and got[2] < agree:  # the longest run may be a piece of another notice
+                offer(k, low, low + got[4], size)
+                offer(k, low + got[5], high, size)
+            elif got:
+                a, z = begin + got[0], begin + got[1]
+                heapq.heappush(found, (len(got[3]) - got[2] * len(self.folded[k]), a, k, -size, low, high, z, got[2], got[3]))
+
+        for at in self.hits(text, starts):
             for k, low, high in self.windows(at, len(spans)):
-                a, z = spans[low][0], spans[high - 1][1]
-                size = self.reduction(text[a:z], k)
-                if size < gain:
-                    continue
-                got = self.confirm(text[a:z], k)
-                if got and got[2] >= agree:
-                    found.append((got[2] * len(self.folded[k]) - len(got[3]), -(a + got[0]), -k, a + got[0], a + got[1], got[2], size, got[3]))
-        taken: list[tuple[int, int]] = []
-        for _, _, k, a, z, share, size, told in sorted(found, key=lambda f: (*f[:3], f[6]), reverse=True):
-            if all(z <= b or a >= e for b, e in taken):
-                taken.append((a, z))
-                yield self.names[-k], a, z, text[a:z], share, size, told
+                if (k, low, high) not in seen:
+                    size = self.reduction(text[starts[low] : spans[high - 1][1]], k)
+                    if size >= gain:
+                        offer(k, low, high, size)
+        taken: list[tuple[int, int]] = []  # words, in order
+        while found:
+            _, a, k, size, low, high, z, share, told = heapq.heappop(found)
+            first, last = bisect.bisect_left(starts, a), bisect.bisect_left(starts, z)
+            i = bisect.bisect_left(taken, (first, last))
+            if (i == 0 or taken[i - 1][1] <= first) and (i == len(taken) or taken[i][0] >= last):
+                taken.insert(i, (first, last))
+                yield self.names[k], a, z, text[a:z], share, -size, told
+            # on in what is left of the block beside what is taken
+            i = bisect.bisect_left(taken, (low, low))
+            i -= i > 0 and taken[i - 1][1] > low
+            while i < len(taken) and taken[i][0] < high:
+                offer(k, low, taken[i][0], -size)
+                low = taken[i][1]
+                i += 1
+            offer(k, low, high, -size)
 
 
 @functools.lru_cache(2)

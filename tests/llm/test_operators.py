@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -505,6 +506,20 @@ def test_license_notices_beside_prose(sep):
                     assert got == [(name, wording)], (size, at)
 
 
+@pytest.mark.parametrize("sep", [" ", "\n", "\nsome prose stands here between them\n"])
+def test_license_notices_that_stand_together(sep):
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+
+    def found(wordings):
+        return [f[0] for f in sorted(scanner.scan(sep.join(wordings), 0.9, 0.15), key=lambda f: f[1])]
+
+    for names in [*itertools.product(licenses.TEMPLATES, repeat=2), *itertools.permutations(LICENSE_LINES, 4), ["MIT notice"] * 7]:
+        assert found([licenses.TEMPLATES[n] for n in names]) == list(names)
+    # of two in one block, the second has a word put in
+    assert found(["Released under the MIT License.", "Released under the new MIT License."]) == ["MIT notice"] * 2
+    assert found(["Licensed under CC BY-NC 4.0.", "Licensed, freely, under CC BY-NC 4.0.", "Licensed under CC BY-NC 4.0."]) == ["CC-BY-NC-4.0 notice"] * 3
+
+
 def test_license_scan_of_rights_and_copyright(spark):
     rows = [
         (1, "A tale.\nCopyright (c) 2024 Jane Doe.", "en", "s"), (2, "ends here\nAll rights\nreserved.", "en", "s"), (3, "Copyright © 2020\nSome rights reserved.", "en", "s"),
