@@ -33,8 +33,8 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in their target shares of words: rows repeat by whole epochs, and end at each source's budget."""
-    return mixing.mix(docs)
+    """Sources in their target shares of words: rows repeat by whole epochs, and end with the row on which each source's budget does."""
+    return mixing.mix(docs, whole=True)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

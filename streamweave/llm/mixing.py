@@ -99,18 +99,20 @@ def take(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, share: float = 1.5
     return out.select(F.col("_doc_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
 
 
-def mix(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
+def mix(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, share: float = 1.5, most: float = 2.0, whole: bool = False) -> DataFrame:
     """The mixed rows themselves, with the columns of ``docs``: each row once per whole epoch, and the
-    first words of the row on which a source's budget ends (with n_chars, if there, to match).
+    first words of the row on which a source's budget ends (with n_chars, if there, to match). With ``whole``
+    that row is taken whole: no text is cut, and a source is above its budget by less than that row.
 
     What is taken is worked out on narrow rows, without texts. Rows that are alike in every column are named by a hash of 128
     bits and taken together, so texts are dealt once, by that name, to meet what is taken of them.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    named = docs.select(F.struct(*columns).alias("_row"), F.xxhash64(*columns).alias("_h"), F.xxhash64(F.lit(1), *columns).alias("_g"))
+    told = [x for c in columns for x in (c, c.isNull())]  # the hash passes over nulls
+    named = docs.select(F.struct(*columns).alias("_row"), F.xxhash64(*told).alias("_h"), F.xxhash64(F.lit(1), *told).alias("_g"))
     text, source = F.col("_row").getField("text"), F.col("_row").getField("source")
     narrow = named.select("_h", "_g", F.col("_row").getField("doc_id").cast("bigint").alias("_doc_id"), source.cast("string").alias("_source"), words(text).alias("_size"), F.xxhash64(text).alias("_text_hash"))
-    part = (F.col("_last") > 0) & (F.col("_last") < F.col("_size"))
+    part = F.lit(False) if whole else (F.col("_last") > 0) & (F.col("_last") < F.col("_size"))
     taken = _counted(narrow, seed, weights, share, most).where("_taken > 0").groupBy("_h", "_g").agg(
         F.sum(F.col("_epochs") + (~part & (F.col("_last") > 0)).cast("bigint")).alias("_copies"), F.max(F.when(part, F.col("_last"))).alias("_part")  # a source has one row in part at most
     )

@@ -187,6 +187,30 @@ def test_mix_rows_hold_the_words_taken(docs):
     assert sum(len(_words(r.text)) for r in out.select("text").collect()) == took
 
 
+def test_mix_of_whole_rows(docs, rows):
+    text, source = defaultdict(set), {}
+    for i, t, _, s in rows:
+        text[i].add(t)
+        source.setdefault(i, s)
+    taken = {}
+    for r in mixing.take(docs).collect():
+        taken.setdefault((r.doc_id, r.size), []).append(r.taken)
+    got = mixing.mix(docs, whole=True).collect()
+    assert all(r.text in text[r.doc_id] for r in got)
+    copies = Counter((r.doc_id, len(_words(r.text))) for r in got)
+    assert copies == Counter({k: sum(-(-n // k[1]) for n in v) for k, v in taken.items() if sum(v)})
+    over = Counter()
+    for (i, size), v in taken.items():
+        over[source[i]] += copies[i, size] * size - sum(v)
+    assert all(0 <= over[s] < max(size for (i, size) in taken if source[i] == s) for s in over if s in {source[i] for i, size in taken if size})
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_mix_tells_rows_apart_by_which_column_is_null(spark, whole):
+    docs = spark.createDataFrame([(1, "one two three four", None, "a"), (1, "one two three four", "a", None)], SCHEMA)
+    assert Counter((r.lang, r.source) for r in mixing.mix(docs, whole=whole).collect()) == Counter({(None, "a"): 2, ("a", None): 1})
+
+
 def test_mix_of_nothing(nothing):
     assert mixing.take(nothing).count() == 0 and mixing.mix(nothing).count() == 0
 
