@@ -20,16 +20,20 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-from itertools import chain
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import holds, narrowed, schema, small_batches, task
-from .token_counts import Memo, slices
+from .common import Table, holds, mix, narrowed, ragged, schema, small_batches, task
+from .pretokens import Hashes, Recent, Splitter, flat, slices
 
-#: Token pairs that a worker remembers; beyond, it begins anew.
-SEAMS = 300_000
+#: Pieces of one generation of a worker's memo.
+MEMO = 250_000
+#: Bits of the place of a token pair in a worker's table of the pairs asked last.
+SEAM_BITS = 20
+#: Bytes of a piece above which it is encoded on its own: the places of many are worked out in step.
+LONG = 256
 
 
 class Prefixes:
@@ -81,16 +85,14 @@ class Prefixes:
 
 class Bpe:
     def __init__(self, path: str, pattern: str):
-        import regex
-
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes_of = {r: b for b, r in self.ranks.items()}
         self.text_of = {r: str(r) for r in self.bytes_of}
         self.longest = max(map(len, self.ranks))
-        self.pattern = regex.compile(pattern)
-        self.memo = Memo(160_000)
-        self.seams: dict[int, bool] = {}  # before << 32 | token: whether they may stand so
+        self.splitter = Splitter(pattern)
+        self.memo = Recent(MEMO)
+        self.ends: Table | None = None
         self.suffixes = {b[k:] for b in self.ranks for k in range(len(b))}
         self.pair: dict[tuple[int, int], int] = {}
         self.split: dict[int, tuple[int, int]] = {}
@@ -107,7 +109,6 @@ class Bpe:
             left = self.ranks[b[: len(b) - len(self.bytes_of[right])]]
             self.split[token] = (left, right)
             self.pair[left, right] = token
-            self.seams.pop(left << 32 | right, None)
 
     def _half(self, b: bytes, table: list[int], token: int) -> int | None:
         """The right one of the two tokens of which the token is merged: both of lower rank, standing next to each other without it."""
@@ -151,7 +152,7 @@ class Bpe:
 
     def last_token(self, data: bytes, end: int, last: list[int]) -> int:
         """The token that stands last in the encoding of data[:end], given those of all shorter prefixes."""
-        ranks, seams, suffixes, split = self.ranks, self.seams, self.suffixes, self.split
+        ranks, suffixes, split = self.ranks, self.suffixes, self.split
         for begin in range(end - 1, -1, -1):
             b = data[begin:end]
             if b not in suffixes:
@@ -166,50 +167,154 @@ class Bpe:
             if not begin:
                 return t
             before = last[begin - 1]
-            ok = seams.get(before << 32 | t)
-            if ok is None:
-                ok = self.adjacent(before, t)
-                if len(seams) > SEAMS:
-                    seams.clear()
-                seams[before << 32 | t] = ok
-            if ok:
+            if self.adjacent(before, t):
                 return t
         raise ValueError("the vocabulary lacks a byte")
 
-    def encode_sorted(self, pieces: list[bytes]) -> dict[bytes, tuple[int, ...]]:
-        """Encodings of many byte strings: in sorted order each goes on from the table of the prefix it shares with the one before."""
-        out, last, was = {}, [], b""
-        for p in sorted(pieces):
-            whole = self.ranks.get(p)
-            if whole is not None:
-                out[p] = (whole,)
-                continue
-            k, most = 0, min(len(p), len(was))
-            while k < most and p[k] == was[k]:
-                k += 1
-            del last[k:]
-            for end in range(k + 1, len(p) + 1):
-                last.append(self.last_token(p, end, last))
-            was, at, ids = p, len(p), []
-            while at:
-                t = last[at - 1]
-                ids.append(t)
-                at -= len(self.bytes_of[t])
-            out[p] = tuple(ids[::-1])
+    def encode_scalar(self, piece: bytes) -> list[int]:
+        """The encoding of one byte string by its table of last tokens."""
+        whole = self.ranks.get(piece)
+        return [whole] if whole is not None else Prefixes(self, piece).tokens()
+
+    def _arrays(self) -> None:
+        """What ``encode_many`` looks up: all ends of tokens by hash, the merges by pair, lengths and halves by token."""
+        if self.ends is not None:
+            return
+        size = max(self.bytes_of) + 1
+        self.length, self.left, self.right = np.zeros(size, np.int64), np.arange(size), np.arange(size)
+        self.spelt = np.zeros(size, np.int64)  # where a token's bytes stand among the letters
+        self.letters = np.frombuffer(b"".join(self.bytes_of.values()), np.uint8)
+        at = 0
+        for t, b in self.bytes_of.items():
+            self.length[t], self.spelt[t] = len(b), at
+            at += len(b)
+        tokens = np.array(list(self.bytes_of), np.int64)
+        self.whole = Table(Hashes(self.letters).of(self.spelt[tokens], self.length[tokens]), tokens)
+        for t, (left, right) in self.split.items():
+            self.left[t], self.right[t] = left, right
+        ends = sorted(self.suffixes)
+        made = np.array([-1 if t is None or len(b) > 1 and self.split[t][0] == t else t for b, t in zip(ends, map(self.ranks.get, ends))], np.int32)
+        size = np.array([len(b) for b in ends])
+        self.ends = Table(Hashes(np.frombuffer(b"".join(ends), np.uint8)).of(np.cumsum(size) - size, size), made)
+        pairs = np.array(list(self.pair), np.uint64).reshape(-1, 2)
+        self.merges = Table(pairs[:, 0] << np.uint64(32) | pairs[:, 1], np.array(list(self.pair.values()), np.int32))
+        self.asked, self.said = np.zeros(1 << SEAM_BITS, np.uint64), np.zeros(1 << SEAM_BITS, bool)
+
+    def _stand(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``adjacent`` of many pairs at once."""
+        left, right = left.astype(np.int64), right.astype(np.int64)
+        out = np.zeros(len(left), bool)
+        limit = np.full(len(left), 1 << 60)
+        live = np.arange(len(left))
+        while len(live):
+            a, b = left[live], right[live]
+            merged = self.merges.get(a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64))
+            ok = (merged < 0) | (merged >= limit[live])
+            live, a, b = live[ok], a[ok], b[ok]
+            # the one that was merged later is undone; one that no merge made stands, and the other is undone
+            inner_a, inner_b = self.right[a], self.left[b]
+            undo_a = a > b
+            swap = np.where(undo_a, inner_a == a, inner_b == b)
+            undo_a ^= swap
+            limit[live] = np.where(undo_a, a, b + 1)
+            done = np.where(undo_a, inner_a == a, inner_b == b)
+            out[live[done]] = True
+            left[live] = np.where(undo_a, inner_a, a)
+            right[live] = np.where(undo_a, b, inner_b)
+            live = live[~done]
+        return out
+
+    def stand(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``_stand`` by way of a table of the pairs asked last; a pair whose place another has taken is worked out anew."""
+        key = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64) | np.uint64(1 << 63)
+        at = (mix(key) >> np.uint64(64 - SEAM_BITS)).astype(np.int64)
+        out = self.said[at]
+        new = np.flatnonzero(self.asked[at] != key)
+        if len(new):
+            out[new] = self._stand(left[new], right[new])
+            _, last = np.unique(at[new], return_index=True)  # a place holds one pair and its answer
+            put = new[last]
+            self.asked[at[put]], self.said[at[put]] = key[put], out[put]
         return out
 
-    def _new(self, pieces: list[str]) -> list[tuple[int, ...]]:
-        raw = [p.encode() for p in pieces]
-        done = self.encode_sorted(raw)
-        return [done[b] for b in raw]
+    def encode_many(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids in a row, and their numbers, of stretches of ``data``, none of them empty: the last tokens of all first prefixes are found at once, then those of all second ones, and so on."""
+        self._arrays()
+        hashes = Hashes(data)
+        whole = self.whole.get(hashes.of(begin, size))
+        count = np.ones(len(begin), np.int64)
+        rest = np.flatnonzero((whole < 0) & (size <= LONG))
+        rest = rest[np.argsort(-size[rest], kind="stable")]  # so that those that have a k-th prefix stand first
+        of_rest, count[rest] = self._in_step(data[ragged(begin[rest], size[rest])], size[rest])
+        far = np.flatnonzero(size > LONG)
+        of_far = [self.encode_scalar(data[begin[i] : begin[i] + size[i]].tobytes()) for i in far.tolist()]
+        count[far] = list(map(len, of_far))
+        ids = np.empty(int(count.sum()), np.int32)
+        place = np.cumsum(count) - count
+        known = (whole >= 0) & (size <= LONG)
+        ids[place[known]] = whole[known]
+        ids[ragged(place[rest], count[rest])] = of_rest
+        ids[ragged(place[far], count[far])] = [t for own in of_far for t in own]
+        return ids, count
+
+    def _in_step(self, data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``encode_many`` of stretches that follow each other, the longest first."""
+        if not len(size):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        begin = np.cumsum(size) - size
+        hashes = Hashes(data)
+        place = np.arange(int(size.sum()))
+        prefix = place - np.repeat(begin, size) + 1
+        # the tokens that end at each place, the longest first
+        live, where, which = place, [], []
+        for k in range(1, self.longest + 1):
+            live = live[prefix[live] >= k]
+            token = self.ends.get(hashes.of(live - (k - 1), k))
+            live, token = live[token > -2], token[token > -2]
+            if not len(live):
+                break
+            where.append(live[token >= 0])
+            which.append(token[token >= 0])
+        where, which = np.concatenate(where[::-1]), np.concatenate(which[::-1])
+        by = np.argsort(where, kind="stable")
+        which = which[by]
+        first = np.r_[0, np.cumsum(np.bincount(where, minlength=len(place)))]
+        last = np.zeros(len(place), np.int64)
+        for end in range(1, int(size[0]) + 1):
+            at = begin[: int(np.searchsorted(-size, -end, side="right"))] + end - 1
+            at, stop = (at, first[at + 1])
+            choice = first[at].copy()
+            while len(at):
+                if (choice >= stop).any():
+                    raise ValueError("the vocabulary lacks a byte")
+                token = which[choice]
+                back = self.length[token]
+                ok = back == end
+                inner = np.flatnonzero(~ok)
+                ok[inner] = self.stand(last[at[inner] - back[inner]], token[inner])
+                last[at[ok]] = token[ok]
+                at, stop, choice = at[~ok], stop[~ok], choice[~ok] + 1
+        # back from the ends
+        at, mine, steps = begin + size, np.arange(len(size)), []
+        while len(mine):
+            token = last[at[mine] - 1]
+            steps.append((mine, token))
+            at[mine] -= self.length[token]
+            mine = mine[at[mine] > begin[mine]]
+        mine = np.concatenate([m for m, _ in steps[::-1]])
+        ids = np.concatenate([t for _, t in steps[::-1]])[np.argsort(mine, kind="stable")]
+        return ids.astype(np.int32), np.bincount(mine, minlength=len(size))
+
+    def encode_flat(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids in a row of the texts whose UTF-8 bytes stand in ``data`` between the offsets, and the n + 1 places where each text's ids begin."""
+        begin, size, at = self.splitter.spans(data, off)
+        ids, row, count = self.memo.rows(data, begin, size, self.encode_many)
+        return ids[ragged(row, count)], np.r_[0, np.cumsum(count)][at]
 
     def encode_all(self, texts: list[str | None]) -> list[list[int]]:
-        flat, ends = [], []
-        for t in texts:
-            flat += self.pattern.findall(t or "")
-            ends.append(len(flat))
-        ids = self.memo.values(flat, self._new)
-        return [list(chain.from_iterable(ids[a:z])) for a, z in zip([0, *ends], ends)]
+        ids, ends = self.encode_flat(*flat(texts))
+        ids = ids.tolist()
+        return [ids[a:z] for a, z in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text])[0]
@@ -217,6 +322,12 @@ class Bpe:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
+    def decode_flat(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of ids, and the n + 1 places where each id's begin."""
+        self._arrays()
+        size = self.length[ids]
+        return self.letters[ragged(self.spelt[ids], size)], np.r_[0, np.cumsum(size)]
+
 
 @functools.lru_cache(4)
 def bpe(path: str, pattern: str) -> Bpe:
@@ -233,11 +344,15 @@ def _digests(batches, path: str, pattern: str):
     b = bpe(path, pattern)
     for batch in batches:
         n, ids_hash, back_hash = [], [], []
-        for _, _, texts in slices(batch.column(1)):
-            for ids in b.encode_all(texts):
-                n.append(len(ids))
-                ids_hash.append(hashlib.sha256(",".join(map(b.text_of.__getitem__, ids)).encode()).hexdigest())
-                back_hash.append(hashlib.sha256(b.decode(ids)).hexdigest())
+        for _, _, data, off in slices(batch.column(1)):
+            ids, at = b.encode_flat(data, off)
+            back, end = b.decode_flat(ids)
+            name = list(map(b.text_of.__getitem__, ids.tolist()))
+            at, end = at.tolist(), end[at].tolist()
+            for i in range(len(off) - 1):
+                n.append(at[i + 1] - at[i])
+                ids_hash.append(hashlib.sha256(",".join(name[at[i] : at[i + 1]]).encode()).hexdigest())
+                back_hash.append(hashlib.sha256(back[end[i] : end[i + 1]]).hexdigest())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hash), pa.array(back_hash)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
@@ -253,8 +368,9 @@ def _with_ids(batches, path: str, pattern: str, column: str, name: str):
 
     b = bpe(path, pattern)
     for batch in batches:
-        for a, z, texts in slices(batch.column(batch.schema.get_field_index(column))):
-            ids = pa.array(b.encode_all(texts), pa.list_(pa.int32()))
+        for a, z, data, off in slices(batch.column(batch.schema.get_field_index(column))):
+            ids, ends = b.encode_flat(data, off)
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
             part = batch.slice(a, z - a)
             yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, name])
 

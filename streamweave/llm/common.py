@@ -191,6 +191,12 @@ def _powers(n: int) -> None:
             _INV = np.concatenate([np.ones(1, np.uint64), np.full(n, inverse)]).cumprod(dtype=np.uint64)
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers 0 to n of an odd base, and their inverses, modulo 2**64."""
+    _powers(n)
+    return _POW, _INV
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64 bits."""
     with np.errstate(over="ignore"):
@@ -256,6 +262,54 @@ def hashed_words(buf: np.ndarray, off: np.ndarray, spans: bool = False):
     return (h, at, starts, ends) if spans else (h, at)
 
 
+class Table:
+    """A hash table of 64-bit keys and 32-bit values in flat arrays, with open addressing; many keys are looked up at once."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.held = 0
+        self._room(16)
+        self.put(np.asarray(keys).astype(np.uint64), np.asarray(values).astype(np.int32))
+
+    def _room(self, size: int) -> None:
+        self.mask = np.uint64(size - 1)
+        self.keys, self.values = np.zeros(size, np.uint64), np.full(size, -2, np.int32)
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Add different keys, none of which is there."""
+        if 3 * (self.held + len(keys)) > len(self.keys):
+            there = self.values != -2
+            keys, values, self.held = np.append(self.keys[there], keys), np.append(self.values[there], values), 0
+            self._room(1 << int(4 * len(keys)).bit_length())
+        self.held += len(keys)
+        at, todo = (mix(keys) & self.mask).astype(np.int64), np.arange(len(keys))
+        while len(todo):
+            free = todo[self.values[at[todo]] == -2]
+            self.keys[at[free]] = np.uint64(0)
+            self.values[at[free]] = free  # the last one to name a free slot has it
+            mine = self.values[at[free]] == free
+            put, late = free[mine], free[~mine]
+            self.keys[at[put]], self.values[at[put]] = keys[put], values[put]
+            todo = np.concatenate([todo[np.isin(todo, free, assume_unique=True, invert=True)], late])
+            at[todo] = (at[todo] + 1) & int(self.mask)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key; -2 where there is none."""
+        at = (mix(keys) & self.mask).astype(np.int64)
+        out = self.values[at]
+        todo = np.flatnonzero((out != -2) & (self.keys[at] != keys))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & int(self.mask)
+            out[todo] = self.values[at[todo]]
+            todo = todo[(out[todo] != -2) & (self.keys[at[todo]] != keys[todo])]
+        return out
+
+
+def ragged(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The places ``begin[i], begin[i] + 1, ...``, ``count[i]`` of them for each i."""
+    total = int(count.sum())
+    return np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(total)
+
+
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
