@@ -18,44 +18,18 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import holds, narrowed, schema, task
+from .common import Table, holds, narrowed, ragged, schema, task
+from .pretokens import Recent, Splitter, slices
 
 #: Pre-tokens of one generation of a worker's memo.
 MEMO = 250_000
 
 
-class Memo:
-    """A bounded memo of two generations: what is asked for again outlives the turn of a generation."""
-
-    def __init__(self, most: int = MEMO):
-        self.most, self.young, self.old = most, {}, {}
-
-    def values(self, keys: list, make) -> list:
-        """The values of the keys; ``make`` gives those of a list of new ones."""
-        if len(self.young) > self.most:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        out = list(map(young.get, keys))
-        misses = [i for i, v in enumerate(out) if v is None]
-        if misses:
-            new = []
-            for k in {keys[i] for i in misses}:
-                v = old.get(k)
-                if v is None:
-                    new.append(k)
-                else:
-                    young[k] = v
-            for a in range(0, len(new), 100_000):
-                young.update(zip(new[a : a + 100_000], make(new[a : a + 100_000])))
-            for i in misses:
-                out[i] = young[keys[i]]
-        return out
-
-
 def byte_characters() -> dict[str, int]:
     """The printable character by which byte-level vocabularies write each byte: printable Latin-1 as it is, the rest from U+0100 on."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -67,16 +41,14 @@ class Merger:
     """Counts the symbols that the merges leave of byte strings."""
 
     def __init__(self, path: str, pattern: str):
-        import regex
-
         spec = json.load(open(path, encoding="utf-8"))
         model, vocab = spec["model"], spec["model"]["vocab"]
         if model["type"] != "BPE" or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["normalizer"] or model.get("ignore_merges"):
             raise ValueError("a byte-level BPE without normalizer is needed")
         self.prefix_space = spec["pre_tokenizer"]["add_prefix_space"]
-        self.pattern = regex.compile(pattern)
-        added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
-        self.added = regex.compile("|".join(regex.escape(t) for t in added)) if added else None
+        self.splitter = Splitter(pattern)
+        added = sorted((t["content"].encode() for t in spec["added_tokens"]), key=len, reverse=True)
+        self.added = re.compile(b"|".join(map(re.escape, added))) if added else None
         self.base = np.zeros(256, np.int64)
         for c, b in byte_characters().items():
             self.base[b] = vocab[c]
@@ -86,24 +58,21 @@ class Merger:
             a, b = m.split(" ") if isinstance(m, str) else m
             pairs.append(vocab[a] * self.width + vocab[b])
             results.append(vocab[a + b])
-        pairs, results, ranks = np.array(pairs, np.int64), np.array(results, np.int64), np.arange(len(pairs), dtype=np.int64)
-        by = np.argsort(pairs, kind="stable")
-        self.pairs, self.results, self.ranks = pairs[by], results[by], ranks[by]
-        self.memo = Memo()
-
-    def count_sequences(self, pieces: list[bytes]) -> np.ndarray:
-        """Surviving symbols of each non-empty byte string."""
-        lens = np.array([len(p) for p in pieces], np.int64)
+        self.merges = Table(np.array(pairs, np.int64), np.arange(len(pairs)))  # the rank of each pair
+        self.results = np.array(results, np.int64)
+        self.memo = Recent(MEMO)
+
+    def count_sequences(self, data: np.ndarray, begin: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """Surviving symbols of each of the stretches of ``data``, none of them empty."""
         total = lens.copy()
-        sym = self.base[np.frombuffer(b"".join(pieces), np.uint8)]
-        seq = np.repeat(np.arange(len(pieces)), lens)
-        none = np.int64(len(self.ranks))
+        sym = self.base[data[ragged(begin, lens)]]
+        seq = np.repeat(np.arange(len(lens)), lens)
+        none = np.int64(len(self.results))
         while len(sym) > 1:
             together = seq[1:] == seq[:-1]
             code = sym[:-1] * self.width + sym[1:]
-            at = np.searchsorted(self.pairs, code)
-            at[at == len(self.pairs)] = 0
-            rank = np.where(together & (self.pairs[at] == code), self.ranks[at], none)
+            rank = self.merges.get(code.astype(np.uint64)).astype(np.int64)
+            rank[~together | (rank < 0)] = none
             begin = np.flatnonzero(np.r_[True, ~together])  # of each sequence, in symbols
             lowest = np.minimum.reduceat(np.r_[rank, none], begin)  # a sequence's last place pairs with none
             mine = np.repeat(lowest, np.diff(np.r_[begin, len(sym)]))[:-1]
@@ -114,7 +83,7 @@ class Merger:
             run = np.cumsum(np.r_[True, np.diff(hit) > 1]) - 1
             first = np.flatnonzero(np.r_[True, np.diff(run) > 0])
             hit = hit[(np.arange(len(hit)) - first[run]) % 2 == 0]
-            sym[hit] = self.results[at[hit]]
+            sym[hit] = self.results[rank[hit]]
             keep = np.ones(len(sym), bool)
             keep[hit + 1] = False
             np.subtract.at(total, seq[hit], 1)
@@ -124,20 +93,26 @@ class Merger:
             sym, seq = sym[keep], seq[keep]
         return total
 
-    def counts(self, texts: list[str | None]) -> list[int]:
-        special, ends, flat = [0] * len(texts), [], []
-        for i, t in enumerate(texts):
-            spans = [t or ""]
-            if self.added and t and self.added.search(t):
-                spans = self.added.split(t)
-                special[i] = len(spans) - 1
-            for s in spans:
-                if self.prefix_space and s and not s.startswith(" "):
-                    s = " " + s
-                flat += self.pattern.findall(s)
-            ends.append(len(flat))
-        n = self.memo.values(flat, lambda new: self.count_sequences([p.encode() for p in new]).tolist())
-        return [k + sum(n[a:z]) for k, a, z in zip(special, [0, *ends], ends)]
+    def counts(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """The tokens of each of the texts between the offsets."""
+        n, special, owner = len(off) - 1, np.zeros(len(off) - 1, np.int64), None
+        raw = data.tobytes() if self.prefix_space or self.added else b""
+        if self.prefix_space or self.added and self.added.search(raw):
+            parts, owner = [], []  # what stands between added tokens is a text of its own
+            for i, (a, z) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
+                some = self.added.split(raw[a:z]) if self.added else [raw[a:z]]
+                special[i] = len(some) - 1
+                parts += [b" " + s if self.prefix_space and s and not s.startswith(b" ") else s for s in some]
+                owner += [i] * len(some)
+            data = np.frombuffer(b"".join(parts), np.uint8)
+            off = np.r_[0, np.cumsum(np.array(list(map(len, parts)), np.int64))]
+        begin, size, at = self.splitter.spans(data, off)
+        values, row, _ = self.memo.rows(data, begin, size, lambda *new: (self.count_sequences(*new), np.ones(len(new[1]), np.int64)))
+        total = np.r_[0, np.cumsum(values[row], dtype=np.int64)]
+        own = total[at[1:]] - total[at[:-1]]
+        if owner is not None:
+            own = np.bincount(np.array(owner, np.int64), own, minlength=n).astype(np.int64)
+        return own + special
 
 
 @functools.lru_cache(4)
@@ -148,19 +123,6 @@ def merger(path: str, pattern: str) -> Merger:
 holds("token_counts", merger.cache_clear)
 
 
-def slices(column, most: int = 500_000):
-    """An Arrow text column as lists of about ``most`` bytes each, with the rows that they are."""
-    import pyarrow.compute as pc
-
-    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    a = 0
-    while a < len(column):
-        before = size[a - 1] if a else 0
-        z = max(a + 1, int(np.searchsorted(size, before + most, side="right")))
-        yield a, z, column.slice(a, z - a).to_pylist()
-        a = z
-
-
 @task("token_counts")
 def _count(batches, path: str, pattern: str, limit: int):
     import pyarrow as pa
@@ -169,11 +131,9 @@ def _count(batches, path: str, pattern: str, limit: int):
     m = merger(path, pattern)
     for batch in batches:
         column = batch.column(1)
-        n: list[int] = []
-        for _, _, texts in slices(column):
-            n += m.counts(texts)
+        n = [m.counts(data, off) for _, _, data, off in slices(column)]
         size = pc.fill_null(pc.binary_length(column), 0).cast(pa.int64())
-        tokens = pa.array(n, pa.int64())
+        tokens = pa.array(np.concatenate([*n, np.zeros(0, np.int64)]), pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0), size, tokens, pc.greater(tokens, limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
 

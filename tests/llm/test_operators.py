@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from streamweave.llm import bpe, common, embedding_dedup, fingerprints, language_id, licenses, mixing, ngram_join, quality, sharding, token_counts
+from streamweave.llm import bpe, common, embedding_dedup, fingerprints, language_id, licenses, mixing, ngram_join, pretokens, quality, sharding, token_counts
 
 WORDS = "the of and river stone house green walks over under quick brown fox jumps lazy dog table chair window garden".split()
 LANGS = {"en": "the and of is that with for was this from", "de": "der und die ist nicht mit für war dies von ß ü", "fr": "le et de est que avec pour était ce depuis é è"}
@@ -291,21 +291,48 @@ def test_merging_on_hard_texts():
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
     m = token_counts.Merger(path, public_tokenizers.PATTERN)
-    assert m.counts([*HARD, None, ""]) == [*[len(t.encode(x, add_special_tokens=False).ids) for x in HARD], 0, 0]
+    assert m.counts(*pretokens.flat([*HARD, None, ""])).tolist() == [*[len(t.encode(x, add_special_tokens=False).ids) for x in HARD], 0, 0]
+
+
+def test_token_counts_of_nothing(nothing):
+    assert token_counts.token_counts(nothing, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN).count() == 0
+
+
+def test_pieces_as_the_pattern():
+    """The pattern on arrays of characters gives what the regex library does."""
+    r = random.Random(3)
+    some = "abstmdrevl''''  \n\t\r\x0b\x1c\x1f\x85\u2028\u3000\u00a0 1\u0663\u00bd\u00e9\u00df\u4e2d\U0001f600_.,!-"
+    texts = ["".join(r.choice(some) for _ in range(r.randint(0, 40))) for _ in range(5000)]
+    texts += ["", "'", "'s", "'ll", "'l", "'r", "a'", "a's", " 's", "  's", "'re're", "''s", "x'S", "y'sy 're 'll", *HARD]
+    texts += ["".join(chr(r.choice([r.randint(0, 0x3FF), r.randint(0, 0xD7FF), r.randint(0xE000, 0x10FFFF)])) for _ in range(30)) for _ in range(3000)]
+    data, off = pretokens.flat(texts)
+    plain = pretokens.Splitter(f"(?:{pretokens.PATTERN})")
+    assert plain.kinds is None and pretokens.PATTERN == public_tokenizers.PATTERN
+    for a, b in zip(pretokens.Splitter(pretokens.PATTERN).spans(data, off), plain.spans(data, off)):
+        assert (a == b).all()
 
 
 def test_memo_turns_generations():
-    m = token_counts.Memo(3)
+    memo = pretokens.Recent(3)
     made = []
 
-    def make(new):
-        made.extend(new)
-        return [len(x) for x in new]
+    def make(data, begin, size):
+        made.extend(bytes(data[a : a + n]) for a, n in zip(begin, size))
+        return np.concatenate([data[a : a + n] for a, n in zip(begin, size)]).astype(np.int32), size
 
-    for _ in range(5):
-        assert m.values(["a", "bb", "a"], make) == [1, 2, 1]
-        assert m.values(["ccc", "dddd", "a"], make) == [3, 4, 1]
-    assert made.count("a") == 1
+    for words in [["a", "bb", "a"], ["ccc", "dddd", "a", "x" * 300]] * 5:
+        data, off = pretokens.flat(words)
+        ids, row, count = memo.rows(data, off[:-1], np.diff(off), make)
+        assert [bytes(ids[a : a + n].astype(np.uint8)).decode() for a, n in zip(row, count)] == words
+    assert made.count(b"a") == 1
+    r = random.Random(5)
+    table, held = common.Table(np.zeros(0, np.uint64), np.zeros(0, np.int32)), {}
+    for _ in range(30):
+        new = {r.randrange(1 << 64): r.randrange(1 << 30) for _ in range(r.randint(0, 200))}
+        table.put(np.array(list(new), np.uint64), np.array(list(new.values()), np.int32))
+        held |= new
+    asked = np.array([*held, *(r.randrange(1 << 64) for _ in range(500))], np.uint64)
+    assert table.get(asked).tolist() == [held.get(k, -2) for k in asked.tolist()]
 
 
 @pytest.fixture(scope="module")
@@ -313,6 +340,23 @@ def coder():
     return bpe.bpe(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def test_bpe_of_nothing(nothing):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    assert bpe.digests(nothing, path, public_tokenizers.PATTERN).count() == 0
+    assert bpe.encode_rows(nothing, path, public_tokenizers.PATTERN).count() == 0
+
+
+def test_bpe_on_pieces_of_any_length(coder):
+    """Pieces worked out in step, those worked out alone and the appendable table agree."""
+    r = random.Random(9)
+    texts = ["".join(r.choice("abcdefgh") for _ in range(n)) for n in [*range(1, 60), 255, 256, 257, 700]] + ["\u4e2d\u6587" * n for n in (1, 40, 43, 200)] + ["=" * n for n in (1, 255, 256, 257, 2000)]
+    for t, ids in zip(texts, coder.encode_all(texts)):
+        assert ids == coder.encode_scalar(t.encode()) and coder.decode(ids) == t.encode()
+    ids, at = coder.encode_flat(*pretokens.flat([*texts, None]))
+    back, end = coder.decode_flat(ids)
+    assert [bytes(back[a:z]).decode() for a, z in zip(end[at[:-1]], end[at[1:]])] == [*texts, ""]
+
+
 def test_bpe_as_the_library(docs, rows, coder):
     import tiktoken
 
