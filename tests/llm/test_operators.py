@@ -599,6 +599,113 @@ def test_license_scan_of_rights_and_copyright(spark):
     ])
 
 
+PUBLISHED = {
+    "GPL-3.0 header": """
+    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.""",
+    "MPL-2.0 header": """
+This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "GPL-2.0 header": """
+This program is free software; you can redistribute it and/or
+modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation; either version 2
+of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.""",
+    "LGPL-3.0 notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "BSD-2-Clause": """
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "CC-BY-3.0 full notice": "This work is licensed under a Creative Commons Attribution 3.0 Unported License.",
+}
+
+
+@pytest.mark.parametrize("sign", ["", "# ", " * ", "// "])
+def test_license_texts_as_published(sign):
+    """In lines, with comment signs, list marks and prose about them: the license itself and no sibling, word for word."""
+    scanner, r = licenses.Scanner(licenses.TEMPLATES), random.Random(4)
+    for name, wording in PUBLISHED.items():
+        text = "\n".join(sign + line for line in (_prose(r, 30) + "\n" + wording + "\n" + _prose(r, 30)).split("\n"))
+        assert [(f[0], f[4], f[6]) for f in scanner.scan(text, 0.9, 0.15)] == [(name, 1.0, [])], name
+    # what is nearly one of the templates is another license
+    for text in ("This work is licensed under the GNU General Public License, version 4.", "Licensed under CC BY-NC 2.5.", "Released under the MIT No Attribution License.",
+                 "This work is licensed under a Creative Commons Attribution-Other 4.0 International License.", "Licensed under the Apache License, Version 1.1."):
+        assert not list(scanner.scan(sign + text, 0.9, 0.15)), text
+    both = PUBLISHED["BSD-2-Clause"].replace("THIS SOFTWARE IS PROVIDED BY", licenses._BSD_NAMES + "\n\nTHIS SOFTWARE IS PROVIDED BY", 1)
+    assert [f[0] for f in scanner.scan(both, 0.9, 0.15)] == ["BSD-3-Clause"]
+
+
+def test_license_scan_against_every_alignment():
+    """Each short template alone: it is found where, and only where, some span of the text agrees with it (longest common subsequence over all spans)."""
+    r = random.Random(12)
+    checked = 0
+    for name, template in licenses.TEMPLATES.items():
+        _, t = licenses._words(template)
+        if not 4 <= len(t) <= 25:
+            continue
+        scanner = licenses.Scanner({name: template})
+        for _ in range(12):
+            words = template.split()
+            for _ in range(r.randint(0, 3)):
+                at = r.randrange(len(words))
+                words[at : at + r.randint(0, 1)] = r.choice([[], ["extra"], ["two", "more"], [words[at]]])
+                words = words or ["none"]
+            text = " ".join(_prose(r, r.randint(0, 25)).split() + words + _prose(r, r.randint(0, 25)).split())
+            _, w = licenses._words(text)
+            want = False
+            for i in range(len(w)):
+                row = [0] * (len(t) + 1)
+                for j in range(i, min(len(w), i + 2 * len(t))):
+                    new = [0]
+                    for k in range(len(t)):
+                        new.append(row[k] + 1 if w[j] == t[k] else max(row[k + 1], new[k]))
+                    row = new
+                    must = Counter(x for x in t if licenses._names(x) or licenses._NUMBER.fullmatch(x))
+                    there = Counter(w[i : j + 1])
+                    want = want or row[-1] / max(len(t), j - i) >= 0.9 and all(there[x] >= n for x, n in must.items()) and not any(licenses._names(x) and x not in must for x in there)
+            assert bool(list(scanner.scan(text, 0.9, 0.15))) == want, (name, text)
+            checked += want
+    assert checked > 50
+
+
+def test_license_ties_and_clashing_columns(spark):
+    same = licenses.Scanner({"first": "Released under the MIT License.", "second": "Released under the MIT License."})
+    assert [f[0] for f in same.scan("Released under the MIT License.", 0.9, 0.15)] == ["first"]
+    rows = [(1, "Released under the MIT License."), (1, "Released under the MIT License."), (None, "All rights reserved.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("extra") for c in ("license", "begin", "end", "wording", "differences")})
+    assert Counter((r.doc_id, r.license, r.begin) for r in licenses.scan(docs).collect()) == Counter([(1, "MIT notice", 0)] * 2 + [(None, "Reserved-rights notice", 0)])
+
+
 def _vectors():
     r = np.random.default_rng(6)
     rows = []
