@@ -117,6 +117,31 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(tops)
 
 
+def roots(up: np.ndarray) -> np.ndarray:
+    """Of trees in an array of parents: the root of each node."""
+    while True:
+        next_up = up[up]
+        if (next_up == up).all():
+            return up
+        up = next_up
+
+
+def unite(up: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Join the trees of each pair; only pairs of different trees are looked at one by one."""
+    if not len(i):
+        return
+    up[:] = roots(up)
+    a, b = up[i], up[j]
+    apart = a != b
+    for x, y in set(zip(a[apart].tolist(), b[apart].tolist())):
+        while up[x] != x:
+            x = int(up[x])
+        while up[y] != y:
+            y = int(up[y])
+        if x != y:
+            up[max(x, y)] = min(x, y)
+
+
 # ---------------------------------------------------------------- the memory of Python workers
 
 _HELD: dict[str, Callable[[], None]] = {}

@@ -2,11 +2,16 @@
 
 Vectors are compared within a label (and a dimension). Equal vectors count once, as a *unit* with its number of copies. The
 units of a label are dealt by hash to shards of about ``shard`` units; each shard builds its graph, and every unit
-is searched for in the graph of every shard (of two shards' units, those of the one in the graph of the other). Beams widen in two
-ways: for the whole shard, until an audit of a sample against brute force finds ``audit_recall`` of the linked pairs; and
-for a single query, as long as its beam ends within the threshold. Pairs are confirmed by the cosine in double precision. A
-shard returns, for every unit, the number of vectors it is linked to and a spanning forest of the links, so that even
-a large group of near vectors gives no more rows than it has units. Links then become components.
+is searched for in the graph of every shard (of two shards' units, those of the one in the graph of the other, so that each shard
+serves half of the others). A task holds one shard's graph; the units that are searched for in it stream by in batches, those of at most
+``AHEAD`` other shards in one task: beyond, further tasks build the graph again.
+
+Beams widen in two ways: for the whole shard, whenever an audit against brute force (of up to 1024 of its own units, until 100 links
+were seen, and of one in 128 of the units that stream by) finds less than ``audit_recall`` of the links, a unit's match with
+itself left out; and for a single query, as long as its beam ends within the threshold. A beam as wide as the shard compares all of it.
+Pairs are confirmed by the cosine in double precision. A shard returns, for every unit, the number of vectors it is linked to
+and a spanning forest of the links, so that even a large group of near vectors gives no more rows than it has units, and what its
+audits found. Links then become components.
 
 Defined results: a vector that is null, empty, zero, or holds a null or a component that is not finite, and a vector without label,
 links with nothing; vectors of different length are not compared; repeated rows of a vec_id count as vectors; an empty table gives an
@@ -19,9 +24,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, narrowed, partitions, schema, task
+from .common import components, cut, narrowed, partitions, roots, schema, task, unite
 
+#: Units of a graph, or as many as are SHARD_BYTES in double precision, if that is less.
 SHARD = 8192
+SHARD_BYTES = 64 << 20
+#: Other shards whose units one task searches for.
+AHEAD = 32
 #: Links of a node on the lowest level and on the others; beam while building.
 DEGREE, UPPER, BUILD = 32, 16, 64
 
@@ -46,6 +55,8 @@ class SmallWorld:
         self.top = int(level.max()) if n else 0
         self.links = [np.full((n, DEGREE if lv == 0 else UPPER), -1, np.int32) for lv in range(self.top + 1)]
         self.entry = int(self.order[0]) if n else -1
+        self.beam = min(n, BUILD)
+        self.hit = self.truth = 0  # of all audits
         done = 1
         while done < n:
             some = self.order[done : done + max(1, min(256, done))]
@@ -179,23 +190,42 @@ class SmallWorld:
             start, _ = self.walk(q, start, 4, lv)
         return self.walk(q, start, beam, 0, max(4, beam // 16))
 
-    def within(self, q: np.ndarray, least: float, audit: int = 64, audit_recall: float = 0.98):
-        """Yields query rows and nodes whose cosine is ``least`` or more."""
-        n, low = len(self.x), np.float32(least - 1e-4)
-        q32 = q.astype(np.float32)
-        beam = min(n, BUILD)
-        test = np.arange(len(q))[:: max(1, len(q) // audit)]
-        truth = q32[test] @ self.x.T >= np.float32(least)
-        while beam < n:
-            ids, near = self.nearest(q32[test], beam)
+    def audit(self, q: np.ndarray, own: np.ndarray | None, least: float, recall: float) -> tuple[int, int]:
+        """Widen the beam until the queries' links are found; ``own`` are the nodes that the queries are. Returns links found and links there."""
+        low = np.float32(least - 1e-4)
+        truth = q @ self.x.T >= np.float32(least)
+        if own is not None:
+            truth[np.arange(len(q)), own] = False
+        there = int(truth.sum())
+        while there and self.beam < len(self.x):
+            ids, near = self.nearest(q, self.beam)
             hit = np.zeros_like(truth)
             r, c = np.nonzero(near >= low)
             hit[r, ids[r, c]] = True
-            if (hit & truth).sum() >= audit_recall * truth.sum():
-                break
-            beam = min(n, 2 * beam)
-        at = 64 * 1024 * 1024 // max(1, n + 64 * beam) + 1
-        todo = np.arange(len(q))
+            # a query whose beam ends within the threshold is searched again, wider
+            found = int(((hit | (near[:, -1] >= low)[:, None]) & truth).sum())
+            if found >= recall * there:
+                return found, there
+            self.beam = min(len(self.x), 2 * self.beam)
+        return there, there
+
+    def within(self, q: np.ndarray, least: float, own: bool = False, audit_recall: float = 0.98):
+        """Yields query rows and nodes whose cosine is ``least`` or more. With ``own`` the queries are the nodes themselves, in order."""
+        n, low = len(self.x), np.float32(least - 1e-4)
+        q32 = q.astype(np.float32)
+        if own:
+            some = np.random.default_rng(11).permutation(len(q))[:1024]
+            for a in range(0, len(some), 64):
+                part = some[a : a + 64]
+                found, there = self.audit(q32[part], part, least, audit_recall)
+                self.hit, self.truth = self.hit + found, self.truth + there
+                if self.truth >= 100:
+                    break
+        else:
+            found, there = self.audit(q32[::128], None, least, audit_recall)
+            self.hit, self.truth = self.hit + found, self.truth + there
+        at = 64 * 1024 * 1024 // max(1, n + 64 * self.beam) + 1
+        todo, beam = np.arange(len(q)), self.beam
         while len(todo):
             more = []
             for a in range(0, len(todo), min(256, at)):
@@ -216,77 +246,116 @@ class SmallWorld:
             beam = min(n, 4 * beam)
 
 
-def _shard(units: np.ndarray, copies: np.ndarray, own: np.ndarray, vectors: np.ndarray, least: float):
-    """Links of one shard: unit, vectors linked to, root of its tree."""
-    x = unit_rows(vectors)
-    mine = np.flatnonzero(own)
-    graph = SmallWorld(x[mine])
-    links = np.zeros(len(units), np.int64)
-    up = np.arange(len(units))
-    within: list[np.ndarray] = []
-    for rows, nodes in graph.within(x, least):
-        nodes = mine[nodes]
-        other = rows != nodes
-        rows, nodes = rows[other], nodes[other]
-        across = ~own[rows]
-        # a pair found from outside counts for both; one within the shard may be found from both sides
-        np.add.at(links, rows[across], copies[nodes[across]])
-        np.add.at(links, nodes[across], copies[rows[across]])
-        a, b = rows[~across], nodes[~across]
-        within.append(np.unique(np.minimum(a, b) * len(units) + np.maximum(a, b)))
-        root = up
-        while True:
-            again = root[root]
-            if (again == root).all():
-                break
-            root = again
-        up = root.copy()
-        apart = up[rows] != up[nodes]
-        for i, j in set(zip(up[rows][apart].tolist(), up[nodes][apart].tolist())):
-            while up[i] != i:
-                i = int(up[i])
-            while up[j] != j:
-                j = int(up[j])
-            up[max(i, j)] = min(i, j)
-    pairs = np.unique(np.concatenate(within)) if within else np.zeros(0, np.int64)
-    a, b = pairs // len(units), pairs % len(units)
-    np.add.at(links, a, copies[b])
-    np.add.at(links, b, copies[a])
-    while (up[up] != up).any():
-        up = up[up]
-    said = np.flatnonzero((links > 0) | (up != np.arange(len(units))))
-    return units[said], links[said], units[up[said]]
+class Shard:
+    """One shard's units: links among them, and to the units that stream by."""
+
+    def __init__(self, units: np.ndarray, copies: np.ndarray, vectors: np.ndarray, least: float):
+        self.units, self.copies, self.least = units, copies, least
+        self.graph = SmallWorld(unit_rows(vectors))
+        self.links = np.zeros(len(units), np.int64)
+        self.up = np.arange(len(units))
+
+    def inner(self) -> None:
+        """Links among the shard's own units; each may be found from both sides."""
+        n, pairs = len(self.units), [np.zeros(0, np.int64)]
+        for a, b in self.graph.within(self.graph.exact, self.least, own=True):
+            a, b = a[a != b], b[a != b]
+            pairs.append(np.unique(np.minimum(a, b) * n + np.maximum(a, b)))
+            unite(self.up, a, b)
+        pairs = np.unique(np.concatenate(pairs))
+        a, b = pairs // n, pairs % n
+        np.add.at(self.links, a, self.copies[b])
+        np.add.at(self.links, b, self.copies[a])
+
+    def outer(self, units: np.ndarray, copies: np.ndarray, vectors: np.ndarray):
+        """Of other units: those that are linked, the vectors they are linked to, and a unit of this shard for each."""
+        links = np.zeros(len(units), np.int64)
+        first = np.full(len(units), -1, np.int64)
+        for rows, nodes in self.graph.within(unit_rows(vectors), self.least):
+            np.add.at(links, rows, self.copies[nodes])
+            np.add.at(self.links, nodes, copies[rows])
+            first[rows[::-1]] = nodes[::-1]
+            unite(self.up, first[rows], nodes)
+        said = np.flatnonzero(first >= 0)
+        return units[said], links[said], self.units[first[said]]
+
+    def said(self):
+        """Of the shard's own units: those that are linked, the vectors they are linked to, and the roots of their trees."""
+        up = roots(self.up)
+        said = np.flatnonzero((self.links > 0) | (up != np.arange(len(up))))
+        return self.units[said], self.links[said], self.units[up[said]]
+
+
+#: What a row is to its task: a unit of its shard; one whose links among the shard another task counts; a unit to search for.
+OWN, AGAIN, QUERY = range(3)
 
 
 @task("embedding_dedup")
 def _shards(batches, least: float):
+    """Of rows task, label, kind, unit, copies, v sorted by task and kind: what the shards say, and as a row without unit what their audits found of what was there."""
     import pyarrow as pa
 
-    held: list[tuple] = []
-    now = None
+    now, label, held, shard = None, None, [], None
+
+    def told(units, links, of):
+        return pa.RecordBatch.from_arrays([pa.array([label] * len(units), pa.string()), pa.array(units, pa.int64()), pa.array(links, pa.int64()), pa.array(of, pa.int64())], names=["label", "unit", "links", "root"])
 
-    def run():
-        order = np.argsort([h[0] for h in held])
-        rows = [held[i] for i in order]
-        got = _shard(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), np.stack([r[3] for r in rows]), least)
+    def built():
+        kind, units, copies, vectors = (np.concatenate(c) for c in zip(*held))
+        order = np.argsort(units)
+        out = Shard(units[order], copies[order], vectors[order], least)
+        if (kind == OWN).all():
+            out.inner()
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in got], names=["unit", "links", "root"])
+        return out
+
+    def done():
+        if held or shard is not None:
+            s = shard if shard is not None else built()
+            yield told(*s.said())
+            yield told([None], [s.graph.hit], [s.graph.truth])
 
     for batch in batches:
-        task, unit, copies, own = (batch.column(i).to_pylist() for i in range(4))
-        column = batch.column(4)
-        values, off = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-        for i, t in enumerate(task):
-            if t != now and held:
-                yield run()
-            now = t
-            held.append((unit[i], copies[i], own[i], np.array(values[off[i] : off[i + 1]])))
-    if held:
-        yield run()
-
-
-def near_components(vectors: DataFrame, least: float = 0.98, shard: int = SHARD) -> DataFrame:
-    """Per row of ``vectors`` (vec_id, embedding, label): ``vec_id, n_links, component_id, kept``."""
+        names, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        kind, unit, copies = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4))
+        values, off = batch.column(5).values.to_numpy(zero_copy_only=False), batch.column(5).offsets.to_numpy()
+        codes = batch.column(0).dictionary_encode().indices.to_numpy()
+        cuts = np.r_[0, np.flatnonzero((codes[1:] != codes[:-1]) | ((kind[1:] == QUERY) != (kind[:-1] == QUERY))) + 1, len(codes)] if len(codes) else [0]
+        for a, z in zip(cuts[:-1], cuts[1:]):
+            if names[a] != now:
+                yield from done()
+                now, label, shard = names[a], labels[a], None
+                held.clear()
+            vectors = values[off[a] : off[z]].reshape(z - a, -1)
+            if kind[a] == QUERY:
+                shard = shard if shard is not None else built()
+                yield told(*shard.outer(unit[a:z], copies[a:z], vectors))
+            else:
+                held.append((kind[a:z], unit[a:z], copies[a:z], vectors))
+    yield from done()
+
+
+def dealt(units: DataFrame, shard: int = SHARD, ahead: int = AHEAD) -> DataFrame:
+    """Of ``label, v, unit, copies``: rows ``task, label, kind, unit, copies, v`` for the tasks; of each two shards one is searched in the other's graph."""
+    units = units.withColumn("dim", F.size("v"))
+    size = F.least(F.lit(shard), F.greatest(F.lit(64), F.floor(F.lit(SHARD_BYTES // 8) / F.col("dim"))))
+    sizes = units.groupBy("label", "dim").agg(F.ceil(F.count("*") / size).cast("int").alias("k"))
+    rows = units.join(sizes, ["label", "dim"]).withColumn("s", F.pmod(F.xxhash64("unit", F.lit(3)), F.col("k")).cast("int"))
+    # to its own shard, in as many tasks as that takes, and as a query to the shards before it, half way round
+    half = F.floor(F.col("k") / 2).cast("int")
+    slices = F.greatest(F.lit(1), F.ceil(half / F.lit(ahead))).cast("int")
+    own = F.transform(F.sequence(F.lit(0), slices - 1), lambda i: F.struct(F.col("s").alias("to"), i.alias("slice"), F.when(i == 0, OWN).otherwise(AGAIN).alias("kind")))
+    far = F.when(half > 0, F.sequence(F.lit(1), half)).otherwise(F.array().cast("array<int>"))
+    far = F.filter(far, lambda d: (d * 2 != F.col("k")) | (F.col("s") < d))  # half way, from one side only
+    to_others = F.transform(far, lambda d: F.struct(F.pmod(F.col("s") - d, F.col("k")).cast("int").alias("to"), F.floor((d - 1) / F.lit(ahead)).cast("int").alias("slice"), F.lit(QUERY).alias("kind")))
+    rows = rows.withColumn("t", F.explode(F.concat(own, to_others)))
+    name = F.concat_ws("|", "label", "dim", "t.to", "t.slice")
+    return rows.select(name.alias("task"), "label", F.col("t.kind").alias("kind"), "unit", "copies", "v")
+
+
+def near_components(vectors: DataFrame, least: float = 0.98, shard: int = SHARD, ahead: int = AHEAD) -> DataFrame:
+    """Per row of ``vectors`` (vec_id, embedding, label): ``vec_id, n_links, component_id, kept``, and ``recall``: what the audits of
+    the label's graphs found of the links there (1 if there were none; null without label)."""
     p = partitions(vectors.sparkSession)
     rows = narrowed(vectors, vec_id="bigint", embedding="array<double>", label="string")
     fit = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
@@ -294,20 +363,16 @@ def near_components(vectors: DataFrame, least: float = 0.98, shard: int = SHARD)
     # -0.0 and 0.0 are the same number
     rows = rows.withColumn("v", F.when(fit, F.transform("embedding", lambda v: v + F.lit(0.0)))).drop("embedding")
     units = cut(rows.where("v is not null").groupBy("label", "v").agg(F.min("vec_id").alias("unit"), F.count("*").alias("copies")))
-    units = units.withColumn("dim", F.size("v"))
-    sizes = units.groupBy("label", "dim").agg(F.ceil(F.count("*") / F.lit(shard)).cast("int").alias("k"))
-    dealt = units.join(sizes, ["label", "dim"]).withColumn("s", F.pmod(F.xxhash64("unit", F.lit(3)), F.col("k")).cast("int"))
-    # to its own shard, and as a query to the later ones
-    dealt = dealt.withColumn("to", F.explode(F.sequence(F.col("s"), F.col("k") - 1)))
-    task = F.concat_ws("|", "label", "dim", "to")
-    dealt = dealt.select(task.alias("task"), "unit", "copies", (F.col("s") == F.col("to")).alias("own"), "v")
-    found = cut(
-        dealt.repartition(p, "task").sortWithinPartitions("task").mapInArrow(lambda it: _shards(it, least), schema(unit="bigint", links="bigint", root="bigint"))
+    said = cut(
+        dealt(units, shard, ahead).repartition(p, "task").sortWithinPartitions("task", "kind")
+        .mapInArrow(lambda it: _shards(it, least), schema(label="string", unit="bigint", links="bigint", root="bigint"))
     )
+    found = said.where("unit is not null")
+    audits = said.where("unit is null").groupBy("label").agg(F.coalesce(F.try_divide(F.sum("links"), F.sum("root")), F.lit(1.0)).alias("recall"))
     links = found.groupBy("unit").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("unit").alias("a"), F.col("root").alias("b")))
     by_unit = units.join(links, "unit", "left").join(groups.withColumnRenamed("node", "unit"), "unit", "left")
     by_unit = by_unit.select(F.col("label").alias("_l"), F.col("v").alias("_v"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "unit").alias("c"))
-    out = rows.join(by_unit, (rows["label"] == F.col("_l")) & (rows["v"] == F.col("_v")), "left")
+    out = rows.join(by_unit, (rows["label"] == F.col("_l")) & (rows["v"] == F.col("_v")), "left").join(audits, "label", "left")
     component = F.coalesce("c", "vec_id")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"), "recall")

@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, mix, narrowed, partitions, schema, shingle_sets, task, texts
+from .common import components, cut, mix, narrowed, partitions, roots, schema, shingle_sets, task, texts, unite
 
 #: Nodes of a block that are searched together.
 BLOCK = 8192
@@ -175,30 +175,6 @@ def _folded(bits: bytes, size: int) -> np.ndarray:
 _ONES = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
 
-def _roots(up: np.ndarray) -> np.ndarray:
-    while True:
-        next_up = up[up]
-        if (next_up == up).all():
-            return up
-        up = next_up
-
-
-def _unite(up: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Join the trees of each pair; only pairs of different trees are looked at one by one."""
-    if not len(i):
-        return
-    up[:] = _roots(up)
-    a, b = up[i], up[j]
-    apart = a != b
-    for x, y in set(zip(a[apart].tolist(), b[apart].tolist())):
-        while up[x] != x:
-            x = int(up[x])
-        while up[y] != y:
-            y = int(up[y])
-        if x != y:
-            up[max(x, y)] = min(x, y)
-
-
 @task("ngram_join")
 def _marked(batches, percent: int):
     """Of rows key, n, node, bits sorted by key, n: pairs of a list that may link, as a spanning forest block, node.
@@ -237,9 +213,9 @@ def _marked(batches, percent: int):
                     total = n[i] + n[j]
                     # |A & B| (100 + p) >= p (n + m)  <=>  |A ^ B| (100 + p) <= (100 - p) (n + m)
                     good = apart * (100 + percent) <= (100 - percent) * total
-                    _unite(up, i[good], j[good])
+                    unite(up, i[good], j[good])
                 shift += 1
-        root = _roots(up)
+        root = roots(up)
         keep = root != np.arange(len(up))
         out = [(int(b), int(v)) for b, v in zip(node[root[keep]], node[keep])]
         out = [x for x in dict.fromkeys(out) if x not in seen]

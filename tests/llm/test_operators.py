@@ -747,6 +747,30 @@ def test_embedding_dedup_against_all_pairs(spark, shard):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (links[i], top(i), top(i) == i), i
 
 
+def test_embedding_dedup_over_several_graphs(spark):
+    """3000 units in ten graphs against all pairs; no task holds more than a shard, and no unit is searched for twice in one."""
+    r = np.random.default_rng(14)
+    centres = r.normal(size=(600, 24))
+    x = np.concatenate([c + r.choice([0.02, 0.05, 0.2]) * r.normal(size=(4, 24)) for c in centres] + [centres[0] + 0.02 * r.normal(size=(600, 24))])
+    df = spark.createDataFrame([(i, v.tolist(), "hot") for i, v in enumerate(x)], "vec_id long, embedding array<double>, label string")
+    units = df.select("label", F.col("embedding").alias("v"), F.col("vec_id").alias("unit"), F.lit(1).cast("bigint").alias("copies"))
+    for ahead in (2, 32):
+        tasks = embedding_dedup.dealt(units, 300, ahead).groupBy("task").agg(F.count_if(F.col("kind") < 2).alias("own"), F.count_if(F.col("kind") == 2).alias("queries")).collect()
+        assert max(t.own for t in tasks) <= 360 and max(t.queries for t in tasks) <= min(5, ahead) * 360
+        assert sum(t.queries for t in tasks) + 3000 >= 3000 * 9 / 2
+    unit = embedding_dedup.unit_rows(x)
+    near = unit @ unit.T >= 0.98
+    np.fill_diagonal(near, False)
+    got = {v.vec_id: v for v in embedding_dedup.near_components(df, shard=300, ahead=2).collect()}
+    found = sum(v.n_links for v in got.values())
+    assert 0.98 * near.sum() <= found <= near.sum()
+    assert all(0.9 <= v.recall <= 1.0 and v.n_links <= near[i].sum() for i, v in got.items())
+    up = np.arange(len(x))
+    common.unite(up, *np.nonzero(near))
+    up = common.roots(up)
+    assert np.mean([got[i].component_id == up[i] for i in range(len(x))]) >= 0.98
+
+
 def test_embedding_dedup_of_nothing(spark):
     assert embedding_dedup.near_components(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
@@ -756,7 +780,8 @@ def test_small_world_recall():
     centres = r.normal(size=(60, 32))
     x = embedding_dedup.unit_rows(np.concatenate([c + 0.08 * r.normal(size=(20, 32)) for c in centres]))
     graph = embedding_dedup.SmallWorld(x)
-    found = sum(len(rows) for rows, _ in graph.within(x, 0.98))
+    found = sum(len(rows) for rows, _ in graph.within(x, 0.98, own=True))
+    assert graph.truth >= 100 and graph.hit >= 0.9 * graph.truth
     true = int((x @ x.T >= 0.98).sum())
     assert found >= 0.98 * true and found <= true
 
