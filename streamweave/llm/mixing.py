@@ -5,8 +5,8 @@ their own and their sums prefixed over the source, so that each row knows how ma
 before it; the cut is made at the source's exact budget, after as many whole epochs as fit.
 
 Defined results: a null text has no words; a null source is a source of its own, last in order;
-a source without words has target 0; repeated rows each count; ties of the key are broken by
-doc_id and text; an empty table gives an empty result; further columns are ignored (``take``) or
+a source without words has target 0; repeated rows each count; the key is of doc_id and text, so rows of
+one doc_id, or of none, stand apart by their texts, and ties are rows alike; an empty table gives an empty result; further columns are ignored (``take``) or
 carried along (``mix``).
 """
 
@@ -27,6 +27,10 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
+def text_md5(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """Water-filling over ``source, source_size``: adds ``target`` (double).
 
@@ -53,12 +57,12 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float =
 
 
 def _counted(rows: DataFrame, seed: str, weights, share: float, most: float) -> DataFrame:
-    """``rows`` with _doc_id, _source, _size, _text_hash; adds _source_size, _target and _taken.
+    """``rows`` with _doc_id, _source, _size, _text_md5; adds _source_size, _target and _taken.
 
     What is summed is cut first, without texts: sizes, targets and bucket sums all go over those narrow rows.
     """
     p = partitions(rows.sparkSession)
-    rows = rows.withColumn("_key", md5_key(F.col("_doc_id"), F.lit(seed)))
+    rows = rows.withColumn("_key", md5_key(F.col("_doc_id"), F.col("_text_md5"), F.lit(seed))).drop("_text_md5")
     narrow = rows = cut(rows)
     sizes = narrow.groupBy("_source").agg(F.sum("_size").alias("source_size"), F.count("*").alias("rows"))
     goal = targets(sizes.select(F.col("_source").alias("source"), "source_size"), weights, share, most)
@@ -76,7 +80,7 @@ def _counted(rows: DataFrame, seed: str, weights, share: float, most: float) ->
     offsets = offsets.select(F.col("_source").alias("_s"), F.col("_bucket").alias("_b"), "before_words")
     rows = bucketed(rows)
     rows = rows.join(offsets, rows["_source"].eqNullSafe(offsets["_s"]) & (rows["_bucket"] == offsets["_b"])).drop("_s", "_b")
-    inside = Window.partitionBy("_source", "_bucket").orderBy("_key", "_doc_id", "_text_hash").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_source", "_bucket").orderBy("_key", "_doc_id").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("before_words") + F.coalesce(F.sum("_size").over(inside), F.lit(0))
     whole = F.floor(F.col("_target") / F.col("_source_size"))
     rows = rows.withColumn("_start", start)
@@ -93,7 +97,7 @@ def take(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, share: float = 1.5
     the whole part of its target. The row on which the budget ends is taken in part.
     """
     rows = narrowed(docs, doc_id="bigint", source="string", text="string").select(
-        F.col("doc_id").alias("_doc_id"), F.col("source").alias("_source"), words(F.col("text")).alias("_size"), F.xxhash64("text").alias("_text_hash")
+        F.col("doc_id").alias("_doc_id"), F.col("source").alias("_source"), words(F.col("text")).alias("_size"), text_md5(F.col("text")).alias("_text_md5")
     )
     out = _counted(rows, seed, weights, share, most)
     return out.select(F.col("_doc_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
@@ -108,10 +112,11 @@ def mix(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, share: float = 1.5,
     bits and taken together, so texts are dealt once, by that name, to meet what is taken of them.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    told = [x for c in columns for x in (c, c.isNull())]  # the hash passes over nulls
+    # the hash passes over nulls, and does not take maps
+    told = [x for c, kind in zip(columns, docs.dtypes) for x in (F.to_json(F.struct(c)) if "map<" in kind[1] else c, c.isNull())]
     named = docs.select(F.struct(*columns).alias("_row"), F.xxhash64(*told).alias("_h"), F.xxhash64(F.lit(1), *told).alias("_g"))
     text, source = F.col("_row").getField("text"), F.col("_row").getField("source")
-    narrow = named.select("_h", "_g", F.col("_row").getField("doc_id").cast("bigint").alias("_doc_id"), source.cast("string").alias("_source"), words(text).alias("_size"), F.xxhash64(text).alias("_text_hash"))
+    narrow = named.select("_h", "_g", F.col("_row").getField("doc_id").cast("bigint").alias("_doc_id"), source.cast("string").alias("_source"), words(text).alias("_size"), text_md5(text).alias("_text_md5"))
     part = F.lit(False) if whole else (F.col("_last") > 0) & (F.col("_last") < F.col("_size"))
     taken = _counted(narrow, seed, weights, share, most).where("_taken > 0").groupBy("_h", "_g").agg(
         F.sum(F.col("_epochs") + (~part & (F.col("_last") > 0)).cast("bigint")).alias("_copies"), F.max(F.when(part, F.col("_last"))).alias("_part")  # a source has one row in part at most
@@ -137,7 +142,7 @@ def oracle() -> str:
     """DuckDB SQL of ``take`` with its defaults over ``documents``."""
     return f"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size,
-             md5(coalesce(doc_id::VARCHAR, '∅') || '|mix') AS k FROM documents),
+             md5(coalesce(doc_id::VARCHAR, '∅') || '|' || md5(coalesce(text, '')) || '|mix') AS k FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT] AS w, source_size * 2.0::DOUBLE AS stop FROM s),
 r AS (SELECT *, sum(source_size) OVER () * 1.5::DOUBLE AS budget,
