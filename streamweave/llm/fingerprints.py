@@ -160,25 +160,34 @@ def _in_order(batches, k: int):
 def edits(docs: DataFrame, k: int = SAMPLES) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``.
 
-    Rows are dealt once, by ranges of doc_id whose bounds are quantiles (about four a shuffle partition); each
-    range also gets the first row of the next one, so that every row has its next at hand.
+    Rows are dealt once, by ranges of doc_id whose bounds are quantiles (about four a shuffle partition), those of a doc_id
+    that several quantiles fall on, or of none, by ranges of the text's hash besides; each range also gets the first row of the next one, so that every row has its next at hand.
     """
     spark = docs.sparkSession
     n = 4 * partitions(spark)
     docs = narrowed(docs, doc_id="bigint", text="string").withColumn("_tie", F.xxhash64("text"))
     cuts = [i / n for i in range(1, n)]
-    got = docs.agg(F.percentile_approx("doc_id", cuts, F.lit(max(10_000, 20 * n)))).first()[0] if cuts else None  # one row of n numbers
-    bounds = np.array(sorted(set(got or [])), np.int64)
-
-    @F.pandas_udf("int")
-    def bucket_of(ids: pd.Series) -> pd.Series:
-        none = ids.isna()
-        b = np.searchsorted(bounds, ids.fillna(0).astype("int64").to_numpy(), side="right")
-        return pd.Series(np.where(none, -1, b).astype("int32"))
-
-    rows = docs.withColumn("_bucket", bucket_of("doc_id"))
+    got, whole, none = docs.agg(F.percentile_approx("doc_id", cuts, F.lit(max(10_000, 20 * n))) if cuts else F.lit(None), F.count("*"), F.count_if(F.col("doc_id").isNull())).first()  # one row of n numbers
+    bounds, often = np.unique(np.array(got or [], np.int64), return_counts=True)
+    # ranges of the texts' hash that a bound's rows, and those without doc_id, are dealt to
+    parts = np.where(often > 1, often + 1, 1)
+    parts_of_none = -(-none * n // max(1, whole)) + 1
+
+    @F.pandas_udf("bigint")
+    def bucket_of(ids: pd.Series, ties: pd.Series) -> pd.Series:
+        absent = ids.isna().to_numpy()
+        ids = ids.fillna(0).astype("int64").to_numpy()
+        b = np.searchsorted(bounds, ids, side="right")
+        at = np.maximum(b - 1, 0)
+        own = ~absent & (b > 0) & (bounds[at] == ids) if len(bounds) else np.zeros(len(ids), bool)
+        m = np.where(absent, parts_of_none, parts[at] if len(bounds) else 1)
+        share = (ties.to_numpy(np.int64).astype(np.float64) + 2.0**63) / 2.0**64
+        part = np.where(own | absent, np.minimum((share * m).astype(np.int64), m - 1), m)  # rows above a bound come behind all of its parts
+        return pd.Series(np.where(absent, -1, b) * (1 << 20) + part)
+
+    rows = docs.withColumn("_bucket", bucket_of("doc_id", "_tie"))
     # the first row of each range: one small row each, whatever the table holds
-    firsts = docs.select("doc_id", "_tie").withColumn("_bucket", bucket_of("doc_id")).groupBy("_bucket").agg(F.min(F.struct("doc_id", "_tie")).alias("f"))
+    firsts = docs.select("doc_id", "_tie").withColumn("_bucket", bucket_of("doc_id", "_tie")).groupBy("_bucket").agg(F.min(F.struct("doc_id", "_tie")).alias("f"))
     w = Window.orderBy("_bucket")
     every = Window.partitionBy()
     before = F.coalesce(F.lag("_bucket").over(w), F.max("_bucket").over(every)).alias("_to")
