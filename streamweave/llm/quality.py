@@ -5,7 +5,8 @@ documents (at most 3**8 rows) hold all that expectation-maximisation needs: it e
 pattern's probability of being good, without any true label. These probabilities are the labels on which a hashed linear scorer
 is trained: logistic regression on hashed byte trigrams and on the hashed levels of the labellers' measures. The scorer decides.
 
-The scorer is fitted on at most about ``sample`` documents, picked by a hash of doc_id and text; the pattern counts cover all.
+The scorer is fitted on at most about ``sample`` documents with at most about ``features`` features in all, picked by a hash of doc_id and
+text; the pattern counts cover all. The levels at which the labellers vote were set while looking at labelled documents of the shared tables.
 
 Defined results: a text that is null or has no word scores 0 and is rejected; repeated rows each get a row; an
 empty table gives an empty result; further columns are ignored, or carried along by ``keep_good``.
@@ -23,6 +24,8 @@ from pyspark.sql import types as T
 from .common import chunks, hashed_words, narrowed, schema, small_batches, task, texts
 
 SAMPLE = 4000
+#: Features of all documents that the scorer is fitted on, together: 8 bytes each on their way to the driver, 24 there.
+FEATURES = 5_000_000
 #: Buckets of the hashed features: a power of two.
 BUCKETS = 1 << 14
 
@@ -182,8 +185,8 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps:
     return w, float(bias)
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model of the rows of ``docs`` (doc_id, text). ``sample`` bounds the documents that the scorer is fitted on."""
+def learn(docs: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> Model:
+    """A model of the rows of ``docs`` (doc_id, text). ``sample`` bounds the documents that the scorer is fitted on, ``features`` their features."""
     rows = narrowed(docs, doc_id="bigint", text="string")
 
     @task("quality")
@@ -194,11 +197,12 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
             buf, off = texts(batch.column(0))
             for i, j in chunks(off):
                 words, measured = measures(buf, off[i : j + 1])
-                code = (votes(words, measured) * _BASE3).sum(axis=1)[words > 0]
-                kind, n = np.unique(code, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(n)], names=["pattern", "n"])
+                code = (votes(words, measured) * _BASE3).sum(axis=1)
+                kind, which, n = np.unique(code[words > 0], return_inverse=True, return_counts=True)
+                held = np.bincount(which, np.minimum(np.diff(off[i : j + 1]), BUCKETS)[words > 0], len(kind)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(n), pa.array(held)], names=["pattern", "n", "held"])
 
-    counted = rows.select("text").mapInArrow(seen, schema(pattern="bigint", n="bigint")).groupBy("pattern").agg(F.sum("n").alias("n")).collect()  # 3**8 rows at most
+    counted = rows.select("text").mapInArrow(seen, schema(pattern="bigint", n="bigint", held="bigint")).groupBy("pattern").agg(F.sum("n").alias("n"), F.sum("held")).collect()  # 3**8 rows at most
     patterns, counts = np.array([r[0] for r in counted], np.int64), np.array([r[1] for r in counted], np.float64)
     if not len(patterns):
         return Model({}, np.full(len(LABELLERS), 0.5), np.zeros(WIDTH), -50.0)
@@ -206,7 +210,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     known = dict(zip(patterns.tolist(), p.tolist()))
 
     @task("quality")
-    def features(batches):
+    def features_of(batches):
         import pyarrow as pa
 
         for batch in batches:
@@ -225,9 +229,10 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
                     out.append((int(code[r]), idx.astype("<i4").tobytes(), val.astype("<f4").tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["pattern", "idx", "val"])
 
-    share = min(1.0, sample / max(1.0, float(counts.sum())))
+    # a document of so many bytes has at most as many features
+    share = min(1.0, sample / max(1.0, float(counts.sum())), features / max(1.0, float(sum(r[2] for r in counted))))
     picked = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text") if share < 1 else rows.select("text")
-    got = picked.mapInArrow(features, schema(pattern="bigint", idx="binary", val="binary")).orderBy("pattern", "idx", "val").toArrow()  # about ``sample`` rows
+    got = picked.mapInArrow(features_of, schema(pattern="bigint", idx="binary", val="binary")).orderBy("pattern", "idx", "val").toArrow()  # about ``sample`` rows
     data = [(np.frombuffer(a, "<i4").astype(np.int64), np.frombuffer(b, "<f4")) for a, b in zip(got.column(1).to_pylist(), got.column(2).to_pylist())]
     weights, bias = train(data, np.array([known[x] for x in got.column(0).to_pylist()]))
     return Model(known, accuracy, weights, bias)
