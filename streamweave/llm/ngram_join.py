@@ -12,11 +12,12 @@ A T-occurrence search, dealt out:
 3. The short lists, shingle -> nodes, are dealt by shingle and merged: members of one list are
    compared by size and by the Hamming distance of their parity bitmaps, a lower bound of the
    sets' symmetric difference, so nothing that links is lost. Of the pairs that pass, a spanning forest
-   leaves the task: at most one row per list entry, however large a group. What it connects is a block.
+   leaves the task: at most one row per list entry, however large a group. What it connects is a block. A list above
+   ``LIST`` nodes (of documents that are made of common passages alone) is dealt as pairs of chunks.
 4. The sets of a block's nodes meet; a block above ``block`` nodes is dealt as pairs
    of chunks.
-5. Each block is searched by DivideSkip: the lists that are longest are set aside, the short ones
-   merged with their counts, the set-aside ones probed by binary search for those documents that
+5. Each block is searched by DivideSkip: the lists that are longest are set aside, the short ones, each a
+   sorted run, merged with their counts, the set-aside ones probed by binary search for those documents that
    can still reach the overlap, and the documents that reach ``ceil(t / (1 + t) (n + m))`` link.
    Pairs that are already connected within the task need no search.
 6. Links become components.
@@ -24,7 +25,7 @@ A T-occurrence search, dealt out:
 Defined results: null text is an empty text; a text without words has an empty set, links with
 nothing and is a component of itself; a text with fewer words than a shingle is one shingle;
 repeated rows and equal texts share a component; an empty table gives an empty result; further
-columns are ignored. A text that only stands under null doc_ids links with nothing, and its component_id is null.
+columns are ignored. A component that only stands under null doc_ids has a null component_id.
 Two different sets of one node hash (chance n**2 / 2**65) would be taken as equal.
 """
 
@@ -36,10 +37,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, mix, narrowed, partitions, roots, schema, shingle_sets, task, texts, unite
+from .common import components, cut, mix, narrowed, partitions, ragged, roots, schema, shingle_sets, task, texts, unite
 
 #: Nodes of a block that are searched together.
 BLOCK = 8192
+#: Nodes of a list that are compared together.
+LIST = 1024
 
 
 def node_of(s: np.ndarray) -> int:
@@ -71,7 +74,7 @@ def _signatures(batches, width: int, percent: int):
 
     seen: set[int] = set()  # equal sets count once a task
     for batch in batches:
-        buf, off = texts(batch.column(1))
+        buf, off = texts(batch.column(2))
         ns, nodes, maps, heads = [], [], [], []
         for s in shingle_sets(buf, off, width):
             node = node_of(s) if len(s) else None
@@ -83,8 +86,8 @@ def _signatures(batches, width: int, percent: int):
                 seen.clear()
             seen.add(node)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(maps, pa.binary()), pa.array(heads, pa.list_(pa.int64()))],
-            names=["doc_id", "n", "node", "bits", "head"],
+            [batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(maps, pa.binary()), pa.array(heads, pa.list_(pa.int64()))],
+            names=["doc_id", "said", "n", "node", "bits", "head"],
         )
 
 
@@ -152,17 +155,27 @@ def _runs(batches, columns: int):
 
 
 @task("ngram_join")
-def _shared(batches):
-    """Of rows sorted by key, node: the distinct ones whose key has two nodes or more."""
+def _shared(batches, most: int):
+    """Of rows sorted by key, node: the distinct ones whose key has two nodes or more. Lists of more than ``most`` nodes go out as pairs of chunks, each under a key of its own."""
     import pyarrow as pa
 
     for key, node in _runs(batches, 2):
         first = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
         key, node = key[first], node[first]
         begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        size = np.diff(np.r_[begin, len(key)])
-        many = np.repeat(size > 1, size)
-        yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(node[many])], names=["key", "node"])
+        size = np.repeat(np.diff(np.r_[begin, len(key)]), np.diff(np.r_[begin, len(key)]))
+        some = (size > 1) & (size <= most)
+        yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(node[some])], names=["key", "node"])
+        for at in begin[size[begin] > most].tolist():
+            own = node[at : at + size[at]]
+            parts = -(-len(own) // most)
+            part = mix(own.astype(np.uint64)) % np.uint64(parts)
+            for other in range(parts):
+                rows = part != other
+                low, high = np.minimum(part[rows], np.uint64(other)), np.maximum(part[rows], np.uint64(other))
+                with np.errstate(over="ignore"):
+                    name = mix(np.uint64(int(key[at]) % 2**64) + mix(low * np.uint64(parts) + high + np.uint64(1)))
+                yield pa.RecordBatch.from_arrays([pa.array(name.astype(np.int64)), pa.array(own[rows])], names=["key", "node"])
 
 
 def _folded(bits: bytes, size: int) -> np.ndarray:
@@ -265,10 +278,11 @@ def t_occurrence(lists: Lists, query: int, need: int, longest: int | None = None
         longest = int(need / (0.01 * math.log2(max(2, int(size[-1]))) + 1))
     longest = max(0, min(longest, need - 1, len(mine) - 1))
     short, length = mine[: len(mine) - longest], size[: len(mine) - longest]
-    at = np.repeat(lists.begin[short] - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(int(length.sum()))
-    count = np.bincount(lists.owner[at], minlength=lists.docs)
-    found = np.flatnonzero(count >= need - longest)
-    count = count[found]
+    merged = np.sort(lists.owner[ragged(lists.begin[short], length)], kind="stable")  # sorted runs, which this merges
+    first = np.flatnonzero(np.r_[True, merged[1:] != merged[:-1]]) if len(merged) else none
+    count = np.diff(np.r_[first, len(merged)])
+    found = merged[first][count >= need - longest]
+    count = count[count >= need - longest]
     long = mine[len(mine) - longest :]
     for a in range(0, len(long), 64):  # a document that can no longer reach ``need`` is not looked up again
         some = long[a : a + 64]
@@ -345,16 +359,17 @@ def _links(batches, width: int, percent: int):
         yield run(held)
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): ``doc_id, n_shingles, component_id``; a component is named by its least doc_id.
-
-    Two rows link when ``100 * |intersection| >= percent * |union|`` of their sets of ``width``-word shingles.
-    """
+def _grouped(docs: DataFrame, width: int, percent: int, block: int, most_of_list: int) -> tuple[DataFrame, DataFrame]:
+    """Of ``docs`` (doc_id, text): ``doc_id, said, n, node`` for each row, ``said`` a hash of its text; and ``node, least, component``
+    for each set, ``least`` the first of the rows that have it (without doc_id, doc_id, said)."""
     spark = docs.sparkSession
     p = partitions(spark)
-    docs = narrowed(docs, doc_id="bigint", text="string")
-    signed = cut(docs.mapInArrow(lambda it: _signatures(it, width, percent), schema(doc_id="bigint", n="bigint", node="bigint", bits="binary", head="array<bigint>")))
-    nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    if not 50 <= percent <= 100:
+        raise ValueError("percent has to be from 50 to 100: bitmaps of sets are compared where one is at most twice the other")
+    docs = narrowed(docs, doc_id="bigint", text="string").select("doc_id", F.xxhash64("text").alias("said"), "text")
+    signed = cut(docs.mapInArrow(lambda it: _signatures(it, width, percent), schema(doc_id="bigint", said="bigint", n="bigint", node="bigint", bits="binary", head="array<bigint>")))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "said")
+    nodes = signed.where("node is not null").groupBy("node").agg(F.min(row).alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits"))
 
     most = max(16, signed.where("head is not null").count() // 10_000)
     long = signed.select(F.explode("head").alias("key")).groupBy("key").count().where(F.col("count") > most).select("key")
@@ -363,7 +378,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, block
     long_lists = spark.sparkContext.broadcast(held)
 
     short = docs.select("text").where("text is not null").mapInArrow(lambda it: _short_lists(it, width, percent, long_lists), schema(key="bigint", node="bigint"))
-    shared = cut(short.repartition(p, "key").sortWithinPartitions("key", "node").mapInArrow(_shared, schema(key="bigint", node="bigint")))
+    shared = cut(short.repartition(p, "key").sortWithinPartitions("key", "node").mapInArrow(lambda it: _shared(it, most_of_list), schema(key="bigint", node="bigint")))
     compared = (
         shared.join(nodes.select("node", "n", "bits"), "node").select("key", "n", "node", "bits")
         .repartition(p, "key").sortWithinPartitions("key", "n", "node")
@@ -378,27 +393,38 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, block
     task = F.xxhash64("block", F.least("c", "other"), F.greatest("c", "other"))
     dealt = dealt.select(task.alias("task"), "node", F.when(F.col("c") > F.col("other"), 1).otherwise(0).alias("side"))
     # the texts of marked nodes, one for each node
-    wanted = nodes.join(marked.select("node").distinct(), "node").select("node", F.col("least").alias("doc_id"))
-    own = docs.join(wanted, "doc_id").select("node", "text")
+    wanted = nodes.join(marked.select("node").distinct(), "node").select(F.col("node"), F.col("least.doc_id").alias("_id"), F.col("least.said").alias("_said"))
+    own = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("_id")) & (docs["said"] == F.col("_said"))).select("node", "text").dropDuplicates(["node"])
     links = (
         dealt.join(own, "node").select("task", "node", "side", "text").repartition(p, "task").sortWithinPartitions("task")
         .mapInArrow(lambda it: _links(it, width, percent), schema(a="bigint", b="bigint"))
     )
     groups = components(links)
-    named = nodes.join(groups, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return signed.select("doc_id", "said", "n", "node"), nodes.join(groups, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, block: int = BLOCK, most_of_list: int = LIST) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): ``doc_id, n_shingles, component_id``; a component is named by its least doc_id.
+
+    Two rows link when ``100 * |intersection| >= percent * |union|`` of their sets of ``width``-word shingles; ``percent`` is 50 or more.
+    """
+    signed, named = _grouped(docs, width, percent, block, most_of_list)
+    least = named.groupBy("component").agg(F.min("least.doc_id").alias("component_id"))
     by_node = named.join(least, "component").select("node", "component_id")
-    out = signed.select("doc_id", "n", "node").join(by_node, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = signed.join(by_node, "node", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each component: the one of the least doc_id; all its columns as they were.
+    """``docs`` with one row of each component, all its columns as they were: of those with the least doc_id (rows without one
+    come last) one with the least hash of its text. Rows without a word are groups of their own, and all of them stay.
 
-    Rows of one doc_id are one document; one of them stays. Rows without doc_id have no name to be joined by: all of them stay.
+    What decides is the row's text: of two rows of one doc_id with different texts, each stays or goes with its own group.
     """
-    groups = jaccard_components(docs, width, percent)
-    stays = groups.where(F.col("component_id") == F.col("doc_id")).select(F.col("doc_id").alias("_stays")).distinct()
-    one = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    one = one.join(stays, one["doc_id"] == F.col("_stays"), "left_semi")
-    return one.unionAll(docs.where("doc_id IS NULL"))
+    _, named = _grouped(docs, width, percent, BLOCK, LIST)
+    stays = named.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("_id"), F.col("least.said").alias("_said"))
+    text = F.col("_row").getField("text").cast("string")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    rows = rows.select("_row", F.col("_row").getField("doc_id").cast("bigint").alias("_d"), F.xxhash64(text).alias("_t"), F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("_worded"))
+    one = rows.where("_worded").join(stays, F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_said")), "left_semi").dropDuplicates(["_d", "_t"])
+    return one.select("_row").unionAll(rows.where("NOT _worded").select("_row")).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
