@@ -52,7 +52,7 @@ def ngrams(text: str) -> np.ndarray:
 
 
 def counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    begin = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+    begin = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]][: len(codes)])
     return codes[begin], np.diff(np.r_[begin, len(codes)])
 
 
@@ -159,17 +159,16 @@ def identify(docs: DataFrame, profiles: Profiles | None = None) -> DataFrame:
 
 def keep_known(docs: DataFrame, least: float = 0.2) -> DataFrame:
     """``docs`` without the rows in no known language: those with no letter, and those whose nearest profile is farther than ``1 - least`` of the greatest distance."""
-    from pyspark.sql import types as T
-
     small_batches(docs.sparkSession)
     profiles = learn(docs)
     at = docs.columns.index("text")
-    kinds = T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_lang_score", T.DoubleType())])
 
     @task("language_id")
     def run(batches):
-        for batch in _predictions(batches, profiles, at):
-            yield batch.rename_columns([*batch.schema.names[:-2], "_lang_pred", "_lang_score"])
+        import pyarrow as pa
+
+        for batch in batches:
+            got = map(profiles.predict, batch.column(at).to_pylist())
+            yield batch.filter(pa.array([name != "und" and score >= least for name, score in got], pa.bool_()))
 
-    out = docs.mapInArrow(run, kinds).where((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= least))
-    return out.drop("_lang_pred", "_lang_score")
+    return docs.mapInArrow(run, docs.schema)

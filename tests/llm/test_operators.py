@@ -111,6 +111,36 @@ def test_ngram_join_prefixes_with_long_lists(spark):
     assert {(x.doc_id, x.n_shingles): x.component_id for x in got.collect()} == want
 
 
+@pytest.mark.parametrize("most", [8, 1024])
+def test_ngram_join_of_lists_in_chunks(spark, most):
+    """Documents made of common passages alone make lists that are long in every order; they are dealt as pairs of chunks."""
+    r = random.Random(2)
+    parts = [_prose(r, 25) for _ in range(6)]
+    rows = [(i, " ".join(r.choice(parts) for _ in range(r.randint(1, 4))), "en", "s") for i in range(150)]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, SCHEMA), 4, 85, most_of_list=most)
+    assert {(x.doc_id, x.n_shingles): x.component_id for x in got.collect()} == _components(rows, 4, 85)
+
+
+def test_ngram_join_of_nothing(nothing):
+    assert ngram_join.jaccard_components(nothing).count() == 0 and ngram_join.dedup(nothing).count() == 0
+    with pytest.raises(ValueError):
+        ngram_join.jaccard_components(nothing, percent=49)
+
+
+def test_dedup_goes_by_rows(spark):
+    """Rows of one doc_id with different texts each go with their own group; without doc_id they link too; a _stays column is one like others."""
+    r = random.Random(5)
+    a, b, c = (_prose(r, 40) for _ in range(3))
+    rows = [(3, a, 1), (7, a, 2), (7, b, 3), (None, c, 4), (None, c, 5), (None, b, 6), (8, None, 7), (8, "", 8), (8, a, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _stays int").withColumns({"_row": F.lit(1), "node": F.lit(2), "_d": F.lit(3), "m": F.create_map(F.lit("k"), F.lit("v"))})
+    out = ngram_join.dedup(docs)
+    assert out.columns == docs.columns
+    kept = sorted(x._stays for x in out.collect())
+    assert kept in ([1, 3, 4, 7, 8], [1, 3, 5, 7, 8])
+    got = Counter((x.doc_id, x.n_shingles, x.component_id) for x in ngram_join.jaccard_components(docs, 4, 85).collect())
+    assert got[(None, 37, 7)] == 1 and got[(None, 37, None)] == 2 and got[(7, 37, 3)] == 1 and got[(7, 37, 7)] == 1 and got[(8, 0, 8)] == 2
+
+
 def test_t_occurrence_is_exact_for_any_split():
     r = np.random.default_rng(3)
     sets = [np.unique(r.integers(0, 300, r.integers(20, 60)).astype(np.uint64)) for _ in range(40)]
@@ -211,6 +241,22 @@ def test_mix_tells_rows_apart_by_which_column_is_null(spark, whole):
     assert Counter((r.lang, r.source) for r in mixing.mix(docs, whole=whole).collect()) == Counter({(None, "a"): 2, ("a", None): 1})
 
 
+def test_mix_of_rows_with_maps(spark):
+    """A map column is carried along; rows that differ in it alone are two rows."""
+    docs = spark.createDataFrame([(1, "a b c", "s", {"k": "v"}), (1, "a b c", "s", {"k": "w"}), (2, "d e", "s", None)], "doc_id long, text string, source string, m map<string,string>")
+    got = mixing.mix(docs, whole=True).collect()
+    assert {(r.doc_id, None if r.m is None else r.m["k"]) for r in got} == {(1, "v"), (1, "w"), (2, None)}
+    assert sum(len(r.text.split()) for r in got) >= 12
+
+
+def test_mix_deals_rows_of_one_doc_id_by_their_texts(spark):
+    docs = spark.createDataFrame([(None, f"word{i} of {i}", "s") for i in range(400)], "doc_id long, text string, source string")
+    rows = mixing.take(docs)
+    assert rows.agg(F.sum("taken"), F.first("target")).first()[0] == 1800
+    key = common.md5_key(F.col("doc_id"), mixing.text_md5(F.col("text")), F.lit("mix"))
+    assert docs.select(key.alias("k")).distinct().count() == 400
+
+
 def test_mix_of_nothing(nothing):
     assert mixing.take(nothing).count() == 0 and mixing.mix(nothing).count() == 0
 
@@ -340,6 +386,19 @@ def coder():
     return bpe.bpe(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def test_fingerprints_of_rows_that_share_a_doc_id(spark):
+    """A third of the rows has one doc_id, another no doc_id: dealt by their texts too, each row still has its next."""
+    r = random.Random(8)
+    rows = [(5 if i % 3 == 0 else None if i % 3 == 1 else i, _prose(r, 12) + f" {i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    order = docs.withColumn("t", F.xxhash64("text")).orderBy(F.col("doc_id").asc_nulls_first(), "t").collect()
+    want = Counter()
+    for row, following in zip(order, [*order[1:], order[0]]):
+        new = fingerprints.edited(row.text, following.text)
+        want[row.doc_id, len(row.text), hashlib.sha256(new.encode()).hexdigest()] += 1
+    assert Counter((x.doc_id, x.n_chars, x.edited_sha256) for x in fingerprints.edits(docs).collect()) == want
+
+
 def test_bpe_of_nothing(nothing):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     assert bpe.digests(nothing, path, public_tokenizers.PATTERN).count() == 0
@@ -527,6 +586,81 @@ def test_quality_estimates_accuracies():
     assert np.mean([(post[c] > 0.5) == t for c, t in zip((v * quality._BASE3).sum(axis=1).tolist(), truth.tolist())]) > 0.99
 
 
+def _plain_measures(text):
+    """The eight measures of a text, by its definition: bytes, words, loops."""
+    b = text.encode()
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", b) if w]
+    low = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in words]
+    if not words:
+        return 0, [math.nan] * 8
+    n = len(words)
+    capital, small = sum(65 <= c <= 90 for c in b), sum(97 <= c <= 122 for c in b)
+    doubled = sum(x == y and chr(y) in "!?.,;:#$%&*|-_=+~" for x, y in zip(b, b[1:]))
+    return n, [
+        sum(chr(c) in "#$%&*|{}<>=~^_\\+@[]/`" for c in b) / len(b),
+        capital / (capital + small) if capital + small else math.nan,
+        min(1, doubled / n),
+        sum(i > 0 and low[i] == low[i - 1] for i in range(n)) / n,
+        sum(low[i] in low[max(0, i - 3) : i] for i in range(n)) / n,
+        1 - sum(chr(w[-1]) in ".!?" for w in words) / n,
+        sum(len(w) == 1 for w in words) / n,
+        sum(not any(48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 for c in w) for w in words) / n,
+    ]
+
+
+def _plain_scores(texts, known, weights, bias):
+    out = []
+    for t in texts:
+        n, measured = _plain_measures(t)
+        if not n:
+            out.append((0.0, 0.0))
+            continue
+        code, linear, b = 0, bias, t.encode()
+        for j, (_, good, bad, fewest) in enumerate(quality.LABELLERS):
+            v = measured[j]
+            if not math.isnan(v) and n >= fewest:
+                code += 3**j * (1 if v <= good else 2 if v > bad else 0)
+            level = quality._LEVELS - 1 if math.isnan(v) else sum(e < v for e in quality._EDGES)
+            linear += weights[quality.BUCKETS + j * quality._LEVELS + level]
+        for i in range(len(b) - 2):
+            h = (b[i] * 0x9E3779B1 ^ b[i + 1] * 0x85EBCA6B ^ b[i + 2] * 0xC2B2AE35) & 0xFFFFFFFF
+            h = (h ^ h >> 15) * 0x27D4EB2F & 0xFFFFFFFF
+            linear += quality._SCALE * weights[h >> 18] / max(1, len(b) - 2)
+        out.append((known.get(code, 0.5), 1 / (1 + math.exp(-max(-50, min(50, linear))))))
+    return out
+
+
+def test_quality_against_a_plain_scorer(spark, docs, rows):
+    """Measures, votes and scores of whole texts by loops over bytes and words; expectation-maximisation document by document."""
+    texts = [x or "" for _, x, *_ in rows if len(x or "") < 5000] + ["!!", "a", "#### ####", "A B C D E F", "the the the cat. cat", "é é", "x" * 50]
+    model = quality.learn(docs)
+    buf, off = pretokens.flat(texts)
+    words, measured = quality.measures(buf, off)
+    for t, n, m in zip(texts, words, measured):
+        count, plain = _plain_measures(t)
+        assert count == n and np.allclose(m, plain, equal_nan=True), t[:80]
+    want = _plain_scores(texts, model.patterns, model.weights, model.bias)
+    got = quality.classify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        weak, score = want[r.doc_id]
+        assert abs(r.weak_label - weak) < 1e-9 and abs(r.score - score) < 1e-6 and r.kept == (r.score >= 0.5)
+    # patterns with counts, and the documents one by one, give the same estimate
+    every = quality.votes(words, measured)[words > 0]
+    code = (every * quality._BASE3).sum(axis=1)
+    kind, count = np.unique(code, return_counts=True)
+    by_kind, accuracy = quality.estimate(kind, count.astype(float))
+    one_by_one, same = quality.estimate(code, np.ones(len(code)))
+    assert np.allclose(accuracy, same) and np.allclose(one_by_one, by_kind[np.searchsorted(kind, code)])
+
+
+def test_quality_fit_is_bounded(spark):
+    r = random.Random(6)
+    docs = spark.createDataFrame([(i, _prose(r, 60)) for i in range(400)], "doc_id long, text string")
+    few, all_of = quality.learn(docs, features=2000), quality.learn(docs)
+    assert few.patterns == all_of.patterns and few.accuracy.tolist() == all_of.accuracy.tolist() and not np.allclose(few.weights, all_of.weights)
+
+
 def test_license_scan(spark, nothing):
     mit = licenses.TEMPLATES["MIT"]
     changed = licenses.TEMPLATES["ISC"].replace("any purpose", "every purpose")

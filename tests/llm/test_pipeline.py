@@ -2,9 +2,11 @@
 
 import importlib.util
 import os
+from collections import Counter
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from streamweave.llm import bpe
 
@@ -47,3 +49,35 @@ def test_stages(spark, pipeline):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the shared tables")
 def test_run(spark, pipeline):
     assert pipeline.ORACLE_SQL is None and pipeline.run(spark, DATA).count() > 0
+
+
+ODD = [
+    (1, None, None, None, None), (2, "", "en", "a", 0), (3, " \n ", "en", "a", 3), (4, "The river and the stone house stand over the green garden. It was there.", "en", "a", 72),
+    (4, "The river and the stone house stand over the green garden. It was there.", "en", "a", 72), (5, "Der Fluss und das Haus sind nicht grün. Das war dort für alle.", "de", None, 62),
+    (None, "The table and the chair under the window are old. They were here.", "en", "b", 65), (6, "The quick fox walks over the lazy dog in the garden. " * 3000, "en", "b", 156000), (7, "日本語", None, "b", 3),
+]
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_stages_on_odd_rows(spark, pipeline):
+    """Nulls in every column, empty and very long texts, repeated rows, further columns whose names the operators use: every stage has a result, with the columns as they were."""
+    docs = spark.createDataFrame(ODD, COLUMNS)
+    extra = ["_stays", "_lang_pred", "_lang_score", "score", "node", "_row", "_h", "_g", "_copies", "_key", "_bucket", "n", "kept", "label"]
+    docs = docs.withColumns({c: F.lit("extra") for c in extra}).cache()
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+        rows = out.collect()
+        assert rows and all(r[c] == "extra" for r in rows for c in extra), name
+        if name == "language":
+            assert {r.doc_id for r in rows} & {1, 2, 3} == set() and Counter(r.doc_id for r in rows)[4] == 2
+        if name == "dedup":
+            assert Counter(r.doc_id for r in rows)[4] == 1 and sum(r.doc_id is None for r in rows) == 1
+    last = pipeline.STAGES[-1][1](spark, docs, "").collect()
+    assert len(last) == len(ODD) and all((r.token_ids == []) == (not r.text) for r in last)
+
+
+def test_stages_of_nothing(spark, pipeline):
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, spark.createDataFrame([], COLUMNS), "")
+        assert out.count() == 0 and out.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"], name
