@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from streamweave.llm import bpe, language_id, mixing, ngram_join, quality
-from streamweave.llm.common import shared_folder
+from streamweave.llm.common import remove, shared_folder
 
 #: SQL cannot express the stages; they are tested against brute force, held-out labels and round trips.
 ORACLE_SQL = None
@@ -46,10 +46,12 @@ STAGES = [("quality", keep_good), ("language", keep_known_language), ("dedup", d
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what passes between them lies in the shared folder."""
+    """All stages over ``documents``; what passes between them lies in the shared folder, each table until the next one is written. The last is read by the result, and stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
         docs = spark.read.parquet(f"{folder}/{i}-{name}")
+        if i:
+            remove(spark, f"{folder}/{i - 1}-{STAGES[i - 1][0]}")
     return STAGES[-1][1](spark, docs, sf_dir)
