@@ -93,12 +93,13 @@ def join(s: Stream, left=None, j=None, l=None, r=None, lk=None, lp=None, rp=None
 
 def concat(*streams: Stream) -> Stream:
     """Streams one after the other; a field that one of them lacks is absent there."""
-    depth = max(len(s.order) for s in streams)
-    out = None
+    out, ups = None, {}
     for i, s in enumerate(streams):
         if any(up != streams[0].order[k][1] for k, (_, up) in enumerate(s.order[: len(streams[0].order)])):
             raise ValueError("concat: the streams' orders run in different directions")
-        df = s.df.select(*map(col, s.columns), F.lit(i).alias(f"{HIDDEN}c"), *[col(c).alias(f"{HIDDEN}c{k}") for k, (c, _) in enumerate(s.order)])
+        # keys of one place and type share a column; of another stream's it is NULL, and streams are apart already
+        keys = {f"{HIDDEN}c{k}:{s.dtype(c).simpleString()}": (c, up) for k, (c, up) in enumerate(s.order)}
+        ups |= {n: up for n, (_, up) in keys.items()}
+        df = s.df.select(*map(col, s.columns), F.lit(i).alias(f"{HIDDEN}c"), *[col(c).alias(n) for n, (c, _) in keys.items()])
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    ups = max((s.order for s in streams), key=len)
-    return Stream(out, ((f"{HIDDEN}c", True), *[(f"{HIDDEN}c{k}", ups[k][1]) for k in range(depth)]))
+    return Stream(out, ((f"{HIDDEN}c", True), *[(n, ups[n]) for n in sorted(ups, key=lambda n: int(n.split(":")[1][1:]))]))

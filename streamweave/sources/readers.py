@@ -1,7 +1,8 @@
 """Readers: each gives a stream in scan order, text fields as they are written.
 
-Line formats are split where Spark splits files, so they scale as text does. Formats whose records need a header that stands
-elsewhere in the file (csvlite, pprint, markdown) are read a whole file to a task.
+Line formats are split where Spark splits files, so they scale as text does. So are CSV files but those in which a quoted value goes on over
+lines, and JSON files that hold a record a line: one pass over the lines finds them, unless ``multiline`` says so. Every CSV or TSV file has its own
+header. Formats whose records need a header that stands elsewhere in the file (csvlite, pprint, markdown), and yaml, are read a whole file to a task.
 
 Field names that only the data can tell are found in one pass, in the order of first appearance; naming them
 (``fields``) spares that pass.
@@ -58,46 +59,166 @@ def _spread(df: DataFrame, pairs: Column, fields=None) -> Stream:
     return _stream(held.select(*[F.try_element_at("_m", F.lit(k)).alias(k) for k in fields], *extra))
 
 
-def _csv(spark, path, fields=None, header=True, fs=None, ragged=False, quote='"', comments=None, multiline=True, lazy=False, **_):
-    sep = separator(fs, ",")
-    if ragged:
-        lines = _lines(spark, path, comments=comments)
-        names = fields or _split_csv(lines.orderBy("_ord").select("value").first()[0], sep)
-        first = lines.agg(F.min("_ord")).first()[0]
-        cells = F.from_csv(F.col("value"), ", ".join(f"c{i} string" for i in range(len(names) + 64)), {"sep": sep, "nullValue": "\u0001", "emptyValue": ""})
-        lines = lines.where(F.col("_ord") != first) if not fields else lines
-        split = lines.select(cells.alias("c"), "_ord", F.size(F.split("value", re.escape(sep), -1)).alias("n"))
-        most = split.agg(F.max("n")).first()[0] or 0
-        names = [*names, *[str(i + 1) for i in range(len(names), min(most, len(names) + 64))]]
-        return _stream(split.select(*[F.col(f"c.c{i}").alias(n) for i, n in enumerate(names)], "_ord"))
-    reader = spark.read.option("sep", sep).option("quote", quote).option("escape", '"').option("multiLine", multiline).option("header", header).option("nullValue", "\u0001").option("emptyValue", "")
-    reader = reader.option("mode", "FAILFAST").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+def _files(spark: SparkSession, path) -> list[str]:
+    """The files of a path, in the order of their names."""
+    return [_plain(f) for f in sorted(spark.read.text(path).inputFiles())]
+
+
+def _plain(uri: str) -> str:
+    """A file's name of its address."""
+    from urllib.parse import unquote
+
+    return re.sub("^file:/+", "file:///", unquote(uri))
+
+
+def _first_lines(spark: SparkSession, files: list[str], comments: str | None, quote: str | None) -> list[str | None]:
+    """The first line of each file that is neither blank nor a comment (with those that a quoted value in it goes on over); a few files at a time."""
+    from multiprocessing.pool import ThreadPool
+
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def first(name: str) -> str | None:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        stream = path.getFileSystem(conf).open(path)
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+        lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
+        try:
+            line = lines.readLine()
+            while line is not None and (not line.strip("\ufeff") or comments and line.startswith(comments)):
+                line = lines.readLine()
+            while line is not None and quote and line.count(quote) % 2:
+                more = lines.readLine()
+                if more is None:
+                    break
+                line += "\n" + more
+            return line
+        finally:
+            lines.close()
+
+    with ThreadPool(min(16, max(1, len(files)))) as pool:
+        return pool.map(first, files)
+
+
+def _unlike(names: list[str]) -> list[str]:
+    """Names that come again get _2, _3, ... behind them."""
+    seen: dict[str, int] = {}
+    out = []
+    for n in names:
+        seen[n] = seen.get(n, 0) + 1
+        out.append(n if seen[n] == 1 else f"{n}_{seen[n]}")
+    return out
+
+
+def _runs(items: list[tuple]) -> list[tuple]:
+    """``(what, file)``: what, with the files that follow each other and share it."""
+    out: list[tuple] = []
+    for what, f in items:
+        if out and out[-1][0] == what:
+            out[-1][1].append(f)
+        else:
+            out.append((what, [f]))
+    return out
+
+
+def _in_order(df: DataFrame, files: list[str]) -> DataFrame:
+    if len(files) == 1:
+        return df.withColumn("_ord", F.monotonically_increasing_id())
+    return df.withColumn("_ord", F.col("_metadata.file_path")).withColumn("_pos", F.monotonically_increasing_id())
+
+
+def _headed(spark, path, read_one, split, fields, header, comments, quote) -> Stream:
+    """Files with headers: those that share one are read together, one such run after the other. ``read_one``: of names and files; ``split``: a header's names."""
+    from ..operators.joins import concat
+
+    files = _files(spark, path)
+    lines = list(zip(files, _first_lines(spark, files, comments, quote)))
+    told = [(tuple(split(line)) if header else tuple(str(i + 1) for i in range(len(split(line)))), f) for f, line in lines if line is not None]
+    if fields and not header:
+        told = [(tuple(fields), f) for _, f in told]
+    parts = [read_one(_unlike(list(names)), some) for names, some in _runs(told)]
+    if not parts:
+        return _stream(spark.createDataFrame([], "_ord bigint"))
+    return concat(*parts) if len(parts) > 1 else parts[0]
+
+
+def _ragged(spark, names, files, cells, header, comments) -> Stream:
+    """Records of any length: cells beyond the names stand under their places; cells that lack are absent."""
+    file = F.col("_metadata.file_path")
+    lines = spark.read.text(files).select("value", file.alias("_f"), F.monotonically_increasing_id().alias("_ord")).where("value <> ''")
     if comments:
-        reader = reader.option("comment", comments)
-    df = reader.csv(path)
-    if not header:
-        df = df.toDF(*(fields or [str(i + 1) for i in range(len(df.columns))]))
-    # every row has every field: what stands empty in the file is empty, not absent
-    df = df.select(*[F.coalesce(col(c), F.lit("")).alias(c) for c in df.columns])
-    return _stream(df.withColumn("_ord", F.monotonically_increasing_id()))
+        lines = lines.where(~F.col("value").startswith(comments))
+    if header:
+        tops = lines.groupBy("_f").agg(F.min("_ord").alias("_h"))
+        lines = lines.join(tops, "_f").where("_ord <> _h")
+    rows = lines.select(cells(F.col("value")).alias("c"), F.col("_f").alias("_ord"), F.col("_ord").alias("_pos"))
+    most = rows.agg(F.max(F.size("c"))).first()[0] or 0
+    names = [*names, *[str(i + 1) for i in range(len(names), most)]]
+    return _stream(rows.select(*[F.try_element_at("c", F.lit(i + 1)).alias(n) for i, n in enumerate(names)], "_ord", "_pos"))
+
+
+def _cells(sep: str, quote: str):
+    """Of a line without line ends in quotes: its cells."""
+    s, k = re.escape(sep), re.escape(quote)
+    cell = rf"(?:^|{s})({k}(?:[^{k}]|{k}{k})*{k}|(?:(?!{s}).)*)"
+
+    def bare(c):
+        return F.when(c.rlike(f"(?s)^{k}.*{k}$"), F.replace(F.substring(c, F.lit(2), F.char_length(c) - 2), F.lit(quote * 2), F.lit(quote))).otherwise(c)
+
+    return lambda value: F.transform(F.regexp_extract_all(value, F.lit(cell), F.lit(1)), bare)
 
 
-def _split_csv(line: str, sep: str) -> list[str]:
+def _csv(spark, path, fields=None, header=True, fs=None, ragged=False, quote='"', comments=None, multiline=None, **_):
+    from ..operators.joins import concat
+
+    sep = separator(fs, ",")
+
+    def read_some(names, files, multi) -> Stream:
+        reader = spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).option("sep", sep).option("quote", quote).option("escape", quote).option("multiLine", multi)
+        reader = reader.option("header", header).option("nullValue", "\u0001").option("emptyValue", "").option("mode", "FAILFAST").option("enforceSchema", True)
+        reader = reader.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+        if comments:
+            reader = reader.option("comment", comments)
+        df = _in_order(reader.csv(files), files)
+        # every row has every field: what stands empty in the file is empty, not absent
+        return _stream(df.select(*[F.coalesce(col(c), F.lit("")).alias(c) for c in names], *[c for c in ("_ord", "_pos") if c in df.columns]))
+
+    def read_one(names, files) -> Stream:
+        if ragged or comments and len(comments) > 1:
+            return _ragged(spark, names, files, _cells(sep, quote), header, comments)
+        if multiline is not None:
+            return read_some(names, files, multiline)
+        odd = F.pmod(F.char_length("value") - F.char_length(F.replace("value", F.lit(quote), F.lit(""))), F.lit(2)) == 1
+        whole = {r[0] for r in spark.read.text(files).select("value", F.col("_metadata.file_path").alias("f")).where(odd).select("f").distinct().collect()}  # names of files
+        whole = set(map(_plain, whole))
+        parts = [read_some(names, some, multi) for multi, some in _runs([(f in whole, f) for f in files])]
+        return concat(*parts) if len(parts) > 1 else parts[0]
+
+    return _headed(spark, path, read_one, lambda line: _split_csv(line, sep, quote), fields, header, comments, quote)
+
+
+def _split_csv(line: str, sep: str, quote: str = '"') -> list[str]:
+    if len(sep) > 1:
+        return line.lstrip("\ufeff").split(sep)
     import csv
 
-    return next(csv.reader([line.lstrip("﻿")], delimiter=sep))
+    return next(csv.reader([line.lstrip("\ufeff")], delimiter=sep, quotechar=quote))
 
 
-def _tsv(spark, path, fields=None, header=True, comments=None, **_):
-    lines = _lines(spark, path, comments=comments)
-    cells = F.transform(F.split("value", "\t", -1), _untsv)
-    if header:
-        top = lines.orderBy("_ord").select(cells).first()[0]
-        file = F.col("_metadata.file_path")
-        lines = lines.withColumn("_f", file).join(lines.withColumn("_f", file).groupBy("_f").agg(F.min("_ord").alias("_h")), "_f").where("_ord <> _h")
-    else:
-        top = fields or [str(i + 1) for i in range(lines.select(F.max(F.size(cells))).first()[0] or 0)]
-    return _stream(lines.select(*[F.try_element_at(cells, F.lit(i + 1)).alias(n) for i, n in enumerate(top)], "_ord"))
+def _tsv(spark, path, fields=None, header=True, comments=None, ragged=False, **_):
+    def read_one(names, files) -> Stream:
+        if ragged or comments and len(comments) > 1:
+            return _ragged(spark, names, files, lambda value: F.transform(F.split(value, "\t", -1), _untsv), header, comments)
+        reader = spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).option("sep", "\t").option("quote", "").option("header", header).option("nullValue", "\u0001")
+        reader = reader.option("emptyValue", "").option("mode", "FAILFAST").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+        if comments:
+            reader = reader.option("comment", comments)
+        df = _in_order(reader.csv(files), files)
+        return _stream(df.select(*[_untsv(F.coalesce(col(c), F.lit(""))).alias(c) for c in names], *[c for c in ("_ord", "_pos") if c in df.columns]))
+
+    def split(line: str) -> list[str]:
+        return [re.sub(r"\\([tn\\])", lambda m: {"t": "\t", "n": "\n"}.get(m[1], m[1]), c) for c in line.lstrip("\ufeff").split("\t")]
+
+    return _headed(spark, path, read_one, split, fields, header, comments, None)
 
 
 def _untsv(c: Column) -> Column:
@@ -107,7 +228,10 @@ def _untsv(c: Column) -> Column:
     return F.replace(c, F.lit(mark), F.lit("\\"))
 
 
-def _json(spark, path, multiline=True, schema=None, **_):
+def _json(spark, path, multiline=None, schema=None, **_):
+    if multiline is None:  # unless every line is a record
+        value = F.trim("value")
+        multiline = not spark.read.text(path).where((value != "") & ~value.rlike(r"^\{.*\}$")).isEmpty()
     reader = spark.read.option("multiLine", multiline)
     df = (reader.schema(schema) if schema else reader).json(path)
     return _stream(df.withColumn("_ord", F.monotonically_increasing_id()))

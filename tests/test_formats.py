@@ -78,6 +78,46 @@ def test_several_files_in_their_order(spark, put):
     assert rows(read(spark, [a, b])) == [{"a": "1"}, {"a": "2"}, {"a": "3", "b": "4"}]
 
 
+def test_each_file_of_a_path_has_its_own_header(spark, put, tmp_path):
+    for fmt, sep in (("csv", ","), ("tsv", "\t")):
+        (tmp_path / fmt).mkdir()
+        for name, text in {"1": "a,b\n1,2\n", "2": "b,a\n3,4\n", "3": "a,b\n5,6\n7,8\n", "4": "", "5": "a,b\n9,10\n"}.items():
+            (tmp_path / fmt / f"part {name}.{fmt}").write_text(text.replace(",", sep))
+        want = [{"a": "1", "b": "2"}, {"a": "4", "b": "3"}, {"a": "5", "b": "6"}, {"a": "7", "b": "8"}, {"a": "9", "b": "10"}]
+        assert rows(read(spark, str(tmp_path / fmt), fmt)) == want
+        assert rows(read(spark, str(tmp_path / fmt), fmt, ragged=True)) == want
+
+
+def test_ragged_rows_of_any_length(spark, put):
+    long = ",".join(str(i) for i in range(100))
+    got = rows(read(spark, put("in.csv", f'a,b\n{long}\n1\n"x,1","say ""hi"""\n'), ragged=True))
+    assert [len(r) for r in got] == [100, 1, 2] and got[0]["100"] == "99" and got[2] == {"a": "x,1", "b": 'say "hi"'}
+
+
+def test_large_files_are_split(spark, put):
+    text = "a,b\n" + "".join(f"{i},{'x' * 40}\n" for i in range(60000))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "400000")
+    try:
+        s = read(spark, put("in.csv", text))
+        assert s.df.rdd.getNumPartitions() > 4 and [r.a for r in s.sorted().collect()] == [str(i) for i in range(60000)]
+        many = read(spark, put("many.csv", 'a,b\n1,"x\ny"\n'))
+        assert rows(many) == [{"a": "1", "b": "x\ny"}]
+        j = read(spark, put("in.json", "".join(f'{{"a": {i}}}\n' for i in range(60000))), "json")
+        assert j.df.rdd.getNumPartitions() > 1 and j.df.count() == 60000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_rules_of_csv_and_tsv(spark, put):
+    assert rows(read(spark, put("in.csv", "a,a,b\n1,2,3\n"))) == [{"a": "1", "a_2": "2", "b": "3"}]
+    assert rows(read(spark, put("in2.csv", "%%note\na,b\n1,2\n%%other\n3,4\n"), comments="%%")) == [{"a": "1", "b": "2"}, {"a": "3", "b": "4"}]
+    assert rows(read(spark, put("in3.csv", "\ufeffa,b\n1,2\n"))) == [{"a": "1", "b": "2"}]
+    assert rows(read(spark, put("in.tsv", "a\tb\n1\n2\t3\t4\n"), ragged=True)) == [{"a": "1"}, {"a": "2", "b": "3", "3": "4"}]
+    assert rows(read(spark, put("in4.csv", "1;2\n3;4\n"), header=False, fields=["x", "y"], fs="semicolon")) == [{"x": "1", "y": "2"}, {"x": "3", "y": "4"}]
+    assert rows(read(spark, put("empty.csv", ""))) == []
+
+
 def test_inference(spark, put):
     s = typed(read(spark, put("in.csv", "i,f,t,h,e,z\n1,1.5,x,0xff,,007\n2,3,4,0x10,5,1\n")))
     assert {c: s.dtype(c).simpleString() for c in s.columns} == {"i": "bigint", "f": "double", "t": "string", "h": "bigint", "e": "bigint", "z": "string"}
