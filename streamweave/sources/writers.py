@@ -142,6 +142,8 @@ def write(s: Stream, path: str, fmt: str | None = None, mode: str = "overwrite",
         # each part file carries the header, as Spark's own CSV files do
         df = df.mapInArrow(functools.partial(_headed, top=top, keys=by), df.schema)
     w = df.write.mode(mode)
+    if fmt in ("asv", "usv"):
+        w = w.option("lineSep", "\x1e" if fmt == "asv" else "␞")
     if compression:
         w = w.option("compression", compression)
     (w.partitionBy(*by) if by else w).text(path)
