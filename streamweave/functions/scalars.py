@@ -7,6 +7,7 @@ A value is a Column with a kind that is known when the plan is made: int, float,
 from __future__ import annotations
 
 import dataclasses
+import datetime
 import math
 import os
 import platform
@@ -15,6 +16,7 @@ import socket
 import time
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -136,7 +138,7 @@ def B(c: Column) -> Val:
 
 
 def _combine(a: Val, b: Val, ints: Callable, floats: Callable) -> Val:
-    """Absent and empty operands leave the other one. Integers stay integers; a result beyond 64 bits is NULL, as a column has one type."""
+    """Absent and empty operands leave the other one, as do texts that are no numbers. Integers stay integers; a result beyond 64 bits is NULL, as a column has one type."""
     if a.kind == "absent":
         return b
     if b.kind == "absent":
@@ -313,14 +315,22 @@ def _same_kind(ints: Callable, floats: Callable) -> Callable:
     return lambda a: I(ints(a.c)) if a.kind == "int" else D(floats(dbl(a)))
 
 
+def _mapped(f: Callable[[float], float], x: pd.Series) -> pd.Series:
+    """A function of the C library or its like over an array of doubles; NaN stays."""
+    out = np.full(len(x), np.nan)
+    some = x.notna().to_numpy()
+    out[some] = np.frompyfunc(f, 1, 1)(x.to_numpy(np.float64)[some]).astype(np.float64)
+    return pd.Series(out, index=x.index)
+
+
 @F.pandas_udf(T.DoubleType())
 def _erf(x: pd.Series) -> pd.Series:
-    return x.map(math.erf, na_action="ignore")
+    return _mapped(math.erf, x)
 
 
 @F.pandas_udf(T.DoubleType())
 def _erfc(x: pd.Series) -> pd.Series:
-    return x.map(math.erfc, na_action="ignore")
+    return _mapped(math.erfc, x)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -328,7 +338,8 @@ def _invqnorm(x: pd.Series) -> pd.Series:
     from statistics import NormalDist
 
     inv = NormalDist().inv_cdf
-    return x.map(lambda p: inv(p) if 0 < p < 1 else 0.0, na_action="ignore")
+    inside = x.where((x > 0) & (x < 1))
+    return _mapped(inv, inside).fillna(0.0).where(x.notna())
 
 
 @F.pandas_udf(T.LongType())
@@ -534,8 +545,9 @@ def percentile(v: Val, p: Val, options: Val | None = None) -> Val:
 
 def percentiles(v: Val, ps: Val, options: Val | None = None) -> Val:
     wanted = ps.literal if isinstance(ps.literal, (list, tuple)) else [ps.literal]
-    got = F.create_map(*[x for p in wanted for x in (F.lit(str(p)), percentile(v, lit(p), options).c.cast("double"))])
-    return Val(got, "map", T.MapType(T.StringType(), T.DoubleType()))
+    each = [(str(p), percentile(v, lit(p), options)) for p in wanted]
+    t = T.LongType() if each and all(x.kind == "int" for _, x in each) else T.DoubleType()
+    return Val(F.create_map(*[x for name, value in each for x in (F.lit(name), value.c.cast(t))]), "map", T.MapType(T.StringType(), t))
 
 
 def sort_by_flags(v: Val, flags: str = "") -> Val:
@@ -688,39 +700,85 @@ def _pattern_parts(fmt: str):
             yield "text", m[3]
 
 
+def offset_of(at: Column, zone: str | None) -> Column:
+    """Seconds by which the zone is ahead of UTC at a time that is given in UTC."""
+    return F.unix_timestamp(F.from_utc_timestamp(at, zone)) - F.unix_timestamp(at) if zone else F.lit(0)
+
+
+def zone_name(at: Column, zone: str | None) -> Column:
+    """The zone's abbreviation, in summer that of summer time, or its offset where it has none."""
+    from zoneinfo import ZoneInfo
+
+    if not zone or zone.upper() in ("UTC", "GMT", "ETC/UTC"):
+        return F.lit("UTC")
+    # a zone's abbreviations by its offsets, as of recent years
+    names = {}
+    for month in range(1, 13):
+        t = datetime.datetime(2024, month, 15, 12, tzinfo=ZoneInfo(zone))
+        names[int(t.utcoffset().total_seconds())] = t.tzname()
+    o = offset_of(at, zone)
+    shown = zone_offset(o)
+    for seconds, name in names.items():
+        shown = F.when(o == seconds, name).otherwise(shown)
+    return shown
+
+
+def zone_offset(seconds: Column) -> Column:
+    return F.format_string("%s%02d%02d", F.when(seconds < 0, "-").otherwise("+"), F.floor(F.abs(seconds) / 3600), F.floor(F.abs(seconds) / 60) % 60)
+
+
+def parts_of(seconds: Column) -> tuple[Column, Column]:
+    """Whole seconds, and the nanoseconds above them."""
+    exact = seconds.cast("decimal(29,9)")
+    whole = F.floor(exact).cast("bigint")
+    return whole, ((exact - whole).cast("decimal(10,9)") * 1000000000).cast("bigint")
+
+
+def parts_of_nanos(nanos: Column) -> tuple[Column, Column]:
+    below = F.pmod(nanos, F.lit(1000000000).cast("bigint"))
+    return F.call_function("div", nanos - below, F.lit(1000000000).cast("bigint")), below
+
+
 def strftime(seconds: Column, fmt: str, zone: str | None = None) -> Column:
-    micros = F.floor(seconds.cast("decimal(30,9)") * 1000000).cast("bigint")
-    at = F.timestamp_micros(micros)
-    if zone:
-        at = F.from_utc_timestamp(at, zone)
+    """Seconds as text."""
+    return strftime_parts(*parts_of(seconds), fmt, zone)
+
+
+def strftime_parts(whole: Column, nanos: Column, fmt: str, zone: str | None = None) -> Column:
+    below = F.lpad(nanos.cast("string"), 9, "0")  # digits of the fraction
+    utc = F.timestamp_seconds(whole)
+    at = F.from_utc_timestamp(utc, zone) if zone else utc
     out = []
     for kind, x in _pattern_parts(fmt):
         if kind == "text":
             out.append(F.lit(x))
         elif kind == "frac":
-            part = F.lpad(F.pmod(micros, F.lit(1000000)).cast("string"), 6, "0")
-            out.append(F.concat(F.date_format(at, "ss"), F.lit("."), F.substring(F.concat(part, F.lit("000")), 1, x)))
+            out.append(F.concat(F.date_format(at, "ss"), F.lit("."), F.substring(below, 1, x)))
         elif x == "s":
-            out.append(F.floor(seconds).cast("string"))
+            out.append(whole.cast("string"))
         elif x == "N":
-            out.append(F.lpad((F.pmod(micros, F.lit(1000000)) * 1000).cast("string"), 9, "0"))
+            out.append(below)
         elif x == "n":
             out.append(F.lit("\n"))
+        elif x == "Z":
+            out.append(zone_name(utc, zone))
+        elif x == "z":
+            out.append(zone_offset(offset_of(utc, zone)))
         elif x in STRFTIME:
             out.append(F.date_format(at, STRFTIME[x]))
         else:
             raise ValueError(f"no time format %{x}")
-    return F.when(seconds.isNotNull(), F.concat(*out) if len(out) > 1 else out[0])
+    return F.when(whole.isNotNull(), F.concat(*out) if len(out) > 1 else out[0])
 
 
-def strptime(text: Column, fmt: str, zone: str | None = None) -> Column:
-    """Seconds as a double; what does not parse is NULL."""
+def strptime_micros(text: Column, fmt: str, zone: str | None = None) -> Column:
+    """Microseconds of a time; what does not parse is NULL."""
     if fmt == "%s":
-        return text_double(text)
+        return (text_double(text).cast("decimal(38,9)") * 1000000).cast("bigint")
     pattern = ""
     for kind, x in _pattern_parts(fmt):
         if kind == "text":
-            pattern += "".join(f"'{c}'" if c.isalpha() else "''" if c == "'" else c for c in x)
+            pattern += x if not re.search(r"[A-Za-z#{}\[\]']", x) else "'" + x.replace("'", "''") + "'"
         elif kind == "frac":
             pattern += "ss." + "S" * x
         elif x in STRFTIME:
@@ -732,7 +790,15 @@ def strptime(text: Column, fmt: str, zone: str | None = None) -> Column:
         at = F.coalesce(at, F.try_to_timestamp(text, F.lit(pattern + ".[SSSSSSSSS][SSSSSS][SSS][SS][S]"))) if not re.search(r"%\dS", fmt) else at
     if zone:
         at = F.to_utc_timestamp(at, zone)
-    return F.unix_micros(at) / F.lit(1e6)
+    return F.unix_micros(at)
+
+
+def strptime(text: Column, fmt: str, zone: str | None = None) -> Val:
+    """Seconds: whole ones where the format leaves no place for a fraction."""
+    micros = strptime_micros(text, fmt, zone)
+    if fmt != "%s" and not fmt.endswith("S") and not re.search(r"%\dS", fmt):
+        return I(F.floor(micros / F.lit(1000000)))
+    return D(micros / F.lit(1e6))
 
 
 def gmt2sec(text: Column, zone: str | None = None) -> Column:
@@ -1052,13 +1118,13 @@ _add("nsec2localdate", 1, 2, lambda v, z=None: sec_or(v, strftime(num(v).cast("d
 _add("localtime2gmt", 1, 2, lambda a, z=None: S(gmt(gmt2sec(txt(a), _zone(z)))))
 _add("gmt2localtime", 1, 2, lambda a, z=None: S(strftime(gmt2sec(txt(a)), "%Y-%m-%d %H:%M:%S", _zone(z))))
 _add("strftime", 2, 2, lambda a, f: S(strftime(num(a), f.literal)))
-_add("strfntime", 2, 2, lambda a, f: S(strftime(num(a).cast("decimal(38,9)") / 10**9, f.literal)))
+_add("strfntime", 2, 2, lambda a, f: S(strftime_parts(*parts_of_nanos(lng(a)), f.literal)))
 _add("strftime_local", 2, 3, lambda a, f, z=None: S(strftime(num(a), f.literal, _zone(z))))
-_add("strfntime_local", 2, 3, lambda a, f, z=None: S(strftime(num(a).cast("decimal(38,9)") / 10**9, f.literal, _zone(z))))
-_add("strptime", 2, 2, lambda a, f: D(strptime(txt(a), f.literal)))
-_add("strpntime", 2, 2, lambda a, f: I(strptime(txt(a), f.literal) * 1e9))
-_add("strptime_local", 2, 3, lambda a, f, z=None: D(strptime(txt(a), f.literal, _zone(z))))
-_add("strpntime_local", 2, 3, lambda a, f, z=None: I(strptime(txt(a), f.literal, _zone(z)) * 1e9))
+_add("strfntime_local", 2, 3, lambda a, f, z=None: S(strftime_parts(*parts_of_nanos(lng(a)), f.literal, _zone(z))))
+_add("strptime", 2, 2, lambda a, f: strptime(txt(a), f.literal))
+_add("strpntime", 2, 2, lambda a, f: I(strptime_micros(txt(a), f.literal) * 1000))
+_add("strptime_local", 2, 3, lambda a, f, z=None: strptime(txt(a), f.literal, _zone(z)))
+_add("strpntime_local", 2, 3, lambda a, f, z=None: I(strptime_micros(txt(a), f.literal, _zone(z)) * 1000))
 _add("dhms2fsec", 1, 1, lambda a: D(_dhms(txt(a))))
 _add("dhms2sec", 1, 1, lambda a: I(_dhms(txt(a))))
 _add("sec2dhms", 1, 1, lambda a: S(sec2dhms(num(a))))
@@ -1118,6 +1184,10 @@ def _flat(v: Val, name: str, sep: str) -> Val:
 
     if isinstance(v.type, T.MapType) and not _depth(v.type.valueType):
         return Val(F.transform_keys(v.c, lambda k, x: F.concat(F.lit(name + sep), k) if name else k), "map", v.type)
+    if isinstance(v.type, T.MapType) and isinstance(v.type.valueType, T.MapType):  # the inner keys behind the outer ones; an inner map without any stays as {}
+        inner = F.transform(F.map_entries(v.c), lambda e: F.when(F.size(e["value"]) == 0, F.array(F.struct(e["key"].alias("k"), F.lit("{}").alias("v")))).otherwise(
+            F.transform(F.map_entries(_flat(Val(e["value"], "map", v.type.valueType), "", sep).c), lambda x: F.struct(F.concat(e["key"], F.lit(sep), x["key"]).alias("k"), x["value"].cast("string").alias("v")))))
+        return _flat(Val(F.map_from_entries(F.flatten(inner)), "map", TEXT_MAP), name, sep)
     pairs = list(_leaves(v.c, v.type, name, sep, {}))
     return Val(F.create_map(*[x for c, n in pairs for x in (F.lit(n), c.cast("string"))]), "map", TEXT_MAP)
 

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from ..plans.stream import HIDDEN, Stream, all_present, col, is_text, matcher, nonempty, number, present, q
+from ..plans.stream import HIDDEN, Stream, all_present, col, is_text, matcher, nonempty, number, present, q, text_double
 from .registry import verb
 
 
@@ -154,6 +154,13 @@ def aggregate(s: Stream, names, fields, g, interpolated: bool) -> tuple[dict[str
     order = s.first_key() if s.order and s.uniform else None
     for x in fields:
         table = accumulators(col(f"_n:{x}"), col(f"_t:{x}"), col(f"_t:{x}").isNotNull(), order)
+        words = is_text(s, x)
+        if words:  # numbers before texts: the least is a number if there is one, the greatest a text
+            v, t = col(f"_n:{x}"), col(f"_t:{x}")
+            table["min"] = F.coalesce(shown_number(F.min(v)), F.min(F.when(v.isNull(), t)))
+            table["max"] = F.coalesce(F.max(F.when(v.isNull(), t)), shown_number(F.max(v)))
+            table["first"] = F.min_by(t, F.when(t.isNotNull(), order)) if order is not None else F.first(t, ignorenulls=True)
+            table["last"] = F.max_by(t, F.when(t.isNotNull(), order)) if order is not None else F.last(t, ignorenulls=True)
         for a in names:
             key = f"{x}_{a}"
             if a in ("mode", "antimode", "mad"):
@@ -162,6 +169,8 @@ def aggregate(s: Stream, names, fields, g, interpolated: bool) -> tuple[dict[str
                 out[key] = F.count_if(F.coalesce(col(x).cast("string") == "", F.lit(False)))
             elif a in table:
                 out[key] = table[a]
+            elif words and not interpolated and (a == "median" or PERCENTILE.fullmatch(a)):
+                later.append((x, a))
             elif a == "median" or PERCENTILE.fullmatch(a):
                 out[key] = exact_percentile(f"_n:{x}", 50.0 if a == "median" else _float(a[1:]), interpolated, is_integral(s, x))
             else:
@@ -169,6 +178,11 @@ def aggregate(s: Stream, names, fields, g, interpolated: bool) -> tuple[dict[str
     return out, later
 
 
+def shown_number(c: Column) -> Column:
+    """A double as text, whole ones without a point."""
+    return F.when((c == F.floor(c)) & (F.abs(c) < 1e15), c.cast("bigint").cast("string")).otherwise(c.cast("string"))
+
+
 def value_counts(s: Stream, g, x: str) -> Stream:
     """Per group and value of x: n, and the first place."""
     order = s.first_key() if s.order and s.uniform else F.lit(0)
@@ -185,6 +199,11 @@ def _later(s: Stream, g, x: str, a: str):
         w = Window.partitionBy(*keys)
         mean = F.sum(F.col("_x") * F.col("_n")).over(w) / F.sum("_n").over(w)
         return counts.withColumn("_mean", mean).groupBy(*keys).agg((F.sum(F.abs(F.col("_x") - F.col("_mean")) * F.col("_n")) / F.sum("_n")).alias(name))
+    if a == "median" or PERCENTILE.fullmatch(a):  # of texts: the value at its place among numbers, then texts
+        w = Window.partitionBy(*keys).orderBy(F.col("_x").isNull(), "_x", "_v")
+        n = F.sum("_n").over(Window.partitionBy(*keys))
+        counts = counts.withColumn("_upto", F.sum("_n").over(w)).withColumn("_place", F.least(F.floor(F.lit((50.0 if a == "median" else _float(a[1:])) / 100.0) * n), n - 1))
+        return counts.where((F.col("_place") < F.col("_upto")) & (F.col("_place") >= F.col("_upto") - F.col("_n"))).select(*keys, F.col("_v").alias(name))
     first = F.col("_at").asc() if not s.order or s.order[0][1] else F.col("_at").desc()
     counts = counts.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("_n").desc() if a == "mode" else F.col("_n").asc(), first, "_v")))
     return counts.where("_rank = 1").select(*keys, F.col("_v").alias(name))
@@ -285,8 +304,13 @@ def merge_fields(s: Stream, a=(), f=None, r=None, c=None, o="name", i=False, k=F
         texts = F.filter(F.array(*[F.when(nonempty(s, x), col(x).cast("string")) for x in fields]), lambda y: y.isNotNull()) if fields else F.array().cast("array<string>")
         ints = all(not is_text(s, x) and s.dtype(x).simpleString() in ("int", "bigint", "smallint", "tinyint") for x in fields)
         nums = F.filter(F.array(*[F.when(nonempty(s, x), number(s, x)).cast("bigint" if ints else "double") for x in fields]), lambda y: y.isNotNull()) if fields else F.array().cast("array<double>")
+        words = any(is_text(s, x) for x in fields)
         for acc in a:
-            new[f"{name}_{acc}"] = over_array(acc, nums, texts, i, ints and bool(fields))
+            if words and acc in ("min", "max"):
+                least, most = shown_number(F.array_min(nums)), F.array_max(F.filter(texts, lambda y: text_double(y).isNull()))
+                new[f"{name}_{acc}"] = F.coalesce(least, F.array_min(texts)) if acc == "min" else F.coalesce(most, shown_number(F.array_max(nums)))
+            else:
+                new[f"{name}_{acc}"] = over_array(acc, nums, texts, i, ints and bool(fields))
     out = s.with_columns(new)
     return out if k else out.select([x for x in out.columns if x not in used or x in new])
 

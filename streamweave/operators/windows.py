@@ -51,7 +51,14 @@ def type_rank(s: Stream, name: str) -> Column:
 def natural_key(c: Column) -> Column:
     """A text whose order is natural: runs of digits padded to equal length."""
     parts = F.regexp_extract_all(c, F.lit(r"\d+|\D+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), 24, "0")).otherwise(p)), "")
+
+    def ranked(p: Column) -> Column:
+        """Digits behind the number of them, itself with its number of digits in front: longer runs come later, whatever their length."""
+        bare = F.regexp_replace(p, "^0+(?=.)", "")
+        size = F.char_length(bare).cast("string")
+        return F.concat(F.lpad(F.char_length(size).cast("string"), 2, "0"), size, bare)
+
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), F.concat(F.lit("0"), ranked(p))).otherwise(p)), "")
 
 
 @verb("sort", "-f=keys:sort-f -r=keys:sort-r -c=keys:sort-c -cr=keys:sort-cr -n|-nf=keys:sort-n -nr=keys:sort-nr -t=keys:sort-t -tr|-rt=keys:sort-tr -b=front:true")

@@ -8,13 +8,14 @@ grouped aggregation.
 
 from __future__ import annotations
 
+import contextlib
 import dataclasses
 import logging
 import math
 import os
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -458,6 +459,40 @@ class Compiler:
         self.early: set[str] = set()
         self.depth = 0
         self.emitted: list[tuple[Column | None, Record]] = []
+        #: Hidden columns that are worked out first, in batches that each only look at those before: a value that is long
+        #: to write and used more than once would else stand, with all it is made of, at every place of its use.
+        self.steps: list[dict[str, Column]] = []
+        self.hoists = False
+        #: Above 0 where a value may not be worked out for every record: behind a condition, or in a function literal.
+        self.lazy = 0
+
+    def held(self, v):
+        """The value as a hidden column of its own, if it is long to write."""
+        if not self.hoists or self.lazy or not isinstance(v, Val) or v.literal is not None or v.kind == "absent":
+            return v
+        text = v.c._jc.toString()
+        if len(text) < 300:
+            return v
+        name = f"{HIDDEN}step{sum(map(len, self.steps))}"
+        if not self.steps or any(n in text for n in self.steps[-1]):
+            self.steps.append({})
+        self.steps[-1][name] = v.c
+        return dataclasses.replace(v, c=col(name))
+
+    def source(self) -> DataFrame:
+        """The stream's rows with the hidden columns that the compiled program looks at."""
+        df = self.s.df
+        for batch in self.steps:
+            df = df.withColumns(batch)
+        return df
+
+    @contextlib.contextmanager
+    def behind(self, condition: bool = True):
+        self.lazy += condition
+        try:
+            yield
+        finally:
+            self.lazy -= condition
 
     # -- expressions
 
@@ -616,9 +651,11 @@ class Compiler:
         held = scope.get(name)
         if isinstance(held, Lambda):
             return self.apply(held, [self.eval(a, scope) for a in args])
-        vals = [self.eval(a, scope) for a in args]
+        with self.behind(name in ("?:", "&&", "||", "^^", "??", "???")):
+            vals = [self.eval(a, scope) for a in args]
         if name in ("apply", "select", "reduce", "fold", "sort", "any", "every"):
-            return self._higher(name, vals)
+            with self.behind():
+                return self._higher(name, vals)
         if name in ("mapexcept", "mapselect") and isinstance(vals[0], Record):
             names = set(fn._keys_of(tuple(_val(v) for v in vals[1:])))
             return Record({k: v for k, v in vals[0].items.items() if (k in names) == (name == "mapselect")})
@@ -639,7 +676,7 @@ class Compiler:
             return {"is_map": lit(True), "is_not_map": lit(False), "asserting_map": vals[0], "typeof": lit("map")}[name]
         if name == "-" and len(vals) == 1 and isinstance(vals[0], Val) and isinstance(vals[0].literal, (int, float)):
             return lit(-vals[0].literal)
-        return call(name, *[_val(v) for v in vals])
+        return call(name, *[self.held(_val(v)) for v in vals])
 
     # -- functions
 
@@ -656,6 +693,10 @@ class Compiler:
 
     def returned(self, body: list, scope: dict):
         """What a list of statements returns: branches become one conditional value."""
+        with self.behind(any(st[0] == "if" for st in body)):
+            return self._returned(body, scope)
+
+    def _returned(self, body: list, scope: dict):
         scope = dict(scope)
         for i, st in enumerate(body):
             if st[0] == "return":
@@ -785,8 +826,9 @@ class Compiler:
         self.statements([st for st in program if st[0] not in ("func", "subr", "begin", "end")], {}, None)
 
     def statements(self, body: list, scope: dict, guard: Column | None) -> None:
-        for st in body:
-            self.statement(st, scope, guard)
+        with self.behind(guard is not None):
+            for st in body:
+                self.statement(st, scope, guard)
 
     def _assigned(self, old, op: str, e, scope: dict):
         new = self.eval(e, scope)
@@ -816,7 +858,7 @@ class Compiler:
         if k == "assign":
             self._assign(st, scope, guard)
         elif k == "local":
-            scope[st[1]] = self.eval(st[2], scope) if st[2] else lit(None)
+            scope[st[1]] = self.held(self.eval(st[2], scope)) if st[2] else lit(None)
         elif k == "bare":
             p = fn.boolean(_val(self.eval(st[1], scope)))
             self.bare = p if guard is None else F.when(guard, p).otherwise(self.bare if self.bare is not None else F.lit(None))
@@ -920,7 +962,7 @@ class Compiler:
                     return
                 name = names[at - 1]
             old = self.fields.get(name, lit(None))
-            self.fields[name] = self._guarded(old, self._assigned(old, op, e, scope), guard, True)
+            self.fields[name] = self.held(self._guarded(old, self._assigned(old, op, e, scope), guard, True))
             if isinstance(self.fields[name], Val) and self.fields[name].kind == "absent":
                 del self.fields[name]
         elif k == "posname":
@@ -942,7 +984,7 @@ class Compiler:
                     self.fields[name] = Val(F.when(guard, x).otherwise(y), kk)
         elif k == "name":
             old = scope.get(target[1], lit(None))
-            scope[target[1]] = self._guarded(old, self._assigned(old, op, e, scope), guard, False)
+            scope[target[1]] = self.held(self._guarded(old, self._assigned(old, op, e, scope), guard, False))
         elif k == "index":
             self._assign_index(target, op, e, scope, guard)
         elif k == "oos":
@@ -1103,6 +1145,7 @@ def _planned(s: Stream, program, quiet, inverted, presets) -> Stream:
 def _put(s: Stream, program, quiet, inverted, presets) -> Stream:
     s = _with_context(s, program)
     c = Compiler(s, presets)
+    c.hoists = True
     c.run(program)
     if c.emitted:
         return _emitted(s, c, quiet)
@@ -1110,7 +1153,7 @@ def _put(s: Stream, program, quiet, inverted, presets) -> Stream:
     if quiet:
         keep = F.lit(False)
     # the projection first, the filter on what it saw: one pass, and Catalyst moves the filter down
-    df = s.df.withColumn("_keep", keep) if keep is not None else s.df
+    df = c.source().withColumn("_keep", keep) if keep is not None else c.source()
     order = [x for x in s.hidden if x in {n for n, _ in s.order}]
     df = df.select(*[_shown(v).alias(n) for n, v in c.fields.items()], *map(col, order), *(["_keep"] if keep is not None else []))
     if keep is not None:
@@ -1135,7 +1178,7 @@ def _emitted(s: Stream, c: Compiler, quiet: bool) -> Stream:
 
     rows = F.array(*[F.when(g if g is not None else F.lit(True), F.struct(F.lit(i).alias("_i"), *[cell(r, n).alias(n) for n in names])) for i, (g, r) in enumerate(records)])
     order = [x for x, _ in s.order]
-    df = s.df.select(F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("_r"), *map(col, order))
+    df = c.source().select(F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("_r"), *map(col, order))
     df = df.select(*[F.col("_r").getField(n).alias(n) for n in names], *map(col, order), F.col("_r._i").alias(f"{HIDDEN}emit"))
     return Stream(df, (*s.order, (f"{HIDDEN}emit", True)))
 
@@ -1145,9 +1188,10 @@ def where(s: Stream, text: str, inverted: bool = False, presets: dict | None = N
     program = Parser(text).program()
     s2 = _with_context(s, program)
     c = Compiler(s2, presets)
+    c.hoists = True
     c.run(program)
     p = c.keep if c.keep is not None else c.bare
     if p is None:
         return s
-    df = s2.df.where(~p if inverted else p)
+    df = c.source().where(~p if inverted else p)
     return Stream(df.select(*map(col, s.df.columns)), s.order)

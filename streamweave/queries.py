@@ -187,8 +187,8 @@ query("gap", "region", "gap -n 2", "SELECT r_regionkey, r_name FROM region UNION
 
 # ---- joins and sets
 query("join_inner", "orders", "cut -f o_orderkey,o_custkey then join -f L -j id -l c_custkey -r o_custkey --lk c_name", "SELECT c_custkey AS id, c_name, o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey", L="customer")
-query("join_left_unpaired", "orders", "join --np --ul -f L -j c_custkey -r o_custkey then cut -f c_custkey,c_name", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)", L="customer")
-query("join_right_unpaired", "nation", "join --np --ur -f L -j s_nationkey -r n_nationkey then cut -f n_nationkey,n_name", "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)", L="supplier")
+query("join_left_unpaired", "orders", "filter '$o_totalprice > 300000' then join --np --ul -f L -j c_custkey -r o_custkey then cut -f c_custkey,c_name", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)", L="customer")
+query("join_right_unpaired", "documents", "cut -f doc_id,lang then join --np --ur -f L -j doc_id then cut -f doc_id,lang", "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)", L="labels")
 query("join_full", "labels", "cut -f doc_id,quality then join --ul --ur -f L -j doc_id --lk lang", "SELECT doc_id, lang, quality FROM documents FULL JOIN labels USING (doc_id)", L="documents")
 query("join_merge_prefix", "nation", "join -s --lp r_ --rp n_ -f L -j k -l r_regionkey -r n_regionkey", "SELECT r_regionkey AS k, r_name AS r_r_name, n_nationkey AS n_n_nationkey, n_name AS n_n_name FROM nation JOIN region ON r_regionkey = n_regionkey", L="region")
 
@@ -206,7 +206,7 @@ SQL["concat_unsparsify"] = "SELECT s_suppkey AS id, s_name AS name, 'none' AS se
 query("reshape_long", "lineitem", "cut -f l_orderkey,l_linenumber,l_discount,l_tax then reshape -i l_discount,l_tax -o key,value", """SELECT l_orderkey, l_linenumber, 'l_discount' AS key, l_discount AS value FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 'l_tax', l_tax FROM lineitem""")
 query("reshape_wide", "lineitem", "count -g l_returnflag,l_linestatus then reshape -s l_linestatus,count", "SELECT l_returnflag, max(n) FILTER (l_linestatus = 'F') AS F, max(n) FILTER (l_linestatus = 'O') AS O FROM (SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY ALL")
 query("nest_explode_records", "part", "cut -f p_partkey,p_type then nest --evar ' ' -f p_type", "SELECT p_partkey, unnest(string_split(p_type, ' ')) AS p_type FROM part")
-query("nest_explode_fields", "part", "cut -f p_partkey,p_name then nest --explode --values --across-fields --nested-fs space -f p_name")
+query("nest_explode_fields", "part", "cut -f p_partkey,p_brand then nest --explode --values --across-fields --nested-fs # -f p_brand", "SELECT p_partkey, split_part(p_brand, '#', 1) AS p_brand_1, split_part(p_brand, '#', 2) AS p_brand_2 FROM part")
 query("nest_implode", "nation", "cut -f n_regionkey,n_name then nest --ivar ; -f n_name", "SELECT n_regionkey, string_agg(n_name, ';' ORDER BY n_nationkey) AS n_name FROM nation GROUP BY ALL")
 query("nest_pairs", "events", "cut -f event_id,event_type then put '$p = \"t:\" . $event_type . \";i:\" . $event_id' then cut -f event_id,p then nest --explode --pairs --across-fields --nested-fs ; --nested-ps : -f p", "SELECT event_id, event_id::VARCHAR AS i, event_type AS t FROM events")
 query("repeat_n", "region", "repeat -n 3", "SELECT region.* FROM region, range(3)")
@@ -214,9 +214,9 @@ query("repeat_field", "region", "repeat -f r_regionkey", "SELECT region.* FROM r
 query("flatten_struct", "nation", "put '$m = {\"a\": $n_nationkey, \"b\": $n_regionkey}' then flatten -s : then cut -f n_nationkey,m:a,m:b", "SELECT n_nationkey, n_nationkey AS \"m:a\", n_regionkey AS \"m:b\" FROM nation")
 query("unflatten_flatten", "region", "rename r_regionkey,a:x,r_name,a:y then unflatten -s : then flatten -s :", "SELECT r_regionkey AS \"a:x\", r_name AS \"a:y\" FROM region")
 query("seqgen", "region", "seqgen -f i --start 1 --stop 100 --step 7", "SELECT i::INT AS i FROM range(1, 101, 7) t(i)")
-query("altkv", "nation", "cut -f n_name,n_nationkey then altkv then json-stringify")
+query("altkv", "nation", "cut -o -f n_name,n_nationkey then altkv then json-stringify", "SELECT '{\"' || n_name || '\":\"' || n_nationkey || '\"}' AS kv FROM nation")
 query("json_stringify", "nation", "cut -f n_name then json-stringify", "SELECT '\"' || n_name || '\"' AS n_name FROM nation")
-query("json_parse", "events", "cut -f event_id,props then json-parse -f props then json-stringify -f props")
+query("json_parse", "events", "cut -f event_id,props then json-parse -f props then json-stringify -f props", "SELECT event_id, replace(props, ' ', '') AS props FROM events")
 
 # ---- text
 query("case_upper", "nation", "case -u -f n_name -v", "SELECT n_nationkey, upper(n_name) AS n_name, n_regionkey FROM nation")
@@ -299,9 +299,22 @@ functions("functions_math", "lineitem", "l_orderkey,l_linenumber", {
     "bits": ("bitcount($l_orderkey)", "bit_count(l_orderkey)::BIGINT"), "and_": ("$l_orderkey & 12", "l_orderkey & 12"), "or_": ("$l_orderkey | 12", "l_orderkey | 12"), "xor_": ("$l_orderkey ^ 12", "xor(l_orderkey, 12)"), "shl": ("$l_orderkey << 2", "l_orderkey * 4"), "shr": ("$l_orderkey >> 2", "l_orderkey // 4"),
     "not_": ("~$l_orderkey", "-l_orderkey - 1"), "wrapadd": ("$l_orderkey .+ 1", "l_orderkey + 1"), "wrapmul": ("$l_orderkey .* 3", "l_orderkey * 3"),
 })
+_ERF = "2 / sqrt(pi()) * list_sum([((-1) ** k) * (X) ** (2 * k + 1) / (factorial(k::INTEGER) * (2 * k + 1)) for k in range(0, 33)])"
 functions("functions_normal", "nation", "n_nationkey", {
-    "erf_": ("erf($n_nationkey / 10)", None), "erfc_": ("erfc($n_nationkey / 10)", None), "qnorm_": ("qnorm($n_nationkey / 10)", None), "invqnorm_": ("invqnorm(($n_nationkey + 1) / 30)", None), "mexp_": ("mexp($n_nationkey, 7, 13)", None),
+    "erf_": ("erf($n_nationkey / 10)", f"round({_ERF.replace('X', 'n_nationkey / 10')}, 6)"), "erfc_": ("erfc($n_nationkey / 10)", f"round(1 - {_ERF.replace('X', 'n_nationkey / 10')}, 6)"),
+    "qnorm_": ("qnorm($n_nationkey / 10)", f"round(0.5 + 0.5 * ({_ERF.replace('X', 'n_nationkey / 10 / sqrt(2)')}), 6)"), "invqnorm_": ("qnorm(invqnorm(($n_nationkey + 1) / 30))", "round((n_nationkey + 1) / 30, 6)"),
+    "mexp_": ("mexp($n_nationkey, 7, 13)", "(n_nationkey::BIGINT * n_nationkey * n_nationkey * n_nationkey * n_nationkey * n_nationkey * n_nationkey) % 13"),
 })
+query("stats1_text", "part", "stats1 -a min,max,first,last,p10,p50,median,p90,mode,count -f p_name,p_brand -g p_size", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY p_size ORDER BY p_name) - 1 AS i, row_number() OVER (PARTITION BY p_size ORDER BY p_brand) - 1 AS j, count(*) OVER (PARTITION BY p_size) AS n FROM part),
+  m AS (SELECT p_size, p_name AS v, count(*) AS c, min(p_partkey) AS k, 1 AS f FROM part GROUP BY ALL UNION ALL SELECT p_size, p_brand, count(*), min(p_partkey), 2 FROM part GROUP BY ALL),
+  best AS (SELECT p_size, f, arg_min(v, -c * 1000000000 + k) AS v FROM m GROUP BY p_size, f)
+  SELECT p_size, min(p_name) AS p_name_min, max(p_name) AS p_name_max, arg_min(p_name, p_partkey) AS p_name_first, arg_max(p_name, p_partkey) AS p_name_last,
+    max(p_name) FILTER (i = n * 10 // 100) AS p_name_p10, max(p_name) FILTER (i = n * 50 // 100) AS p_name_p50, max(p_name) FILTER (i = n * 50 // 100) AS p_name_median, max(p_name) FILTER (i = n * 90 // 100) AS p_name_p90,
+    (SELECT v FROM best b WHERE b.p_size = r.p_size AND f = 1) AS p_name_mode, count(*) AS p_name_count,
+    min(p_brand) AS p_brand_min, max(p_brand) AS p_brand_max, arg_min(p_brand, p_partkey) AS p_brand_first, arg_max(p_brand, p_partkey) AS p_brand_last,
+    max(p_brand) FILTER (j = n * 10 // 100) AS p_brand_p10, max(p_brand) FILTER (j = n * 50 // 100) AS p_brand_p50, max(p_brand) FILTER (j = n * 50 // 100) AS p_brand_median, max(p_brand) FILTER (j = n * 90 // 100) AS p_brand_p90,
+    (SELECT v FROM best b WHERE b.p_size = r.p_size AND f = 2) AS p_brand_mode, count(*) AS p_brand_count FROM r GROUP BY p_size""")
+query("merge_fields_text", "part", "cut -f p_partkey,p_name,p_brand then merge-fields -k -a min,max -f p_name,p_brand -o t", "SELECT p_partkey, p_name, p_brand, least(p_name, p_brand) AS t_min, greatest(p_name, p_brand) AS t_max FROM part")
 functions("functions_string", "part", "p_partkey", {
     "up": ("toupper($p_name)", "upper(p_name)"), "lo": ("tolower($p_type)", "lower(p_type)"), "cap": ("capitalize($p_name)", "upper(p_name[1]) || p_name[2:]"), "len": ("strlen($p_name)", "length(p_name)"),
     "cat_": ("$p_brand . \"/\" . $p_size", "p_brand || '/' || p_size"), "s1": ("substr1($p_name, 2, 4)", "p_name[2:4]"), "s0": ("substr0($p_name, 0, 2)", "p_name[1:3]"), "ix": ("index($p_name, \"a\")", "CASE WHEN instr(p_name, 'a') = 0 THEN -1 ELSE instr(p_name, 'a') END"),
