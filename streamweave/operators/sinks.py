@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..plans.stream import Stream, all_present, col
+from ..plans.ordered import running
+from ..plans.stream import HIDDEN, Stream, all_present, col
 from .registry import verb
 
 
@@ -31,8 +32,9 @@ def split(s: Stream, n=None, m=None, g=None, prefix="split", suffix="csv", folde
     if g:
         s2, keys = s.where(all_present(s, g)), {f"{prefix}_{k}": col(k).cast("string") for k in g}
     else:
-        at = F.row_number().over(s.window()) - 1
+        s2 = running(s, {}, number=f"{HIDDEN}at")
+        at = col(f"{HIDDEN}at") - 1
         key = at % m + 1 if m else F.floor(at / n) + 1
-        s2, keys = s, {f"{prefix}_part": key.cast("bigint")}
+        keys = {f"{prefix}_part": key.cast("bigint")}
     write(s2.with_columns(keys), f"{folder}/{prefix}", suffix, mode="append" if append else "overwrite", by=list(keys))
     return s if passing else nothing(s)

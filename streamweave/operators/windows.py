@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import re
 
 from pyspark.sql import Column, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.stream import HIDDEN, Stream, all_present, col, is_text, nonempty, number, present
-from ..plans.ordered import running
+from ..plans.ordered import neighbours, ranked, running, totals
 from .registry import verb
 
 
@@ -93,6 +94,13 @@ def sort(s: Stream, keys=(), front=False) -> Stream:
 def rank(s: Stream, f=(), g=(), sorted_input=False) -> Stream:
     """Standard competition rank of each value, ascending, as ``x_rank``; absent values have none."""
     new = {}
+    if not g:
+        own = s.columns
+        for x in f:
+            s = ranked(s, [type_rank(s, x), number(s, x), col(x).cast("string")], f"{HIDDEN}rank")
+            s = s.with_columns({f"{x}_rank": F.when(present(s, x), col(f"{HIDDEN}rank"))})
+            s = s.with_df(s.df.drop(f"{HIDDEN}rank"))
+        return s.select([*own, *[f"{x}_rank" for x in f]])
     for x in f:
         w = Window.partitionBy(*map(col, g)).orderBy(type_rank(s, x), number(s, x).asc_nulls_last(), col(x).cast("string").asc_nulls_last())
         ok = all_present(s, [x, *g])
@@ -108,14 +116,17 @@ def fraction(s: Stream, f=(), g=(), p=False, c=False) -> Stream:
     own = s.columns
     if c and not g:
         s = running(s, {f"_run:{x}": number(s, x) for x in f})
+    if not g:
+        s = totals(s, {f"{HIDDEN}sum:{x}": F.sum(number(s, x)) for x in f})
     for x in f:
         v = number(s, x)
         ok = all_present(s, [x, *g]) & v.isNotNull()
-        total = F.sum(F.when(ok, v)).over(Window.partitionBy(*groups))
+        total = F.sum(F.when(ok, v)).over(Window.partitionBy(*groups)) if g else col(f"{HIDDEN}sum:{x}")
         top = v if not c else F.sum(F.when(ok, v)).over(s.window(*g).rowsBetween(Window.unboundedPreceding, 0)) if g else col(f"_run:{x}")
         name = f"{x}_{'cumulative_' * c}{'percent' if p else 'fraction'}"
         new[name] = F.when(ok, F.try_divide(top.cast("double") * (100 if p else 1), total.cast("double")))
-    return s.with_columns(new).select([*own, *new])
+    out = s.with_columns(new).select([*own, *new])
+    return out.with_df(out.df.drop(*[f"{HIDDEN}sum:{x}" for x in f]))
 
 
 @verb("fill-down", "-f=f:list -a|--only-if-absent=absent:true --all=every:true --only-if-blank=blank:true")
@@ -135,11 +146,23 @@ def fill_down(s: Stream, f=None, every=False, absent=False, blank=False) -> Stre
     return out.select(s.columns)
 
 
-def _stepped(s: Stream, x: str, how: str, g) -> dict[str, Column]:
+def _reach(how: str) -> tuple[int, int] | None:
+    """How many records before and behind a stepper looks at, if it looks at no more."""
+    m = re.fullmatch(r"(?:delta|ratio|shift|shift_lag)(?:_(\d+))?", how)
+    if m:
+        return int(m[1] or 1), 0
+    m = re.fullmatch(r"shift_lead(?:_(\d+))?", how)
+    if m:
+        return 0, int(m[1] or 1)
+    m = re.fullmatch(r"slwin_(\d+)_(\d+)", how)
+    return (int(m[1]), int(m[2])) if m else None
+
+
+def _stepped(s: Stream, x: str, how: str, g, w=None) -> dict[str, Column]:
     m = re.fullmatch(r"(delta|ratio|shift|shift_lag|shift_lead)(?:_(\d+))?|slwin_(\d+)_(\d+)|(counter|ewma|from-first|rprod|rsum|count)", how)
     if not m:
         raise ValueError(f"step: no stepper {how}")
-    w = s.window(*g)
+    w = w if w is not None else s.window(*g)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     kind = m[1] or m[5] or "slwin"
     n = int(m[2] or 1)
@@ -229,6 +252,22 @@ def step(s: Stream, a=("shift", "delta", "rsum", "counter"), f=(), g=(), d=("0.5
                     new[name] = F.when(nonempty(s, x), col(name))
                     names.append(name)
                     continue
+                if not g and _reach(how):
+                    s = neighbours(s, lambda w, x=x, how=how: _stepped(s, x, how, g, w), *_reach(how))
+                    names.append(f"{x}_{how}")
+                    continue
+                if not g and how == "rprod":
+                    s = running(s, {}, products={f"{x}_rprod": number(s, x).cast("double")})
+                    new[f"{x}_rprod"] = F.when(nonempty(s, x), col(f"{x}_rprod"))
+                    names.append(f"{x}_rprod")
+                    continue
+                if not g and how == "from-first":
+                    s = totals(s, {f"{HIDDEN}first": F.min_by(number(s, x), F.when(number(s, x).isNotNull(), s.first_key()))}) if s.order and s.uniform and s.order[0][1] else s
+                    if f"{HIDDEN}first" in s.df.columns:
+                        s = s.with_columns({f"{x}_from-first": F.when(nonempty(s, x), number(s, x) - col(f"{HIDDEN}first"))})
+                        s = s.with_df(s.df.drop(f"{HIDDEN}first"))
+                        names.append(f"{x}_from-first")
+                        continue
                 for name, c in _stepped(s, x, how, g).items():
                     new[name] = F.when(ok, c) if g else c
                     names.append(name)
@@ -255,20 +294,26 @@ def top(s: Stream, f=(), n=1, g=(), whole=False, max=True, min=False, o=None, fl
     for x in f:
         ranked = s.df.select(*groups, F.row_number().over(w(x)).alias("top_idx"), number(s, x).alias(o or f"{x}_top")).where(F.col("top_idx") <= n)
         parts = ranked if parts is None else parts.join(ranked, [*g, "top_idx"], "full")
-    frame = s.df.select(*groups).distinct() if g else s.df.sparkSession.range(1).select()
+    first = s.order and s.uniform
+    frame = (s.df.groupBy(*groups).agg((s.least() if first else F.lit(0)).alias("_first"))) if g else s.df.sparkSession.range(1).select(F.lit(0).alias("_first"))
     frame = frame.withColumn("top_idx", F.explode(F.sequence(F.lit(1), F.lit(n))))
     out = frame.join(parts, [*g, "top_idx"], "left")
-    return Stream(out.select(*map(col, g), F.col("top_idx").cast("bigint").alias("top_idx"), *[col(o or f"{x}_top") for x in f])).ordered_by([*[(col(x), True) for x in g], (F.col("top_idx"), True)], "top")
+    up = not first or s.order[0][1]
+    out = Stream(out.select(*map(col, g), F.col("top_idx").cast("bigint").alias("top_idx"), *[col(o or f"{x}_top") for x in f], F.col("_first").alias(f"{HIDDEN}first")))
+    return dataclasses.replace(out.ordered_by([*([] if first else [(col(x), True) for x in g]), (F.col("top_idx"), True)], "top"), order=((f"{HIDDEN}first", up), *out.ordered_by([*([] if first else [(col(x), True) for x in g]), (F.col("top_idx"), True)], "top").order))
 
 
 @verb("gap", "-n=n:int -g=g:list")
 def gap(s: Stream, n=None, g=None) -> Stream:
     """A record without values before every nth one, or where the group's fields change: here a row of NULLs in that place."""
-    w = s.window()
-    at = F.row_number().over(w)
-    key = F.concat_ws(",", *[col(x).cast("string") for x in g or ()])
-    before = (at > 1) & ((at - 1) % n == 0) if n else (at > 1) & ~F.lag(key).over(w).eqNullSafe(key)
-    s = s.with_df(s.df.withColumn(f"{HIDDEN}at", at.cast("double")).withColumn(f"{HIDDEN}gap", before))
+    s = running(s, {}, number=f"{HIDDEN}at")
+    at = col(f"{HIDDEN}at")
+    if n:
+        s = s.with_df(s.df.withColumn(f"{HIDDEN}gap", (at > 1) & ((at - 1) % n == 0)))
+    else:
+        key = F.concat_ws(",", *[col(x).cast("string") for x in g or ()])
+        s = neighbours(s, lambda w: {f"{HIDDEN}gap": (at > 1) & ~F.lag(key).over(w).eqNullSafe(key)}, 1, 0)
+    s = s.with_df(s.df.withColumn(f"{HIDDEN}at", at.cast("double")))
     blank = s.df.where(col(f"{HIDDEN}gap")).withColumn(f"{HIDDEN}at", col(f"{HIDDEN}at") - 0.5)
     blank = blank.withColumns({c: F.lit(None).cast(s.dtype(c)) for c in s.columns})
     return Stream(s.df.unionByName(blank), ((f"{HIDDEN}at", True),))

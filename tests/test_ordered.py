@@ -9,6 +9,8 @@ from streamweave.plans.stream import Stream
 
 CHAINS = [
     "cat -n", "fill-down -f x", "fill-down -a -f x", "fraction -c -f v", "decimate -n 7", "tail -n +60", "step -a rsum,counter -f v", "sort -nr v then cat -N n", "tac then fill-down -f x", "put '$k = NR * 2'", "filter 'NR > 90'",
+    "step -a shift,shift_lead,delta,ratio -f v", "step -a delta_3,shift_lag_2,shift_lead_4 -f v", "step -a slwin_2_3 -f v", "step -a from-first,rprod -f v", "rank -f v,x", "fraction -f v", "fraction -p -f v", "gap -n 10", "gap -g x",
+    "sort -nr v then step -a shift,delta -f k", "top -n 3 -f v -g x",
 ]
 
 
@@ -18,4 +20,21 @@ def test_placed(spark, monkeypatch, links):
     s = Stream.of(spark.createDataFrame(rows, "k int, v int, x string").repartition(5), "k")
     want = sorted(map(str, chain(s, links).rows().collect()))
     monkeypatch.setattr(ordered, "LARGE", 0)
+    monkeypatch.setattr(ordered, "TOGETHER", 8)
     assert sorted(map(str, chain(s, links).rows().collect())) == want
+
+
+@pytest.mark.parametrize("links", ["step -a shift,delta,slwin_1_1 -f v", "rank -f v", "fraction -f v", "gap -n 10", "cat -n"])
+def test_no_window_over_all_rows(spark, monkeypatch, links):
+    """Beyond the size for one task, no plan gathers all rows in one partition."""
+    s = Stream.of(spark.range(1000).selectExpr("id AS k", "id % 7 AS v"), "k")
+    monkeypatch.setattr(ordered, "LARGE", 0)
+    plan = chain(s, links).df._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    below = [lines[i + 1] for i, x in enumerate(lines) if "SinglePartition" in x]
+    assert all("Aggregate" in x for x in below), plan  # what is gathered is one row a partition
+
+
+def test_top_groups_come_as_they_first_appear(spark):
+    s = Stream.of(spark.createDataFrame([(0, "z", 1), (1, "a", 5), (2, "z", 3), (3, "m", 2)], "k int, g string, v int"), "k")
+    assert [r.g for r in chain(s, "top -n 1 -f v -g g").sorted().collect()] == ["z", "a", "m"]
