@@ -5,10 +5,14 @@
 
 from __future__ import annotations
 
+import os
+import shlex
 import sys
 
+from .operators.programs import preloaded
 from .operators.registry import VERBS, parse
 from .plans.chain import chain
+from .plans.sides import taken
 from .sources.readers import read
 from .sources.writers import text_of, write
 
@@ -21,18 +25,26 @@ LETTERS = {"c": "csv", "t": "tsv", "j": "json", "l": "jsonl", "d": "dkvp", "n":
 #: Flags with a value: the option, and whether it is for reading, writing or both.
 VALUED = {
     "--ifs": ("fs", "i"), "--ofs": ("fs", "o"), "--fs": ("fs", "io"), "--ips": ("ps", "i"), "--ops": ("ps", "o"), "--ps": ("ps", "io"), "--ofmt": ("ofmt", "o"), "--skip-comments-with": ("comments", "i"),
+    "--irs": ("rs", "i"), "--rs": ("rs", "i"), "--ifs-regex": ("fs_regex", "i"), "--ips-regex": ("ps_regex", "i"), "--pass-comments-with": ("pass_comments", "i"),
 }
 SWITCHES = {
     "--implicit-csv-header": ("header", False, "i"), "--hi": ("header", False, "i"), "--headerless-csv-input": ("header", False, "i"), "--headerless-csv-output": ("header", False, "o"), "--ho": ("header", False, "o"), "--allow-ragged-csv-input": ("ragged", True, "i"),
+    "--pass-comments": ("pass_comments", "#", "i"), "--repifs": ("repeated", True, "i"), "--lazy-quotes": ("lazy", True, "i"),
     "--ragged": ("ragged", True, "i"), "--quote-all": ("quote_all", True, "o"), "--barred": ("barred", True, "o"), "--barred-output": ("barred", True, "o"), "--right": ("right", True, "o"), "--skip-comments": ("comments", "#", "i"),
 }
 #: Accepted and without effect here: codecs go by suffix, inference is a choice of its own. Fixed values.
-IGNORED = {"--gzin", "--bz2in", "--zstdin", "--no-color", "-M", "--always-color", "-C", "--mmap", "--no-mmap", "--no-fflush", "--fflush", "--no-auto-flatten", "--no-auto-unflatten", "--infer-none", "-S", "--barred-input", "--jvstack", "--no-jvstack", "--jlistwrap"}
+IGNORED = {"--gzin", "--bz2in", "--zstdin", "--no-color", "-M", "--always-color", "-C", "--mmap", "--no-mmap", "--no-fflush", "--fflush", "--no-auto-unflatten", "--infer-none", "-S", "--barred-input", "--jvstack", "--no-jvstack", "--jlistwrap", "--no-jlistwrap", "--infer-octal", "--infer-int-as-float", "--hash-records", "--no-hash-records", "-O", "-A", "--no-fsync", "--no-implicit-csv-header", "--csvlite-allow-ragged", "--quote-original", "--no-dedupe-field-names", "--dedupe-field-names"}
+#: Accepted with a value that has no meaning here. Fixed values.
+IGNORED_VALUED = {"--nr-progress-mod", "--records-per-batch", "--ors", "--key-color", "--value-color", "--pass-color", "--fail-color", "--help-color"}
 
 
 def arguments(words: list[str]) -> dict:
     """What a command line asks for: formats, options, the chain's words, paths."""
-    got = {"ifmt": None, "ofmt": None, "i": {}, "o": {}, "paths": [], "none": False, "out": None}
+    got = {"ifmt": None, "ofmt": None, "i": {}, "o": {}, "paths": [], "none": False, "out": None, "load": [], "flatsep": ".", "flatten": True, "in_place": False}
+    if len(words) > 1 and words[0] == "-s":  # the first line of a file stands in front
+        with open(words[1]) as f:
+            words = [*shlex.split(f.readline()), *words[2:]]
+        words = words[1:] if words and not words[0].startswith("-") and words[0] not in VERBS else words
     k = 0
     while k < len(words) and words[k].startswith("-"):
         w = words[k]
@@ -62,6 +74,22 @@ def arguments(words: list[str]) -> dict:
             else:
                 got |= {"ifmt": FORMATS[words[k]]} if w != "-o" else {}
                 got |= {"ofmt": FORMATS[words[k]]} if w != "-i" else {}
+        elif w in ("--tz", "--load", "--mload", "--flatsep", "--oflatsep", "--jflatsep"):
+            k += 1
+            if w == "--tz":
+                os.environ["TZ"] = words[k]
+            elif w == "--load":
+                got["load"].append(words[k])
+            elif w == "--mload":
+                while words[k] != "--":
+                    got["load"].append(words[k])
+                    k += 1
+            else:
+                got["flatsep"] = words[k]
+        elif w in IGNORED_VALUED:
+            k += 1
+        elif w == "-I":
+            got["in_place"] = True
         elif w == "-n":
             got["none"] = True
         elif w == "-N":
@@ -74,6 +102,8 @@ def arguments(words: list[str]) -> dict:
             got["ifmt"] = got["ofmt"] = FORMATS[name]
         elif name[:1] in "io" and name[1:] in FORMATS:
             got["ifmt" if name[0] == "i" else "ofmt"] = FORMATS[name[1:]]
+        elif w == "--no-auto-flatten":
+            got["flatten"] = False
         elif w not in IGNORED:
             raise ValueError(f"no option {w}")
         k += 1
@@ -105,21 +135,37 @@ def _links(words: list[str], k: int) -> tuple[list[str], int]:
         return words[begin:stop], stop
 
 
-def main(words: list[str] | None = None) -> int:
-    from pyspark.sql import SparkSession
-
-    got = arguments(list(sys.argv[1:] if words is None else words))
-    spark = SparkSession.builder.appName("streamweave").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    if got["none"] or not got["paths"]:
+def result(spark, got: dict, paths: list[str]):
+    """The records that a command line gives for some paths, and their format."""
+    if got["none"] or not paths:
         s = read(spark, "", "gen", start=1, stop=0)
     else:
-        s = read(spark, got["paths"] if len(got["paths"]) > 1 else got["paths"][0], got["ifmt"], **got["i"])
-    s = chain(s, got["links"])
+        s = read(spark, paths if len(paths) > 1 else paths[0], got["ifmt"], **got["i"])
+    with preloaded(got["load"]):
+        s = chain(s, got["links"])
     fmt = got["ofmt"] or got["ifmt"] or "dkvp"
     if fmt in ("json", "jsonl"):
         got["o"]["infer"] = True
-    else:
-        s = chain(s, "flatten")  # nested fields are spread where a format has no nesting
+    elif got["flatten"]:
+        s = chain(s, ["flatten", "-s", got["flatsep"]])  # nested fields are spread where a format has no nesting
+    return s, fmt
+
+
+def main(words: list[str] | None = None) -> int:
+    from pyspark.sql import SparkSession
+
+    got = arguments(list(sys.argv[1:] if words is None else words))
+    spark = SparkSession.builder.appName("streamweave").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    if got["in_place"]:
+        for path in got["paths"]:
+            s, fmt = result(spark, got, [path])
+            text = text_of(s, fmt, **got["o"])
+            with open(path, "w", encoding="utf-8") as f:
+                f.write(text)
+        return 0
+    s, fmt = result(spark, got, got["paths"])
+    for to, text in taken():
+        (sys.stderr if to == "stderr" else sys.stdout).write(text)
     if got["out"]:
         write(s, got["out"], fmt, **got["o"])
     else:

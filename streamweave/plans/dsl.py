@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import contextlib
 import dataclasses
+import json
 import logging
 import math
 import os
@@ -111,7 +112,7 @@ class Parser:
             if self.now.kind == "end" or self.now.text == until:
                 return out
             out.append(self.statement())
-            if self.now.text not in (";", until) and self.now.kind != "end" and out[-1][0] not in ("if", "block", "begin", "end", "func", "subr", "for1", "for2", "forc", "while", "do"):
+            if self.now.text not in (";", until) and self.now.kind != "end" and out[-1][0] not in ("if", "block", "begin", "end", "func", "subr", "for1", "for2", "form", "forc", "while", "do"):
                 raise SyntaxError(f"a ; is missing before {self.now.text!r}")
 
     def block(self) -> list:
@@ -183,7 +184,7 @@ class Parser:
             if w in ("emit", "emitp", "emit1", "emitf"):
                 return self.emit()
             if w in ("print", "printn", "eprint", "eprintn", "dump", "edump", "tee"):
-                raise SyntaxError(f"{w} writes beside the records; use the tee and split verbs, or look at the result")
+                return self.beside()
             if w == "call":
                 self.take()
                 name = self.take().text
@@ -216,6 +217,18 @@ class Parser:
     def for_loop(self):
         self.take("for")
         self.take("(")
+        if self.now.text == "(" and self.now.kind == "op":  # ((k1, k2), v in m)
+            self.take("(")
+            names = [self.take().text]
+            while self.skip(","):
+                names.append(self.take().text)
+            self.take(")")
+            self.take(",")
+            v = self.take().text
+            self.take("in")
+            e = self.expr()
+            self.take(")")
+            return ("form", v, names, e, self.block())
         if self.now.kind == "name" and self.peek().text == "in":
             k = self.take().text
             self.take("in")
@@ -240,8 +253,38 @@ class Parser:
             parts.append(some)
         return ("forc", *parts, self.block())
 
+    def redirect(self):
+        """``> name,`` and its like in front of what is written: (how, name)."""
+        if self.now.kind != "op" or self.now.text not in (">", ">>", "|"):
+            return None
+        how = self.take().text
+        if how == "|":
+            raise SyntaxError("no pipes on a cluster")
+        if self.now.kind == "name" and self.now.text in ("stdout", "stderr"):
+            return (how, ("str", self.take().text))
+        return (how, self.expr())
+
+    def beside(self):
+        how = self.take().text
+        to = self.redirect()
+        if to and self.now.text == ",":
+            self.take(",")
+        things = []
+        while self.now.kind != "end" and self.now.text not in (";", "}", ""):
+            things.append(self.expr())
+            if not self.skip(","):
+                break
+        if how == "tee" and (not to or len(things) != 1):
+            raise SyntaxError("tee > name, $*")
+        return ("beside", how, to or (">", ("str", "stderr" if how.startswith("e") else "stdout")), things)
+
     def emit(self):
         how = self.take().text
+        to = self.redirect()
+        if to:
+            self.take(",")
+            e = self.expr()
+            return ("beside", "emit", to, [e])
         if how == "emitf":
             names = [self.expr()]
             while self.skip(","):
@@ -462,6 +505,8 @@ class Compiler:
         #: Hidden columns that are worked out first, in batches that each only look at those before: a value that is long
         #: to write and used more than once would else stand, with all it is made of, at every place of its use.
         self.steps: list[dict[str, Column]] = []
+        #: (name of the output, whether it is added to, condition, text) of what is written beside the records.
+        self.beside: list[tuple] = []
         self.hoists = False
         #: Above 0 where a value may not be worked out for every record: behind a condition, or in a function literal.
         self.lazy = 0
@@ -904,6 +949,10 @@ class Compiler:
                     self._inner(body, scope, inner, guard, {st[1], st[2] if k == "for2" else st[1]})
             else:
                 raise NotPlanned("a loop over a collection that only the data tell: use apply, select, fold")
+        elif k == "form":
+            self._nested(st[2], self.eval(st[3], scope), scope, {**scope}, guard, st)
+        elif k == "beside":
+            self._beside(st, scope, guard)
         elif k == "forc":
             self._counted(st, scope, guard)
         elif k == "call":
@@ -920,6 +969,34 @@ class Compiler:
         else:
             raise NotPlanned(f"{k} cannot be worked out when the plan is made")
 
+    def _nested(self, names: list[str], v, scope: dict, inner: dict, guard, st) -> None:
+        """A loop over the keys of maps within maps."""
+        if not isinstance(v, Record):
+            raise NotPlanned("a loop over maps that only the data tell")
+        for name, x in list(v.items.items()):
+            own = {**inner, names[0]: lit(name)}
+            if len(names) > 1:
+                self._nested(names[1:], x, scope, own, guard, st)
+            else:
+                self._inner(st[4], scope, {**own, st[1]: x}, guard, {*st[2], st[1]})
+
+    def _beside(self, st, scope: dict, guard) -> None:
+        """What is written beside the records: texts as they are, maps as lines of JSON."""
+        _, how, (op, name), things = st
+        if how in ("dump", "edump") and not things:
+            raise NotPlanned("a dump of what is carried from record to record")
+        to = _val(self.eval(name, scope))
+        texts = []
+        for e in things:
+            v = self.eval(e, scope)
+            if how in ("tee", "emit", "dump", "edump") and isinstance(v, Record):
+                cells = [F.when(x.c.isNotNull(), F.concat(F.lit(json.dumps(n) + ": "), _json_cell(x))) for n, x in ((n, _val(x)) for n, x in v.items.items())]
+                texts.append(F.concat(F.lit("{"), F.concat_ws(", ", *cells), F.lit("}")))
+            else:
+                texts.append(F.coalesce(fn.txt(_val(v)), F.lit("")))
+        text = F.concat_ws(" ", *texts) if texts else F.lit("")
+        self.beside.append((to, op == ">>", guard, text if how in ("printn", "eprintn") else F.concat(text, F.lit("\n"))))
+
     def _scoped(self, body, scope: dict, guard) -> None:
         """A block: its locals are its own, but it may assign those outside."""
         inner = dict(scope)
@@ -1113,40 +1190,55 @@ def _shown(v) -> Column:
     return v.c if v.kind != "absent" else F.lit(None).cast("string")
 
 
-def put(s: Stream, text: str, quiet: bool = False, inverted: bool = False, presets: dict | None = None) -> Stream:
+def put(s: Stream, text: str, quiet: bool = False, inverted: bool = False, presets: dict | None = None, folder: str = "redirects") -> Stream:
     """Run a program on every record: as a plan where one can express it, else by the interpreter, in one task."""
     program = Parser(text).program()
     try:
-        return _planned(s, program, quiet, inverted, presets)
+        return _planned(s, program, quiet, inverted, presets, folder)
     except NotPlanned as why:
         from .interpreter import interpreted
 
         logging.getLogger(__name__).warning("this program runs in one task: %s", why)
-        return interpreted(s, program, quiet, inverted, presets)
+        return interpreted(s, program, quiet, inverted, presets, folder)
 
 
-def _planned(s: Stream, program, quiet, inverted, presets) -> Stream:
+def _planned(s: Stream, program, quiet, inverted, presets, folder: str = "redirects") -> Stream:
     from .accumulate import accumulates, accumulated
 
     if accumulates(program):
+        if any(st[0] == "beside" for st in _every(program)):
+            raise NotPlanned("what is written beside records that are added up")
         out = accumulated(s, program, presets)
         if quiet:
             return out
         from ..operators.joins import concat
 
         main = [st for st in program if not accumulates([st]) and st[0] not in ("begin", "end")]
-        first = _put(s, main, False, inverted, presets) if main else s
+        first = _put(s, main, False, inverted, presets, folder) if main else s
         return concat(first, out)
     if any(st[0] == "end" for st in program):
         raise NotPlanned("an end block without accumulated variables")
-    return _put(s, program, quiet, inverted, presets)
+    return _put(s, program, quiet, inverted, presets, folder)
+
 
+def _every(body):
+    """All statements of a program, those within blocks too."""
+    for st in body:
+        if isinstance(st, tuple):
+            yield st
+            for x in st[1:]:
+                if isinstance(x, list):
+                    for y in x:
+                        yield from _every([y]) if isinstance(y, tuple) and y and isinstance(y[0], str) else _every(y[1]) if isinstance(y, tuple) and len(y) == 2 and isinstance(y[1], list) else ()
 
-def _put(s: Stream, program, quiet, inverted, presets) -> Stream:
+
+def _put(s: Stream, program, quiet, inverted, presets, folder: str = "redirects") -> Stream:
     s = _with_context(s, program)
     c = Compiler(s, presets)
     c.hoists = True
     c.run(program)
+    if c.beside:
+        _written(s, c, folder)
     if c.emitted:
         return _emitted(s, c, quiet)
     keep = c.keep
@@ -1161,6 +1253,26 @@ def _put(s: Stream, program, quiet, inverted, presets) -> Stream:
     return Stream(df, s.order)
 
 
+def _json_cell(v: Val) -> Column:
+    """A value as JSON; texts that write numbers are numbers."""
+    return F.when(fn.text_double(v.c).isNotNull(), v.c).otherwise(fn.json_text(v).c) if v.kind == "any" else fn.json_text(v).c
+
+
+def _written(s: Stream, c: Compiler, folder: str) -> None:
+    """Deliver what the program writes beside the records."""
+    from .sides import deliver
+
+    for append in (False, True):
+        parts = [(to, guard, text) for to, more, guard, text in c.beside if more == append]
+        if not parts:
+            continue
+        rows = F.array(*[F.when(g if g is not None else F.lit(True), F.struct(F.lit(i).alias("_i"), fn.txt(to).alias("to"), text.alias("value"))) for i, (to, g, text) in enumerate(parts)])
+        df = c.source().select(F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("_r"), *[col(x) for x, _ in s.order])
+        df = df.select("_r.to", "_r.value", *[col(x) for x, _ in s.order], F.col("_r._i").alias(f"{HIDDEN}emit"))
+        named = [to.literal for to, _, _ in parts]
+        deliver(Stream(df, (*s.order, (f"{HIDDEN}emit", True))), None if any(n is None for n in named) else named, folder, append)
+
+
 def _emitted(s: Stream, c: Compiler, quiet: bool) -> Stream:
     """Records that the program emits for each record, and the record itself."""
     records = [(g, r.items) for g, r in c.emitted]

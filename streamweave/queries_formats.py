@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .cli import arguments
 from .plans.chain import chain
 from .plans.ordered import shared_folder
-from .plans.stream import col
+from .plans.sides import taken
 from .queries import QUERIES, SQL, shown, table
 from .sources.readers import read
 from .sources.writers import write
@@ -121,3 +121,38 @@ def split_numbered(spark, sf_dir):
 
 QUERIES["split_numbered"] = split_numbered
 SQL["split_numbered"] = "SELECT c_custkey, (row_number() OVER (ORDER BY c_custkey) - 1) % 3 + 1 AS part FROM customer"
+
+
+def put_print(spark, sf_dir):
+    """The lines that a program prints, for every record."""
+    taken()
+    chain(table(spark, sf_dir, "nation"), ["put", "-q", 'print $n_nationkey . " " . $n_name; if ($n_regionkey == 1) {printn "in "; print $n_regionkey}'])
+    return spark.createDataFrame([(x.rstrip("\n"),) for x in "".join(t for _, t in taken()).splitlines()], "line string")
+
+
+def put_redirects(spark, sf_dir):
+    """Records told to outputs that they name themselves."""
+    path = folder(spark, "redirects")
+    chain(table(spark, sf_dir, "orders"), ["put", "-q", "--folder", path, 'tee > $o_orderstatus . "-part", mapselect($*, "o_orderkey", "o_totalprice")'])
+    return shown(read(spark, path, "jsonl")).select("o_orderkey", "o_totalprice", "to")
+
+
+def put_nested_loop(spark, sf_dir):
+    program = 'm = {"a": {"x": $n_nationkey, "y": 2}, "b": {"x": $n_regionkey}}; $s = 0; for ((k1, k2), v in m) {$s += v}'
+    return shown(chain(table(spark, sf_dir, "nation"), ["put", program, "then", "cut", "-o", "-f", "n_nationkey,s"]))
+
+
+def put_dump_at_end(spark, sf_dir):
+    """What was carried from record to record, as text at the end."""
+    taken()
+    chain(table(spark, sf_dir, "nation"), ["put", "-q", "@n[$n_regionkey] += 1; end {print json_encode(@n)}"])
+    return spark.createDataFrame([(t.strip(),) for _, t in taken()], "line string")
+
+
+QUERIES |= {f.__name__: f for f in (put_print, put_redirects, put_nested_loop, put_dump_at_end)}
+SQL |= {
+    "put_print": "SELECT n_nationkey || ' ' || n_name AS line FROM nation UNION ALL SELECT 'in ' || n_regionkey FROM nation WHERE n_regionkey = 1",
+    "put_redirects": "SELECT o_orderkey, o_totalprice, o_orderstatus || '-part' AS \"to\" FROM orders",
+    "put_nested_loop": "SELECT n_nationkey, n_nationkey + 2 + n_regionkey AS s FROM nation",
+    "put_dump_at_end": "WITH c AS (SELECT n_regionkey AS k, count(*) AS n, min(n_nationkey) AS o FROM nation GROUP BY ALL) SELECT '{' || string_agg('\"' || k || '\": ' || n, ', ' ORDER BY o) || '}' AS line FROM c",
+}

@@ -30,8 +30,15 @@ def separator(s: str | None, default: str) -> str:
     return default if s is None else SEPARATORS.get(s, s)
 
 
-def _lines(spark: SparkSession, path, sep: str | None = None, comments: str | None = None) -> DataFrame:
+def _lines(spark: SparkSession, path, sep: str | None = None, comments: str | None = None, shown: str | None = None) -> DataFrame:
+    """Lines in order, without those that begin with ``comments`` or ``shown``; the latter go to the standard output."""
     reader = spark.read.option("lineSep", sep) if sep else spark.read
+    if shown:
+        from ..plans.sides import deliver
+
+        told = reader.text(path).where(F.col("value").startswith(shown)).select(F.lit("stdout").alias("to"), F.concat("value", F.lit("\n")).alias("value"), F.monotonically_increasing_id().alias("_o:line"))
+        deliver(Stream(told, (("_o:line", True),)), ["stdout"], "")
+        comments = shown
     df = reader.text(path).withColumn("_ord", F.monotonically_increasing_id())
     return df.where(~F.col("value").startswith(comments)) if comments else df
 
@@ -167,9 +174,13 @@ def _cells(sep: str, quote: str):
     return lambda value: F.transform(F.regexp_extract_all(value, F.lit(cell), F.lit(1)), bare)
 
 
-def _csv(spark, path, fields=None, header=True, fs=None, ragged=False, quote='"', comments=None, multiline=None, **_):
+def _csv(spark, path, fields=None, header=True, fs=None, ragged=False, quote='"', comments=None, multiline=None, pass_comments=None, **_):
     from ..operators.joins import concat
 
+    if pass_comments:
+        _lines(spark, path, shown=pass_comments)
+        comments = pass_comments
+
     sep = separator(fs, ",")
 
     def read_some(names, files, multi) -> Stream:
@@ -246,9 +257,12 @@ def _pairs(parts: Column, ps: str) -> Column:
     ))
 
 
-def _dkvp(spark, path, fields=None, fs=None, ps=None, comments=None, **_):
-    lines = _lines(spark, path, comments=comments).where("value <> ''")
-    return _spread(lines, _pairs(F.split("value", re.escape(separator(fs, ",")), -1), separator(ps, "=")), fields)
+def _dkvp(spark, path, fields=None, fs=None, ps=None, comments=None, pass_comments=None, rs=None, fs_regex=None, ps_regex=None, repeated=False, **_):
+    lines = _lines(spark, path, separator(rs, "\n") if rs else None, comments, pass_comments).where("value <> ''")
+    parts = F.split("value", fs_regex or re.escape(separator(fs, ",")) + "+" * repeated, -1)
+    if ps_regex:  # the first match stands for the separator
+        parts = F.transform(parts, lambda p: F.when(p.rlike(ps_regex), F.array_join(F.split(p, ps_regex, 2), "\u0001")).otherwise(p))
+    return _spread(lines, _pairs(parts, "\u0001" if ps_regex else separator(ps, "=")), fields)
 
 
 def _quoted(spark, path, fields=None, fs=None, ps=None, **_):
@@ -262,10 +276,10 @@ def _quoted(spark, path, fields=None, fs=None, ps=None, **_):
     return _spread(lines, pairs, fields)
 
 
-def _nidx(spark, path, fields=None, fs=None, comments=None, **_):
-    lines = _lines(spark, path, comments=comments).where("value <> ''")
+def _nidx(spark, path, fields=None, fs=None, comments=None, pass_comments=None, rs=None, fs_regex=None, **_):
+    lines = _lines(spark, path, separator(rs, "\n") if rs else None, comments, pass_comments).where("value <> ''")
     sep = separator(fs, " ")
-    parts = F.filter(F.split("value", re.escape(sep) + "+" if len(sep) == 1 else sep), lambda p: p != "")
+    parts = F.filter(F.split("value", fs_regex if fs_regex else re.escape(sep) + "+" if len(sep) == 1 else sep), lambda p: p != "")
     n = len(fields) if fields else lines.select(F.max(F.size(parts))).first()[0] or 0
     return _stream(lines.select(*[F.try_element_at(parts, F.lit(i + 1)).alias(fields[i] if fields else str(i + 1)) for i in range(n)], "_ord"))
 
@@ -391,9 +405,9 @@ def read(spark: SparkSession, path, fmt: str | None = None, infer: bool = False,
     return typed(s) if infer else s
 
 
-def typed(s: Stream) -> Stream:
-    """Text fields of which every value that is not empty is a number become numbers (empty ones then NULL): one pass over the data."""
-    texts = [c for c in s.columns if isinstance(s.dtype(c), T.StringType)]
+def typed(s: Stream, but=()) -> Stream:
+    """Text fields (but those named) of which every value that is not empty is a number become numbers (empty ones then NULL): one pass over the data."""
+    texts = [c for c in s.columns if isinstance(s.dtype(c), T.StringType) and c not in but]
     if not texts:
         return s
     asked = []

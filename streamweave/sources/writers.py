@@ -52,7 +52,7 @@ def _json_text(s: Stream) -> Column:
     cells = []
     for n in s.columns:
         c, t = col(n), s.dtype(n)
-        shown = F.when(text_double(c).isNotNull() & ~F.lower(c).rlike("inf|nan"), c).otherwise(bare(c)) if isinstance(t, T.StringType) else bare(c)
+        shown = F.when(text_double(c).isNotNull() & ~F.lower(c).rlike("inf|nan"), c).otherwise(bare(c)) if isinstance(t, T.StringType) else as_text(c, t) if isinstance(t, (T.DoubleType, T.FloatType)) else bare(c)
         cells.append(F.when(c.isNotNull(), F.concat(F.lit(json.dumps(n, ensure_ascii=False) + ":"), shown)))
     return F.concat(F.lit("{"), F.concat_ws(",", *cells), F.lit("}"))
 

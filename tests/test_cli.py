@@ -48,3 +48,24 @@ def test_arguments():
     for bad in (["--frob", "cat"], ["--icsv", "frob"], ["--icsv"]):
         with pytest.raises(ValueError):
             arguments(bad)
+
+
+def test_more_flags(spark, tmp_path, capsys):
+    def run(line, text, name="in.txt"):
+        p = tmp_path / name
+        p.write_text(text)
+        assert main([*line, str(p)]) == 0
+        return capsys.readouterr().out
+
+    assert run(["--idkvp", "--ojsonl", "--irs", ";", "cat"], "a=1,b=2;a=3,b=4;") == '{"a":1,"b":2}\n{"a":3,"b":4}\n'
+    assert run(["--idkvp", "--ojsonl", "--ifs-regex", "[;|]+", "--ips-regex", "[:=]", "cat"], "a=1;|b:2\n") == '{"a":1,"b":2}\n'
+    assert run(["--idkvp", "--ojsonl", "--repifs", "cat"], "a=1,,,b=2\n") == '{"a":1,"b":2}\n'
+    assert run(["--inidx", "--ojsonl", "--ifs-regex", "[ ;]+", "cat"], "x; y\n") == '{"1":"x","2":"y"}\n'
+    assert run(["--icsv", "--ojsonl", "--pass-comments", "cat"], "#note\na\n1\n") == '#note\n{"a":1}\n'
+    assert run(["--icsv", "--ocsv", "--flatsep", ":", "put", '$m = {"k": {"j": 1}}'], "a\n1\n").splitlines()[0].startswith("a,m:k")
+    (tmp_path / "lib.prog").write_text("func twice(x) {return 2 * x}\n")
+    assert run(["--icsv", "--ojsonl", "--load", str(tmp_path / "lib.prog"), "put", "$b = twice($a)"], "a\n4\n") == '{"a":4,"b":8}\n'
+    assert run(["--icsv", "--ocsv", "--records-per-batch", "10", "--nr-progress-mod", "5", "put", 'print "seen ".$a'], "a\n4\n") == "seen 4\na\n4\n"
+    p = tmp_path / "place.csv"
+    p.write_text("a\n3\n1\n")
+    assert main(["-I", "--csv", "sort", "-nf", "a", str(p)]) == 0 and p.read_text() == "a\n1\n3\n"
