@@ -57,7 +57,14 @@ class Stream:
 
     def sorted(self) -> DataFrame:
         """The visible columns as rows in order."""
-        return self.df.orderBy(*self.by()).select(*map(col, self.columns)) if self.order else self.rows()
+        return self.df.orderBy(*self.by()).select(*map(col, self.columns)) if self.order and not self.as_scanned() else self.rows()
+
+    def as_scanned(self) -> bool:
+        """Whether the rows still lie as they were scanned, and that is their order: then nothing needs to be sorted."""
+        if self.order != ((f"{HIDDEN}scan", True),):
+            return False
+        plan = self.df._jdf.queryExecution().executedPlan().toString()
+        return not re.search(r"Exchange|Join|Sort|Window|Union|Coalesce|Cartesian|LogicalRDD|Scan ExistingRDD", plan)
 
     # -- order
 

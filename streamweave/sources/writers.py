@@ -135,7 +135,7 @@ def write(s: Stream, path: str, fmt: str | None = None, mode: str = "overwrite",
     df = s.df.select(value.alias("value"), *map(col, by), *map(col, s.hidden))
     if by:
         df = df.repartition(*map(col, by)).sortWithinPartitions(*map(col, by), *s.by())
-    elif s.order:
+    elif s.order and not s.as_scanned():
         df = df.orderBy(*s.by())
     df = df.select("value", *map(col, by))
     if top is not None:
