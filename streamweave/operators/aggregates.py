@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import Column, Window
@@ -169,7 +170,7 @@ def aggregate(s: Stream, names, fields, g, interpolated: bool) -> tuple[dict[str
                 out[key] = F.count_if(F.coalesce(col(x).cast("string") == "", F.lit(False)))
             elif a in table:
                 out[key] = table[a]
-            elif words and not interpolated and (a == "median" or PERCENTILE.fullmatch(a)):
+            elif not interpolated and (a == "median" or PERCENTILE.fullmatch(a)):
                 later.append((x, a))
             elif a == "median" or PERCENTILE.fullmatch(a):
                 out[key] = exact_percentile(f"_n:{x}", 50.0 if a == "median" else _float(a[1:]), interpolated, is_integral(s, x))
@@ -190,6 +191,31 @@ def value_counts(s: Stream, g, x: str) -> Stream:
     return Stream(s.df.where(nonempty(s, x)).groupBy(*keys, col(x).cast("string").alias("_v")).agg(F.count("*").alias("_n"), (F.min if not s.order or s.order[0][1] else F.max)(order).alias("_at"), F.first(number(s, x)).alias("_x")))
 
 
+def percentiles_by_counts(s: Stream, g, x: str, names: list[str]):
+    """By group, all the discrete percentiles of a field: values are counted, the counts added up in order of the values (numbers before
+    texts), and the values at the wanted places picked; what is sorted spills, and all percentiles take one pass."""
+    from ..plans.ordered import running
+
+    keys = [col(k).alias(k) for k in g]
+    words = is_text(s, x)
+    v = {"_x": col(f"_n:{x}"), "_v": col(f"_t:{x}")} if words else {"_v": col(f"_n:{x}")}
+    counts = s.df.where(v["_v"].isNotNull()).groupBy(*keys, *[c.alias(k) for k, c in v.items()]).agg(F.count("*").alias("_n"))
+    by = [F.col("_x").isNull(), F.col("_x"), F.col("_v")] if words else [F.col("_v")]
+    if g:
+        total = s.df.groupBy(*keys).agg(F.count(v["_v"]).alias("_of"))
+        counts = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*map(col, g)).orderBy(*by))).join(total, list(g))
+    else:
+        upto = running(Stream(counts).ordered_by([(c, True) for c in by], "value"), {"_upto": F.col("_n")})
+        counts = upto.df.crossJoin(F.broadcast(s.df.agg(F.count(v["_v"]).alias("_of"))))  # one row
+    hit = {}
+    for name in names:
+        place = F.least(F.floor(F.lit((50.0 if name == "median" else _float(name[1:])) / 100.0) * F.col("_of")), F.col("_of") - 1)
+        place = F.greatest(place, F.lit(0))
+        hit[name] = (place < F.col("_upto")) & (place >= F.col("_upto") - F.col("_n"))
+    picked = counts.where(functools.reduce(lambda p, q: p | q, hit.values())).groupBy(*[col(k) for k in g])
+    return picked.agg(*[F.max(F.when(h, F.col("_v"))).alias(f"{x}_{n}") for n, h in hit.items()])
+
+
 def _later(s: Stream, g, x: str, a: str):
     """Mode, antimode and mad by group: values are counted first, so no group's values are gathered."""
     counts = value_counts(s, g, x).df
@@ -199,11 +225,6 @@ def _later(s: Stream, g, x: str, a: str):
         w = Window.partitionBy(*keys)
         mean = F.sum(F.col("_x") * F.col("_n")).over(w) / F.sum("_n").over(w)
         return counts.withColumn("_mean", mean).groupBy(*keys).agg((F.sum(F.abs(F.col("_x") - F.col("_mean")) * F.col("_n")) / F.sum("_n")).alias(name))
-    if a == "median" or PERCENTILE.fullmatch(a):  # of texts: the value at its place among numbers, then texts
-        w = Window.partitionBy(*keys).orderBy(F.col("_x").isNull(), "_x", "_v")
-        n = F.sum("_n").over(Window.partitionBy(*keys))
-        counts = counts.withColumn("_upto", F.sum("_n").over(w)).withColumn("_place", F.least(F.floor(F.lit((50.0 if a == "median" else _float(a[1:])) / 100.0) * n), n - 1))
-        return counts.where((F.col("_place") < F.col("_upto")) & (F.col("_place") >= F.col("_upto") - F.col("_n"))).select(*keys, F.col("_v").alias(name))
     first = F.col("_at").asc() if not s.order or s.order[0][1] else F.col("_at").desc()
     counts = counts.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("_n").desc() if a == "mode" else F.col("_n").asc(), first, "_v")))
     return counts.where("_rank = 1").select(*keys, F.col("_v").alias(name))
@@ -233,10 +254,12 @@ def stats1(s: Stream, a=(), f=None, g=(), fr=None, fx=None, gr=None, gx=None, i=
     s = prepared(s, f)
     plain, later = aggregate(s, a, f, g, i)
     out = grouped(s, g, plain or {"_n": F.count("*")})
-    for x, name in later:
-        part = _later(s, g, x, name)
+    ranked = {x: [n for y, n in later if y == x and (n == "median" or PERCENTILE.fullmatch(n))] for x, _ in later}
+    parts = [(percentiles_by_counts(s, g, x, names), [f"{x}_{n}" for n in names]) for x, names in ranked.items() if names]
+    parts += [(_later(s, g, x, n), [f"{x}_{n}"]) for x, n in later if n not in ranked[x]]
+    for part, new in parts:
         if g:
-            df = out.df.join(part.select(*[col(k).alias(f"_k{j}") for j, k in enumerate(g)], col(f"{x}_{name}")), [col(k).eqNullSafe(F.col(f"_k{j}")) for j, k in enumerate(g)], "left")
+            df = out.df.join(part.select(*[col(k).alias(f"_k{j}") for j, k in enumerate(g)], *map(col, new)), [col(k).eqNullSafe(F.col(f"_k{j}")) for j, k in enumerate(g)], "left")
             df = df.drop(*[f"_k{j}" for j in range(len(g))])
         else:
             df = _one_row(out.df, part)

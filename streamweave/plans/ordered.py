@@ -70,30 +70,30 @@ def running(s: Stream, sums: dict[str, Column], lasts: dict[str, Column] | None
         return s.with_columns(new)
     p = placed(s)
     per = p.df.groupBy(_P).agg(
-        F.count("*").alias("_n"), *[F.sum(c).alias(f"_s{i}") for i, c in enumerate(sums.values())],
-        *[F.max_by(c, F.when(c.isNotNull(), col(_I))).alias(f"_l{i}") for i, c in enumerate(lasts.values())],
-        *[F.product(c).alias(f"_p{i}") for i, c in enumerate(products.values())],
+        F.count("*").alias("_run_n"), *[F.sum(c).alias(f"_run_s{i}") for i, c in enumerate(sums.values())],
+        *[F.max_by(c, F.when(c.isNotNull(), col(_I))).alias(f"_run_l{i}") for i, c in enumerate(lasts.values())],
+        *[F.product(c).alias(f"_run_p{i}") for i, c in enumerate(products.values())],
     )
     before = Window.orderBy(_P).rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     per = per.select(
-        F.col(f"`{_P}`").alias("_q"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"), *[F.sum(f"_s{i}").over(before).alias(f"_s{i}") for i in range(len(sums))],
-        *[F.last(f"_l{i}", ignorenulls=True).over(before).alias(f"_l{i}") for i in range(len(lasts))],
-        *[F.product(f"_p{i}").over(before).alias(f"_p{i}") for i in range(len(products))],
+        F.col(f"`{_P}`").alias("_run_q"), F.coalesce(F.sum("_run_n").over(before), F.lit(0)).alias("_run_n"), *[F.sum(f"_run_s{i}").over(before).alias(f"_run_s{i}") for i in range(len(sums))],
+        *[F.last(f"_run_l{i}", ignorenulls=True).over(before).alias(f"_run_l{i}") for i in range(len(lasts))],
+        *[F.product(f"_run_p{i}").over(before).alias(f"_run_p{i}") for i in range(len(products))],
     )
-    df = p.df.join(F.broadcast(per), col(_P) == F.col("_q"))  # as many rows as there are shuffle partitions
+    df = p.df.join(F.broadcast(per), col(_P) == F.col("_run_q"))  # as many rows as there are shuffle partitions
     inner = Window.partitionBy(col(_P)).orderBy(col(_I))
     run = inner.rowsBetween(Window.unboundedPreceding, 0)
     new = {}
     for i, (k, c) in enumerate(sums.items()):
         own = F.sum(c).over(run)
-        new[k] = F.when(own.isNull() & F.col(f"_s{i}").isNull(), own).otherwise(F.coalesce(own, F.lit(0)) + F.coalesce(F.col(f"_s{i}"), F.lit(0)))
+        new[k] = F.when(own.isNull() & F.col(f"_run_s{i}").isNull(), own).otherwise(F.coalesce(own, F.lit(0)) + F.coalesce(F.col(f"_run_s{i}"), F.lit(0)))
     for i, (k, c) in enumerate(lasts.items()):
-        new[k] = F.coalesce(F.last(c, ignorenulls=True).over(run), F.col(f"_l{i}"))
+        new[k] = F.coalesce(F.last(c, ignorenulls=True).over(run), F.col(f"_run_l{i}"))
     for i, (k, c) in enumerate(products.items()):
         own = F.product(c).over(run)
-        new[k] = F.when(own.isNull() & F.col(f"_p{i}").isNull(), own).otherwise(F.coalesce(own, F.lit(1.0)) * F.coalesce(F.col(f"_p{i}"), F.lit(1.0)))
+        new[k] = F.when(own.isNull() & F.col(f"_run_p{i}").isNull(), own).otherwise(F.coalesce(own, F.lit(1.0)) * F.coalesce(F.col(f"_run_p{i}"), F.lit(1.0)))
     if number:
-        new[number] = (F.row_number().over(inner) + F.col("_n")).cast("bigint")
+        new[number] = (F.row_number().over(inner) + F.col("_run_n")).cast("bigint")
     cells = {c: col(c) for c in s.columns} | new
     return Stream(df.select(*[v.alias(k) for k, v in cells.items()], *map(col, s.hidden)), s.order)
 
@@ -132,9 +132,9 @@ def ranked(s: Stream, keys: list[Column], name: str) -> Stream:
     by = [col(k).asc_nulls_last() for k in sort]
     df = checkpointed(df.repartitionByRange(n, *by).withColumn(_P, F.spark_partition_id()))
     before = Window.orderBy(_P).rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    per = df.groupBy(_P).agg(F.count("*").alias("_n")).select(F.col(f"`{_P}`").alias("_q"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"))
-    df = df.join(F.broadcast(per), col(_P) == F.col("_q"))  # as many rows as there are shuffle partitions
-    rank = (F.rank().over(Window.partitionBy(col(_P)).orderBy(*by)) + F.col("_n")).cast("bigint")
+    per = df.groupBy(_P).agg(F.count("*").alias("_run_n")).select(F.col(f"`{_P}`").alias("_run_q"), F.coalesce(F.sum("_run_n").over(before), F.lit(0)).alias("_run_n"))
+    df = df.join(F.broadcast(per), col(_P) == F.col("_run_q"))  # as many rows as there are shuffle partitions
+    rank = (F.rank().over(Window.partitionBy(col(_P)).orderBy(*by)) + F.col("_run_n")).cast("bigint")
     cells = {c: col(c) for c in s.columns} | {name: rank}
     return Stream(df.select(*[v.alias(k) for k, v in cells.items()], *map(col, s.hidden)), s.order)
 

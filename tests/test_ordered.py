@@ -35,11 +35,6 @@ def test_no_window_over_all_rows(spark, monkeypatch, links):
     assert all("Aggregate" in x for x in below), plan  # what is gathered is one row a partition
 
 
-def test_top_groups_come_as_they_first_appear(spark):
-    s = Stream.of(spark.createDataFrame([(0, "z", 1), (1, "a", 5), (2, "z", 3), (3, "m", 2)], "k int, g string, v int"), "k")
-    assert [r.g for r in chain(s, "top -n 1 -f v -g g").sorted().collect()] == ["z", "a", "m"]
-
-
 def test_what_lies_as_it_was_scanned_is_not_sorted(spark, tmp_path):
     spark.range(1000).selectExpr("id", "id % 7 AS g").repartition(5).write.parquet(str(tmp_path / "t"))
     s = Stream.of(spark.read.parquet(str(tmp_path / "t")))
