@@ -159,7 +159,7 @@ def flat(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum(np.array(list(map(len, raw)), np.int64))]
 
 
-def slices(column, most: int = 1_000_000):
+def slices(column, most: int = 600_000):
     """An Arrow text column in runs of rows of about ``most`` bytes: first row, row behind the last, UTF-8 bytes, offsets from 0; a null is an empty text."""
     from .common import chunks, texts
 
