@@ -55,6 +55,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Have the driver collect what nobody refers to any more: Spark then removes the shuffle files of tables that were cut since."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def narrowed(df: DataFrame, **kinds: str) -> DataFrame:
     """Only the named columns, cast; further columns, whatever their names, do not reach the operator."""
     small_batches(df.sparkSession)

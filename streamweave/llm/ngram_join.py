@@ -34,10 +34,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, mix, narrowed, partitions, ragged, roots, schema, shingle_sets, task, texts, unite
+from .common import components, cut, mix, narrowed, partitions, ragged, roots, schema, shingle_sets, task, texts, tidy, unite
 
 #: Nodes of a block that are searched together.
 BLOCK = 8192
@@ -359,6 +359,14 @@ def _links(batches, width: int, percent: int):
         yield run(held)
 
 
+#: The columns by which rows are told apart: doc_id without null, whether it is null, the hash of the text.
+ROW_KEY = ["_id", "_none", "_said"]
+
+
+def _row_key(doc_id: Column, said: Column) -> list[Column]:
+    return [F.coalesce(doc_id, F.lit(0)).alias("_id"), doc_id.isNull().alias("_none"), said.alias("_said")]
+
+
 def _grouped(docs: DataFrame, width: int, percent: int, block: int, most_of_list: int) -> tuple[DataFrame, DataFrame]:
     """Of ``docs`` (doc_id, text): ``doc_id, said, n, node`` for each row, ``said`` a hash of its text; and ``node, least, component``
     for each set, ``least`` the first of the rows that have it (without doc_id, doc_id, said)."""
@@ -386,6 +394,8 @@ def _grouped(docs: DataFrame, width: int, percent: int, block: int, most_of_list
     )
     marked = compared.distinct()
     marked = cut(components(marked.select(F.col("block").alias("a"), F.col("node").alias("b"))).select(F.col("component").alias("block"), "node"))
+    del short, shared, compared
+    tidy(spark)
     # blocks of more nodes than one task takes go out as pairs of chunks
     sizes = marked.groupBy("block").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("k"))
     dealt = marked.join(sizes, "block").withColumn("c", F.pmod(F.xxhash64("node", F.lit(7)), F.col("k")).cast("int"))
@@ -393,13 +403,14 @@ def _grouped(docs: DataFrame, width: int, percent: int, block: int, most_of_list
     task = F.xxhash64("block", F.least("c", "other"), F.greatest("c", "other"))
     dealt = dealt.select(task.alias("task"), "node", F.when(F.col("c") > F.col("other"), 1).otherwise(0).alias("side"))
     # the texts of marked nodes, one for each node
-    wanted = nodes.join(marked.select("node").distinct(), "node").select(F.col("node"), F.col("least.doc_id").alias("_id"), F.col("least.said").alias("_said"))
-    own = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("_id")) & (docs["said"] == F.col("_said"))).select("node", "text").dropDuplicates(["node"])
+    wanted = nodes.join(marked.select("node").distinct(), "node").select("node", *_row_key(F.col("least.doc_id"), F.col("least.said")))
+    own = docs.select(*_row_key(F.col("doc_id"), F.col("said")), "text").join(wanted, ROW_KEY).select("node", "text").dropDuplicates(["node"])
     links = (
         dealt.join(own, "node").select("task", "node", "side", "text").repartition(p, "task").sortWithinPartitions("task")
         .mapInArrow(lambda it: _links(it, width, percent), schema(a="bigint", b="bigint"))
     )
     groups = components(links)
+    tidy(spark)
     return signed.select("doc_id", "said", "n", "node"), nodes.join(groups, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
 
 
@@ -422,9 +433,9 @@ def dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     What decides is the row's text: of two rows of one doc_id with different texts, each stays or goes with its own group.
     """
     _, named = _grouped(docs, width, percent, BLOCK, LIST)
-    stays = named.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("_id"), F.col("least.said").alias("_said"))
+    stays = named.groupBy("component").agg(F.min("least").alias("least")).select(*_row_key(F.col("least.doc_id"), F.col("least.said")))
     text = F.col("_row").getField("text").cast("string")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    rows = rows.select("_row", F.col("_row").getField("doc_id").cast("bigint").alias("_d"), F.xxhash64(text).alias("_t"), F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("_worded"))
-    one = rows.where("_worded").join(stays, F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_said")), "left_semi").dropDuplicates(["_d", "_t"])
+    rows = rows.select("_row", *_row_key(F.col("_row").getField("doc_id").cast("bigint"), F.xxhash64(text)), F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("_worded"))
+    one = rows.where("_worded").join(stays, ROW_KEY, "left_semi").dropDuplicates(ROW_KEY)  # dealt once for both
     return one.select("_row").unionAll(rows.where("NOT _worded").select("_row")).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
