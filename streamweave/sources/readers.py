@@ -2,7 +2,8 @@
 
 Line formats are split where Spark splits files, so they scale as text does. So are CSV files but those in which a quoted value goes on over
 lines, and JSON files that hold a record a line: one pass over the lines finds them, unless ``multiline`` says so. Every CSV or TSV file has its own
-header. Formats whose records need a header that stands elsewhere in the file (csvlite, pprint, markdown), and yaml, are read a whole file to a task.
+header. In csvlite, pprint and markdown a record's header may stand in an earlier split: a pass over the lines tells which. Yaml is read a whole
+file to a task.
 
 Field names that only the data can tell are found in one pass, in the order of first appearance; naming them
 (``fields``) spares that pass.
@@ -10,6 +11,7 @@ Field names that only the data can tell are found in one pass, in the order of f
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -309,18 +311,96 @@ def _recutils(spark, path, fields=None, **_):
     return _spread(blocks.where(F.size(lines) > 0), pairs, fields)
 
 
+def _splits(batches):
+    """``(split, rows)``: the batches' rows, apart where the split of a file that they come from changes."""
+    import numpy as np
+
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        starts, files = batch.column("_b").to_numpy(), batch.column("_f")
+        cuts = np.flatnonzero((starts[1:] != starts[:-1]) | np.not_equal(*(files.slice(k, n - 1).to_numpy(zero_copy_only=False) for k in (0, 1)))) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, n]):
+            yield (files[int(lo)].as_py(), int(starts[lo])), batch.slice(lo, hi - lo)
+
+
+def _split_ends(batches):
+    """Of each split: whether it holds a blank line, and the first line after the last one (or of all)."""
+    import numpy as np
+    import pyarrow as pa
+
+    at, blank, line = None, False, None
+    schema = pa.schema([("_f", pa.string()), ("_b", pa.int64()), ("blank", pa.bool_()), ("line", pa.string())])
+    told = lambda: pa.RecordBatch.from_pylist([{"_f": at[0], "_b": at[1], "blank": blank, "line": line}], schema=schema)
+    for key, rows in _splits(batches):
+        if at is not None and key != at:
+            yield told()
+        if key != at:
+            at, blank, line = key, False, None
+        none = rows.column("blank").to_numpy(zero_copy_only=False)
+        since = 0
+        if none.any():
+            since = int(np.flatnonzero(none)[-1]) + 1
+            blank, line = True, None
+        if line is None and since < rows.num_rows:
+            line = rows.column("value")[since].as_py()
+    if at is not None:
+        yield told()
+
+
+def _under_headers(batches, starts: dict):
+    """Lines with the header above them. ``starts``: the header that holds where a split begins; None where the next line is one."""
+    import numpy as np
+    import pyarrow as pa
+
+    at = header = None
+    for key, rows in _splits(batches):
+        if key != at:
+            at, header = key, starts[key]
+            above = header is None  # whether what stands above is no line
+        none = rows.column("blank").to_numpy(zero_copy_only=False)
+        top = ~none & np.concatenate([[above], none[:-1]])
+        heads = pa.array([header, *rows.column("value").filter(pa.array(top)).to_pylist()], pa.string())
+        kept = ~none & ~top
+        h = heads.take(pa.array(np.cumsum(top)[kept]))
+        header, above = heads[-1].as_py(), bool(none[-1])
+        out = rows.filter(pa.array(kept))
+        yield pa.RecordBatch.from_arrays([out.column("_f"), out.column("_b"), out.column("_i"), h, out.column("value")], ["_f", "_b", "_i", "h", "value"])
+
+
 def _stanzas(spark, path, cells, fields=None, skip: str | None = None) -> Stream:
-    """Whole files: stanzas apart by blank lines, each with its header line. ``cells``: of a line, its cells."""
-    files = spark.read.text(path, wholetext=True).withColumn("_ord", F.monotonically_increasing_id())
-    stanza = files.select("_ord", F.posexplode(F.split("value", "\n[ \t]*\n")).alias("_s", "text"))
-    lines = F.filter(F.split("text", "\r?\n"), lambda p: (p != "") & (~p.rlike(skip) if skip else F.lit(True)))
-    rows = stanza.select("_ord", "_s", F.transform(lines, cells).alias("l")).where(F.size("l") > 1)
-    rows = rows.select("_ord", "_s", F.element_at("l", 1).alias("h"), F.posexplode(F.slice("l", F.lit(2), F.size("l") - 1)).alias("_r", "c"))
-    pairs = F.transform("c", lambda v, i: F.struct(F.coalesce(F.try_element_at(F.col("h"), i + 1), (i + 1).cast("string")).alias("k"), v.alias("v")))
-    held = rows.select(pairs.alias("p"), "_ord", F.struct("_s", "_r").alias("_pos"))
+    """Stanzas apart by blank lines, each with its header line, split where Spark splits files. ``cells``: of a line, its cells.
+
+    One pass tells, in a small row for each split, which header holds where the next one begins."""
+    value = F.regexp_replace("value", r"\r\z", "")
+    lines = spark.read.option("lineSep", "\n").text(path).select(value.alias("value"), F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
+    if skip:
+        lines = lines.where(~F.col("value").rlike(skip))
+    lines = _as_dealt(lines.select(F.col("value").rlike(r"^[ \t]*$").alias("blank"), "value", "_f", "_b", "_i"))
+    ends = lines.mapInArrow(_split_ends, "_f string, _b bigint, blank boolean, line string").collect()  # a row for each split
+    starts, file, header = {}, None, None
+    for f, b, blank, line in sorted(ends, key=lambda r: r[:2]):
+        if f != file:
+            file, header = f, None
+        starts[f, b] = header
+        header = line if blank or header is None else header
+    rows = lines.mapInArrow(functools.partial(_under_headers, starts=starts), "_f string, _b bigint, _i bigint, h string, value string")
+    rows = rows.select(F.col("_f").alias("_ord"), F.struct("_b", "_i").alias("_pos"), "h", cells(F.col("value")).alias("c"))
+    name = lambda i: F.coalesce(F.try_element_at("h", i + 1), (i + 1).cast("string"))
+    if fields is None:  # of each header and number of cells, the names
+        tops = rows.groupBy("h", F.size("c").alias("n")).agg(F.min(F.struct("_ord", "_pos")).alias("_ord")).select(cells(F.col("h")).alias("h"), "n", "_ord")
+        fields = _spread(tops.select(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(name(i).alias("k"), F.lit("").alias("v"))).alias("p"), "_ord"), F.col("p")).columns
+    held = rows.select(cells(F.col("h")).alias("h"), "c", "_ord", "_pos").select(F.transform("c", lambda v, i: F.struct(name(i).alias("k"), v.alias("v"))).alias("p"), "_ord", "_pos")
     return _spread(held, F.col("p"), fields)
 
 
+def _as_dealt(df: DataFrame) -> DataFrame:
+    """The rows in partitions that stay the same in every job; else splits could change with the cores at hand."""
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False), spark)
+
+
 def _csvlite(spark, path, fields=None, fs=None, **_):
     sep = separator(fs, ",")
     cell = rf'(?:^|{re.escape(sep)})("(?:[^"]|"")*"|[^{re.escape(sep)}]*)'

@@ -159,3 +159,34 @@ def test_split_and_tee(spark, put, tmp_path):
 def test_unknown_format(spark, put):
     with pytest.raises(ValueError):
         read(spark, put("in.x", ""), "frob")
+
+
+def stanza_text(fmt, stanzas):
+    """Header and rows of each stanza, in a format whose records stand below their header."""
+    line = {"csvlite": ",".join, "pprint": " ".join, "markdown": lambda c: f"| {' | '.join(c)} |"}[fmt]
+    rule = lambda h: [line(["---"] * len(h))] if fmt == "markdown" else []
+    return "\n\n".join("\n".join([line(h), *rule(h), *map(line, some)]) for h, some in stanzas) + "\n"
+
+
+def stanzas_in_splits(spark, tmp_path, fmt):
+    """Two files that are cut within lines, headers and runs of blank lines; the later name is the larger file."""
+    long = [(["a", "b"], [[str(i), f"x{i}"] for i in range(150)]), (["b", "c", "c"], [[str(i), "y", "z"] for i in range(7)]), *[([f"h{i % 3}"], [[str(i)]]) for i in range(9)]]
+    short = [(["a"], [["first"], ["second"]])]
+    (tmp_path / "1.txt").write_text("\n\n" + stanza_text(fmt, short))
+    (tmp_path / "2.txt").write_text(stanza_text(fmt, long).replace("\n\n", "\r\n\r\n \r\n\n") + "\n\n")
+    names = lambda h: [n if h.index(n) == i else f"{n}_{i - h.index(n) + 1}" for i, n in enumerate(h)]
+    want = [dict(zip(names(h), r)) for h, some in short + long for r in some]
+    for size in ("40", "333", "1g"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            s = read(spark, str(tmp_path), fmt)
+            assert rows(s) == want
+            assert size == "1g" or s.df.rdd.getNumPartitions() > 3
+            assert s.columns == ["a", "b", "c", "c_2", "h0", "h1", "h2"]
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("fmt", ["markdown", "csvlite"])
+def test_stanzas_are_split(spark, tmp_path, fmt):
+    stanzas_in_splits(spark, tmp_path, fmt)
