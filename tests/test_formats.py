@@ -190,3 +190,7 @@ def stanzas_in_splits(spark, tmp_path, fmt):
 @pytest.mark.parametrize("fmt", ["markdown", "csvlite"])
 def test_stanzas_are_split(spark, tmp_path, fmt):
     stanzas_in_splits(spark, tmp_path, fmt)
+
+
+def test_pprint_is_split(spark, tmp_path):
+    stanzas_in_splits(spark, tmp_path, "pprint")
