@@ -748,27 +748,36 @@ def strftime_parts(whole: Column, nanos: Column, fmt: str, zone: str | None = No
     below = F.lpad(nanos.cast("string"), 9, "0")  # digits of the fraction
     utc = F.timestamp_seconds(whole)
     at = F.from_utc_timestamp(utc, zone) if zone else utc
-    out = []
+    out: list[Column | str] = []  # columns, and JVM patterns: those that follow each other are one, as each writes out the time again
+
+    def code(p: str) -> None:
+        if out and isinstance(out[-1], str) and out[-1][-1] != p[0]:
+            out[-1] += p
+        else:
+            out.append(p)
+
     for kind, x in _pattern_parts(fmt):
         if kind == "text":
-            out.append(F.lit(x))
+            code("'" + x.replace("'", "''") + "'")
         elif kind == "frac":
-            out.append(F.concat(F.date_format(at, "ss"), F.lit("."), F.substring(below, 1, x)))
+            code("ss")
+            out.append(F.concat(F.lit("."), F.substring(below, 1, x)))
         elif x == "s":
             out.append(whole.cast("string"))
         elif x == "N":
             out.append(below)
         elif x == "n":
-            out.append(F.lit("\n"))
+            code("'\n'")
         elif x == "Z":
             out.append(zone_name(utc, zone))
         elif x == "z":
             out.append(zone_offset(offset_of(utc, zone)))
         elif x in STRFTIME:
-            out.append(F.date_format(at, STRFTIME[x]))
+            code(STRFTIME[x])
         else:
             raise ValueError(f"no time format %{x}")
-    return F.when(whole.isNotNull(), F.concat(*out) if len(out) > 1 else out[0])
+    shown = [F.date_format(at, x) if isinstance(x, str) else x for x in out]
+    return F.when(whole.isNotNull(), F.concat(*shown) if len(shown) > 1 else shown[0])
 
 
 def strptime_micros(text: Column, fmt: str, zone: str | None = None) -> Column:
@@ -803,11 +812,9 @@ def strptime(text: Column, fmt: str, zone: str | None = None) -> Val:
 
 def gmt2sec(text: Column, zone: str | None = None) -> Column:
     """Lenient ISO times."""
-    t = F.regexp_replace(F.regexp_replace(F.trim(text), "[Zz]$", ""), "[Tt ]", " ")
-    parts = lambda i: F.regexp_extract(t, r"^(-?\d{1,4})-(\d{1,2})-(\d{1,2})(?: (\d{1,2})(?::(\d{1,2})(?::(\d{1,2}))?)?)?$", i)
-    p = [F.when(parts(i) == "", "0").otherwise(parts(i)) for i in range(1, 7)]
-    iso = F.concat(F.lpad(p[0], 4, "0"), F.lit("-"), F.lpad(p[1], 2, "0"), F.lit("-"), F.lpad(p[2], 2, "0"), F.lit(" "), F.lpad(p[3], 2, "0"), F.lit(":"), F.lpad(p[4], 2, "0"), F.lit(":"), F.lpad(p[5], 2, "0"))
-    at = F.try_to_timestamp(F.when(t.rlike(r"^-?\d{1,4}-\d{1,2}-\d{1,2}"), iso), F.lit("yyyy-MM-dd HH:mm:ss"))
+    t = F.translate(F.trim(text), "Tt", "  ")
+    whole = t.rlike(r"^\d{1,4}-\d{1,2}-\d{1,2}(?: \d{1,2}(?::\d{1,2}(?::\d{1,2})?)?)?[Zz]?(?:\r\n|[\n\r\u0085\u2028\u2029])?\z")
+    at = F.try_to_timestamp(F.when(whole, F.rtrim(t, F.lit("Zz\r\n\u0085\u2028\u2029"))), F.lit("y-M-d[ H[:m[:s]]]"))
     return F.unix_timestamp(F.to_utc_timestamp(at, zone) if zone else at)
 
 

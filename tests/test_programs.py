@@ -195,3 +195,18 @@ def test_retained_records_and_computed_ends(s):
     assert out == ["mean=2.5"]
     out = put(s, "@c[$a] += 1; end { for (k, v in @c) { if (v > 1) { emit {\"x\": k, \"n\": v} } } }", "-q")
     assert out == ["x=eks,n=2"]
+
+
+def test_times_are_short_to_work_out(spark):
+    """A time read from text and shown in a zone: each step looks at the text a few times, not once for every part of every part."""
+    from pyspark.sql import functions as F
+
+    from streamweave.functions.scalars import gmt2sec, strftime
+
+    texts = {"2020-1-2": 1577923200, "2020-01-02 3:04z": 1577934240, "2020-01-02T03:04:05Z\n": 1577934245, "1-1-1T1": -62135593200, "2020-02-30": None, "2020-01-02T24:00:00Z": None, "2020-01-02 03:": None, "-5-1-1": None, "2020-01-02ZZ": None, "": None}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r[0]: r[1] for r in df.select("t", gmt2sec(F.col("t"))).collect()} == texts
+    shown = df.select(strftime(gmt2sec(F.col("t")), "it's %H%H o'clock, %d%e %b%m %Y-%m-%d", "Asia/Tokyo").alias("s"))
+    assert [r[0] for r in shown.collect()][:3] == ["it's 0909 o'clock, 022 Jan01 2020-01-02", "it's 1212 o'clock, 022 Jan01 2020-01-02", "it's 1212 o'clock, 022 Jan01 2020-01-02"]
+    plain = df.select(strftime(gmt2sec(F.col("t")), "%Y-%m-%d %H:%M:%S", "Asia/Tokyo").alias("s"))
+    assert plain._jdf.queryExecution().optimizedPlan().toString().count("t#") < 12
